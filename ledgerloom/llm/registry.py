@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerloom.llm import media
+from ledgerloom.llm import bpe, media
 
-MODULES = [media]
+MODULES = [media, bpe]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
