@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerloom.llm import bpe, media
+from ledgerloom.llm import bpe, langid, media
 
-MODULES = [media, bpe]
+MODULES = [media, bpe, langid]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
