@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerloom.llm import bpe, langid, media
+from ledgerloom.llm import bpe, langid, media, toxicity
 
-MODULES = [media, bpe, langid]
+MODULES = [toxicity, media, langid, bpe]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
