@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerloom.llm import bpe, langid, media, toxicity, urlfilter
+from ledgerloom.llm import bpe, langid, media, topk, toxicity, urlfilter
 
-MODULES = [toxicity, urlfilter, media, langid, bpe]
+MODULES = [toxicity, urlfilter, media, langid, bpe, topk]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
