@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerloom.llm import bpe, htmltext, langid, media, topk, toxicity, urlfilter
+from ledgerloom.llm import bpe, htmltext, langid, media, mixing, topk, toxicity, urlfilter
 
-MODULES = [toxicity, urlfilter, media, langid, bpe, htmltext, topk]
+MODULES = [toxicity, urlfilter, media, langid, mixing, bpe, htmltext, topk]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
