@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerloom.llm import bpe, ctw, htmltext, langid, media, mixing, topk, toxicity, urlfilter
+from ledgerloom.llm import bpe, ctw, htmltext, jaccard, langid, media, mixing, topk, toxicity, urlfilter
 
-MODULES = [toxicity, urlfilter, media, langid, mixing, bpe, htmltext, ctw, topk]
+MODULES = [toxicity, urlfilter, media, langid, mixing, bpe, htmltext, ctw, topk, jaccard]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
