@@ -152,11 +152,11 @@ def _pieces(marked: DataFrame, chunk: int) -> DataFrame:
     return parts.groupBy("doc_id", "row", "piece_no").agg(joined.alias("piece"))
 
 
-ENCODED = "n_tokens bigint, ids string, decoded binary"
+ENCODED = "n_tokens bigint, ids array<int>, decoded binary"
 
 
 def _encoded(pieces: DataFrame, text: str, keep: list[str], path: str, pattern: str, digest: bool) -> DataFrame:
-    """keep, with the ids joined by commas and the decoded bytes of each text, or their digests."""
+    """keep, with the ids and the decoded bytes of each text, or their digests."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = Coder.get(path, pattern)
@@ -165,10 +165,10 @@ def _encoded(pieces: DataFrame, text: str, keep: list[str], path: str, pattern:
             for x in b.column(text).to_pylist():
                 got = coder.encode(x or "")
                 n.append(len(got))
-                joined, raw = ",".join(map(str, got)), coder.decode(got)
-                ids.append(hashlib.sha256(joined.encode()).hexdigest() if digest else joined)
+                raw = coder.decode(got)
+                ids.append(hashlib.sha256(",".join(map(str, got)).encode()).hexdigest() if digest else got)
                 decoded.append(hashlib.sha256(raw).hexdigest() if digest else raw)
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string() if digest else pa.binary())], [*keep, *names])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(n, pa.int64()), pa.array(ids, pa.string() if digest else pa.list_(pa.int32())), pa.array(decoded, pa.string() if digest else pa.binary())], [*keep, *names])
 
     names = ["n_tokens", "ids_sha256", "decoded_sha256"] if digest else ["n_tokens", "ids", "decoded"]
     kinds = "n_tokens bigint, ids_sha256 string, decoded_sha256 string" if digest else ENCODED
@@ -195,22 +195,22 @@ def encode(spark: SparkSession, docs: DataFrame, path: str, pattern: str = publi
     whole = pieces.groupBy("doc_id", "row").agg(ordered.alias("p")).select(
         "doc_id",
         F.aggregate("p", F.lit(0).cast("bigint"), lambda a, x: a + x["n_tokens"]).alias("n_tokens"),
-        F.array_join(F.transform("p", lambda x: x["ids"]), ",").alias("ids"),
+        F.flatten(F.transform("p", lambda x: x["ids"])).alias("ids"),
         F.expr("unhex(array_join(transform(p, x -> hex(x.decoded)), ''))").alias("decoded"),
     )
     if digest:
-        whole = whole.select("doc_id", "n_tokens", F.sha2(F.col("ids").cast("binary"), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+        whole = whole.select("doc_id", "n_tokens", F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
     return short.unionByName(whole)
 
 
 def decode(df: DataFrame, column: str, path: str, to: str = "decoded") -> DataFrame:
-    """df with column ``to``: the raw bytes of a column of ids joined by commas (null stays null)."""
+    """df with column ``to``: the raw bytes of a column of id arrays (null stays null)."""
 
     @F.pandas_udf("binary")
     def run(values: Iterator[pd.Series]) -> Iterator[pd.Series]:
         coder = Coder.get(path, public_tokenizers.PATTERN)
         for batch in values:
-            yield batch.map(lambda x: None if x is None else coder.decode([int(i) for i in x.split(",") if i]))
+            yield batch.map(lambda x: None if x is None else coder.decode(x.tolist()))
 
     return df.withColumn(to, run(F.col(column)))
 
@@ -220,4 +220,9 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode(spark, docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), digest=True)
 
 
+def encode_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pipeline stage: (doc_id, n_tokens, ids) of each document."""
+    return encode(spark, docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken")).select("doc_id", "n_tokens", "ids")
+
+
 QUERIES = {"op6_byte_bpe": op6_byte_bpe}

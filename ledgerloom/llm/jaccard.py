@@ -142,16 +142,16 @@ SKETCH = [f"s{i}" for i in range(SKETCH_LONGS)]
 
 
 def sets(docs: DataFrame) -> DataFrame:
-    """(doc_id, n, fp, s0...): size, fingerprint and sketch of each row's set."""
+    """(row, doc_id, n, fp, s0...): size, fingerprint and sketch of each row's set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = [shingles(t) for t in b.column("text").to_pylist()]
             flat = np.stack([sketch(f) for f in found]) if found else np.zeros((0, SKETCH_LONGS), np.int64)
-            cols = [b.column("doc_id"), pa.array(map(len, found), pa.int64()), pa.array(map(fingerprint, found), pa.int64()), *(pa.array(c) for c in flat.T)]
-            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n", "fp", *SKETCH])
+            cols = [b.column("row"), b.column("doc_id"), pa.array(map(len, found), pa.int64()), pa.array(map(fingerprint, found), pa.int64()), *(pa.array(c) for c in flat.T)]
+            yield pa.RecordBatch.from_arrays(cols, ["row", "doc_id", "n", "fp", *SKETCH])
 
-    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, "doc_id bigint, n bigint, fp bigint, " + ", ".join(f"{s} bigint" for s in SKETCH))
+    return docs.select("row", F.col("doc_id").cast("bigint"), "text").mapInArrow(run, "row bigint, doc_id bigint, n bigint, fp bigint, " + ", ".join(f"{s} bigint" for s in SKETCH))
 
 
 def buckets(docs: DataFrame) -> DataFrame:
@@ -228,10 +228,9 @@ def components(spark: SparkSession, links: DataFrame) -> DataFrame:
             return now
 
 
-def join(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of each row of docs (doc_id, text)."""
+def linked_rows(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """(row, doc_id, n, group, component_id) of each row of docs (row, doc_id, text); group is null for empty sets."""
     small_batches(spark)
-    docs = docs.select("doc_id", "text")
     members = saved(spark, sets(docs), "sets")
     classes = saved(spark, members.where("n > 0").groupBy("fp", "n", *SKETCH).agg(F.min("doc_id").alias("doc_id")), "classes")
     reps, shape = classes.select("fp", "doc_id"), classes.select("fp", "n", *SKETCH)
@@ -277,9 +276,29 @@ def join(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
     rooted = classes.select("fp", "doc_id").join(groups, "fp", "left").select("fp", "doc_id", F.coalesce("group", "fp").alias("group"))
     lowest = rooted.groupBy("group").agg(F.min("doc_id").alias("component_id"))
-    named = rooted.join(lowest, "group").select("fp", "component_id")
-    # a set without elements is linked with nothing
-    return members.join(named, "fp", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    named = rooted.join(lowest, "group").select("fp", "group", "component_id")
+    empty = F.col("n") == 0
+    return members.join(named, "fp", "left").select("row", "doc_id", "n", F.when(~empty, F.col("group")).alias("group"), F.when(empty, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def join(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of each row of docs (doc_id, text)."""
+    got = linked_rows(spark, docs.select(F.lit(0).cast("bigint").alias("row"), "doc_id", "text"))
+    return got.select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+
+
+def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pipeline stage: of each group of linked documents, the row with the smallest doc_id stays; documents without words stay.
+
+    Rows are told apart by their place in docs, which must be a table that is read (the same each time).
+    """
+    marked = docs.select(F.struct("*").alias("doc"), F.monotonically_increasing_id().alias("row"))
+    got = saved(spark, linked_rows(spark, marked.select("row", "doc.doc_id", "doc.text")).where("group is not null").select("row", "doc_id", "group"), "groups")
+    first = got.groupBy("group").agg(F.min(F.struct("doc_id", "row")).alias("first"))
+    gone = saved(spark, got.join(first, "group").where("row != first.row").select("row"), "gone")
+    if gone.count() <= BROADCAST_ROWS:
+        gone = F.broadcast(gone)
+    return marked.join(gone, "row", "left_anti").select("doc.*")
 
 
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
