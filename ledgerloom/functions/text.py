@@ -85,7 +85,7 @@ def date_ms(value: Column, now_ms: Column) -> Column:
     limit = now_ms + 86_400_000
     scaled = value
     for _ in range(3):
-        scaled = F.when(scaled > limit, F.floor(scaled / 1000)).otherwise(scaled)
+        scaled = F.when(scaled > limit, F.call_function("div", scaled, F.lit(1000))).otherwise(scaled)
     scaled = scaled.cast("bigint")
     return F.when((scaled >= 946_684_800_000) & (scaled <= limit), scaled)
 

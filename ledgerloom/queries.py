@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerloom.operators import retrieval
+from ledgerloom.operators import ledger, retrieval, telemetry
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = [retrieval]
+MODULES = [retrieval, ledger, telemetry]
 
 
 def queries() -> dict[str, Query]:
