@@ -36,7 +36,7 @@ def own_words(prompt: Column) -> Column:
 
 def sentences(text: Column) -> Column:
     """Sentences: cut at line ends, and after . ! or ; before white space, but not after an abbreviation of up to three letters before a small letter."""
-    marked = F.regexp_replace(text, r"(?<![ (.][A-Za-z]{1,3})([.!;])\s+|([.!;])\s+(?=[A-Z])|\n+", "$1$2\u0001")
+    marked = F.regexp_replace(text, r"(?<![ (.][A-Za-z]{1,3})(\.)\s+|(\.)\s+(?=[A-Z])|([!;])\s+|\n+", "$1$2$3\u0001")
     return F.filter(F.transform(F.split(marked, "\u0001"), F.trim), lambda s: s != "")
 
 
