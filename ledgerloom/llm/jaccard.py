@@ -15,8 +15,9 @@ sets has no more than ``spare`` of them; sets with more bring theirs along. Link
 classes therefore share a (band, chunk, bits) bucket for sure.
 
 A bucket's members need not all be compared to know what is connected. First, each
-meets the bucket's smallest fingerprint; then each bucket's unlinked groups meet
-by one member each, for ``ROUNDS`` rounds; at last all members of different groups
+class meets one of its buckets' smallest fingerprints, the one it shares most
+buckets with; then groups that share a bucket meet by one member each, for
+``ROUNDS`` round; at last all members of different groups
 that still share a bucket meet, if their sketches' Hamming distance allows a link.
 Every pair that shares a bucket is so compared, or connected already. Verification
 brings the texts of a pair together (large stars are split) and compares the sets.
@@ -31,6 +32,8 @@ two shingles a hash, with a probability of about pairs / 2**64.
 
 from __future__ import annotations
 
+import functools
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,14 +45,13 @@ from pyspark.sql import functions as F
 from ledgerloom.llm.common import saved, small_batches, table
 
 WIDTH, NEED = 4, 85
-CHUNK_BITS, SKETCH_LONGS = 10, 4
-ROUNDS, STAR = 2, 512
+CHUNK_BITS = 10
+ROUNDS, STAR = 1, 512
 #: Rows of (document, comparison) that are broadcast to the scan of the texts; more are joined by doc_id.
 BROADCAST_ROWS = 300_000
 #: Words whose hashes a task keeps, and fingerprints it knows it has passed on.
 CACHE = 1 << 19
 U = np.uint64
-_hashes: dict[bytes, int] = {}
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -59,36 +61,98 @@ def mixed(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> U(31))
 
 
-def shingles(text: str | None, width: int = WIDTH) -> np.ndarray:
-    """The sorted hashes of a text's distinct shingles."""
-    words = (text or "").encode().lower().split()
-    if not words:
-        return np.zeros(0, U)
-    if len(_hashes) > CACHE:
-        _hashes.clear()
-    get, h = _hashes.get, np.empty(len(words), U)
-    for i, w in enumerate(words):
-        if (x := get(w)) is None:
-            x = _hashes[w] = xxhash.xxh3_64_intdigest(w)
-        h[i] = x
-    n = max(1, len(h) - width + 1)
-    with np.errstate(over="ignore"):
-        out = np.full(n, len(h) if len(h) < width else width, U)
-        for k in range(min(width, len(h))):
-            out = mixed(out * U(0x9E3779B97F4A7C15) + h[k : k + n])
-    return np.unique(out)
-
-
-def fingerprint(found: np.ndarray) -> int:
-    with np.errstate(over="ignore"):
-        return int(mixed(np.array([mixed(found + U(1)).sum() + U(len(found))], U)).view(np.int64)[0])
-
-
-def sketch(found: np.ndarray) -> np.ndarray:
-    """64 * SKETCH_LONGS parity bits of a set, as signed longs."""
-    place = mixed(found ^ U(0x5851F42D4C957F2D)) >> U(64 - 6 - (SKETCH_LONGS - 1).bit_length())
-    bits = np.bincount(place.astype(np.int64), minlength=64 * SKETCH_LONGS)[: 64 * SKETCH_LONGS] & 1
-    return np.packbits(bits.astype(np.uint8), bitorder="little").view(np.int64)
+class _Hashes(dict):
+    def __missing__(self, word: bytes) -> int:
+        h = self[word] = xxhash.xxh3_64_intdigest(word)
+        return h
+
+
+_hashes = _Hashes()
+
+
+class Sets:
+    """The sets of some texts, end to end: ``flat`` holds each text's sorted distinct shingle hashes, ``n`` how many."""
+
+    def __init__(self, texts: list[str | None], width: int = WIDTH):
+        if len(_hashes) > CACHE:
+            _hashes.clear()
+        words = [(t or "").encode().lower().split() for t in texts]
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        total = int(sizes.sum())
+        h = np.fromiter(map(_hashes.__getitem__, itertools.chain.from_iterable(words)), U, total)
+        # a text of fewer than width words is one shingle, as wide as it has words
+        wide = np.minimum(sizes, width)
+        many = np.where(sizes > 0, sizes - wide + 1, 0)
+        start = np.repeat(np.cumsum(sizes) - sizes, many) + np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
+        span = np.repeat(wide, many)
+        with np.errstate(over="ignore"):
+            out = span.astype(U)
+            for k in range(width):
+                more = span > k
+                out = np.where(more, mixed(out * U(0x9E3779B97F4A7C15) + h[np.where(more, start + k, 0)]), out) if total else out
+        ends = np.cumsum(many)
+        parts = [np.unique(out[e - m : e]) for e, m in zip(ends.tolist(), many.tolist())]
+        self.n = np.fromiter(map(len, parts), np.int64, len(parts))
+        self.flat = np.concatenate(parts) if parts else np.zeros(0, U)
+        self.ends = np.cumsum(self.n)
+
+    def __getitem__(self, i: int) -> np.ndarray:
+        return self.flat[self.ends[i] - self.n[i] : self.ends[i]]
+
+    def _sums(self, x: np.ndarray, ufunc=np.add) -> np.ndarray:
+        out, full = np.zeros(len(self.n), U), self.n > 0
+        if full.any():
+            out[full] = ufunc.reduceat(x, (self.ends - self.n)[full])
+        return out
+
+    def fingerprints(self) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return mixed(self._sums(mixed(self.flat + U(1))) + self.n.astype(U)).view(np.int64)
+
+    def sketches(self) -> list[np.ndarray]:
+        """Parity bits of each set, as signed longs: a power of two of them, at least as many bits as elements."""
+        place = mixed(self.flat ^ U(0x5851F42D4C957F2D))
+        longs = sketch_longs(self.n)
+        begin = np.cumsum(longs) - longs
+        at = place & (np.repeat(longs, self.n).astype(U) * U(64) - U(1))
+        bits = np.bincount(at.astype(np.int64) + np.repeat(begin, self.n) * 64, minlength=int(longs.sum()) * 64) & 1
+        packed = np.packbits(bits.astype(np.uint8), bitorder="little").view(np.int64)
+        return [packed[b : b + k] for b, k in zip(begin.tolist(), longs.tolist())]
+
+    def bucket_keys(self) -> tuple[np.ndarray, np.ndarray]:
+        """(keys, the text of each): the buckets of each set, for its own band and, where it can have larger partners there, the next."""
+        own = np.searchsorted(EDGES, self.n, "right") - 1
+        keys, owners = [], []
+        bits = mixed((self.flat & U((1 << CHUNK_BITS) - 1)) + U(1))
+        for step in (0, 1):
+            chunks = np.zeros(len(self.n), np.int64)
+            spare = np.zeros(len(self.n), np.int64)
+            for i in np.flatnonzero(self.n):
+                chunks[i], spare[i] = chunks_for(int(self.n[i]), int(own[i]), step)
+            used = np.repeat(chunks > 0, self.n)
+            if not used.any():
+                continue
+            found, bit = self.flat[used], bits[used]
+            who = np.repeat(np.arange(len(self.n)), self.n)[used]
+            chunk = ((found >> U(32)) * chunks[who].astype(U)) >> U(32)  # ascending within a set, as its hashes are
+            place = (np.cumsum(chunks) - chunks)[who] + chunk.astype(np.int64)
+            first = np.flatnonzero(np.append(True, place[1:] != place[:-1]))
+            parity = np.bitwise_xor.reduceat(bit, first)
+            full = parity != 0
+            who, chunk, parity = who[first][full], chunk[first][full], parity[full]
+            # sets with too many empty chunks bring those along
+            empty = chunks - np.bincount(who, minlength=len(self.n))
+            for i in np.flatnonzero(empty > spare):
+                rest = np.setdiff1d(np.arange(chunks[i], dtype=U), chunk[who == i], assume_unique=True)
+                who, chunk, parity = np.append(who, np.full(len(rest), i)), np.append(chunk, rest), np.append(parity, np.zeros(len(rest), U))
+            keys.append(mixed(parity ^ mixed(chunk * U(1 << 20) + (own[who] + step + 1).astype(U))).view(np.int64))
+            owners.append(who)
+        return np.concatenate([np.zeros(0, np.int64), *keys]), np.concatenate([np.zeros(0, np.int64), *owners])
+
+
+def sketch_longs(n: np.ndarray) -> np.ndarray:
+    """Longs of a sketch: a power of two, from 2 on, with at least as many bits as elements."""
+    return 1 << np.maximum(1, np.ceil(np.log2(np.maximum(n, 1) / 64))).astype(np.int64)
 
 
 def differing(a, b):
@@ -115,70 +179,56 @@ def chunks_of(band: int) -> tuple[int, int]:
     return most + 1 + spare, spare
 
 
-def bucket_keys(found: np.ndarray) -> np.ndarray:
-    """The buckets of a set: for its own band and, where it can have larger partners there, the next."""
-    n, out = len(found), []
-    if not n:
-        return np.zeros(0, np.int64)
-    own = int(np.searchsorted(EDGES, n, "right")) - 1
-    bits = mixed((found & U((1 << CHUNK_BITS) - 1)) + U(1))
-    for band in (own, own + 1):
-        largest = int(EDGES[band + 1]) - 1
-        if band > own and 100 * n < NEED * int(EDGES[band]) or not differing(min(largest, 100 * n // NEED), n if band > own else largest):
-            continue
-        chunks, spare = chunks_of(band)
-        chunk = ((found >> U(32)) * U(chunks)) >> U(32)  # ascending, as found is
-        first = np.flatnonzero(np.append(True, chunk[1:] != chunk[:-1]))
-        parity = np.bitwise_xor.reduceat(bits, first)
-        at, parity = chunk[first][parity != 0], parity[parity != 0]
-        if chunks - len(at) > spare:
-            rest = np.setdiff1d(np.arange(chunks, dtype=U), at, assume_unique=True)
-            at, parity = np.append(at, rest), np.append(parity, np.zeros(len(rest), U))
-        out.append(mixed(parity ^ mixed(at * U(1 << 20) + U(band + 1))))
-    return np.concatenate(out).view(np.int64) if out else np.zeros(0, np.int64)
-
-
-SKETCH = [f"s{i}" for i in range(SKETCH_LONGS)]
-
-
-def sets(docs: DataFrame) -> DataFrame:
-    """(row, doc_id, n, fp, s0...): size, fingerprint and sketch of each row's set."""
+@functools.lru_cache(1 << 16)
+def chunks_for(n: int, own: int, step: int) -> tuple[int, int]:
+    """(chunks, spare) of a set of n in its own band or the next (step 1); no chunks where it can't link with another set."""
+    band = own + step
+    largest = int(EDGES[band + 1]) - 1
+    if step and 100 * n < NEED * int(EDGES[band]) or not differing(min(largest, 100 * n // NEED), n if step else largest):
+        return 0, 0
+    return chunks_of(band)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            found = [shingles(t) for t in b.column("text").to_pylist()]
-            flat = np.stack([sketch(f) for f in found]) if found else np.zeros((0, SKETCH_LONGS), np.int64)
-            cols = [b.column("row"), b.column("doc_id"), pa.array(map(len, found), pa.int64()), pa.array(map(fingerprint, found), pa.int64()), *(pa.array(c) for c in flat.T)]
-            yield pa.RecordBatch.from_arrays(cols, ["row", "doc_id", "n", "fp", *SKETCH])
 
-    return docs.select("row", F.col("doc_id").cast("bigint"), "text").mapInArrow(run, "row bigint, doc_id bigint, n bigint, fp bigint, " + ", ".join(f"{s} bigint" for s in SKETCH))
+SETS = "row bigint, doc_id bigint, n bigint, fp bigint, sketch array<bigint>, keys array<bigint>"
 
 
-def buckets(docs: DataFrame) -> DataFrame:
-    """(key, fp): the buckets of each class; a task passes a class on once."""
+def sets(docs: DataFrame) -> DataFrame:
+    """(row, doc_id, n, fp, sketch, keys): size, fingerprint, sketch and buckets of each row's set; a task gives a class's buckets once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         passed: set[int] = set()
         for b in batches:
-            keys, fps = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-            for t in b.column("text").to_pylist():
-                found = shingles(t)
-                fp = fingerprint(found)
+            if len(passed) > CACHE:
+                passed.clear()
+            found = Sets(b.column("text").to_pylist())
+            fps = found.fingerprints()
+            keys, who = found.bucket_keys()
+            keys = keys[np.argsort(who, kind="stable")]
+            sizes = np.bincount(who, minlength=len(fps))
+            new = np.zeros(len(fps), bool)
+            for i, fp in enumerate(fps.tolist()):
                 if fp not in passed:
-                    if len(passed) > CACHE:
-                        passed.clear()
                     passed.add(fp)
-                    keys.append(bucket_keys(found))
-                    fps.append(np.full(len(keys[-1]), fp, np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(fps))], ["key", "fp"])
+                    new[i] = True
+            keys, sizes = keys[np.repeat(new, sizes)], np.where(new, sizes, 0)
+            lists = pa.ListArray.from_arrays(pa.array(np.append(0, sizes.cumsum()).astype(np.int32)), pa.array(keys))
+            cols = [b.column("row"), b.column("doc_id"), pa.array(found.n), pa.array(fps), pa.array(found.sketches(), pa.list_(pa.int64())), lists]
+            yield pa.RecordBatch.from_arrays(cols, ["row", "doc_id", "n", "fp", "sketch", "keys"])
+
+    return docs.select("row", F.col("doc_id").cast("bigint"), "text").mapInArrow(run, SETS)
+
 
-    return docs.select("text").mapInArrow(run, "key bigint, fp bigint")
+def folded(sketch, longs):
+    """A sketch folded to so many longs: half over half, which keeps it a parity sketch. Linked sizes differ by one fold at most."""
+    half = F.slice(sketch, F.lit(1), longs)
+    return F.when(F.size(sketch) == longs, sketch).otherwise(F.zip_with(half, F.slice(sketch, longs + 1, longs), lambda a, b: a.bitwiseXOR(b)))
 
 
 def may_link(a: str, b: str):
     """Whether sizes and sketches of the rows a and b leave a link possible."""
     small, large = F.least(f"{a}.n", f"{b}.n"), F.greatest(f"{a}.n", f"{b}.n")
-    apart = sum((F.bit_count(F.col(f"{a}.{s}").bitwiseXOR(F.col(f"{b}.{s}"))) for s in SKETCH), F.lit(0))
+    longs = F.least(F.size(f"{a}.sketch"), F.size(f"{b}.sketch"))
+    apart = F.aggregate(F.zip_with(folded(F.col(f"{a}.sketch"), longs), folded(F.col(f"{b}.sketch"), longs), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
     return (small * 100 >= large * NEED) & (apart * (100 + NEED) <= (small + large) * (100 - NEED))
 
 
@@ -196,15 +246,18 @@ def verified(spark: SparkSession, docs: DataFrame, reps: DataFrame, pairs: DataF
         at = centre = None
         for b in batches:
             left, right = [], []
-            for a, part, fp, text in zip(*(b.column(c).to_pylist() for c in ("a", "part", "fp", "text"))):
-                found = shingles(text)
-                if fingerprint(found) != fp:  # another row with this id
+            found = Sets(b.column("text").to_pylist())
+            own = found.fingerprints().tolist()
+            for i, (a, part, fp) in enumerate(zip(*(b.column(c).to_pylist() for c in ("a", "part", "fp")))):
+                if own[i] != fp:  # another row with this id
                     continue
                 if a == fp:
-                    at, centre = (a, part), found
+                    at, centre = (a, part), found[i].copy()
                 elif at == (a, part):
-                    common = np.intersect1d(centre, found, assume_unique=True).size
-                    if 100 * common >= NEED * (len(centre) + len(found) - common):
+                    mine = found[i]
+                    place = np.minimum(np.searchsorted(centre, mine), len(centre) - 1)
+                    common = int((centre[place] == mine).sum())
+                    if 100 * common >= NEED * (len(centre) + len(mine) - common):
                         left.append(a), right.append(fp)
             yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
 
@@ -218,33 +271,35 @@ def components(spark: SparkSession, links: DataFrame) -> DataFrame:
     while True:
         near = both.join(now.select(F.col("fp").alias("b"), "group"), "b").groupBy(F.col("a").alias("fp")).agg(F.min("group").alias("near"))
         lower = now.join(near, "fp").select("fp", "group", F.least("group", "near").alias("lower"))
-        # a group's root takes the smallest that any of its members has found; then each jumps to its root's
+        # a group's root takes the smallest that any of its members has found, and each member its root's
         roots = lower.groupBy(F.col("group").alias("root")).agg(F.min("lower").alias("to"))
-        step = saved(spark, lower.join(roots, lower["group"] == roots["root"]).select("fp", F.least("lower", "to").alias("next"), "group"), "groups")
-        jumped = step.join(step.select(F.col("fp").alias("next"), F.col("next").alias("then")), "next", "left").select("fp", F.least("next", F.coalesce("then", "next")).alias("group"), F.col("group").alias("was"))
-        jumped = saved(spark, jumped, "groups")
-        now = jumped.select("fp", "group")
-        if jumped.where("group != was").isEmpty():
+        step = lower.join(roots, lower["group"] == roots["root"]).select("fp", F.least("lower", "to").alias("group"), F.col("group").alias("was"))
+        step = saved(spark, step, "groups")
+        now = step.select("fp", "group")
+        if step.where("group != was").isEmpty():
             return now
 
 
 def linked_rows(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """(row, doc_id, n, group, component_id) of each row of docs (row, doc_id, text); group is null for empty sets."""
     small_batches(spark)
-    members = saved(spark, sets(docs), "sets")
-    classes = saved(spark, members.where("n > 0").groupBy("fp", "n", *SKETCH).agg(F.min("doc_id").alias("doc_id")), "classes")
-    reps, shape = classes.select("fp", "doc_id"), classes.select("fp", "n", *SKETCH)
+    found = saved(spark, sets(docs), "sets")
+    members = found.drop("keys")
+    classes = saved(spark, members.where("n > 0").groupBy("fp", "n", "sketch").agg(F.min("doc_id").alias("doc_id")), "classes")
+    reps, shape = classes.select("fp", "doc_id"), classes.select("fp", "n", "sketch")
 
     by_key = Window.partitionBy("key")
-    shared = buckets(docs).withColumn("least", F.min("fp").over(by_key)).withColumn("most", F.max("fp").over(by_key))
+    shared = found.select("fp", F.explode("keys").alias("key")).withColumn("least", F.min("fp").over(by_key)).withColumn("most", F.max("fp").over(by_key))
     shared = saved(spark, shared.where("least != most").select("key", "fp", "least"), "buckets")
 
     def possible(pairs: DataFrame) -> DataFrame:
-        x, y = shape.select(F.col("fp").alias("a"), F.struct("n", *SKETCH).alias("x")), shape.select(F.col("fp").alias("b"), F.struct("n", *SKETCH).alias("y"))
-        return pairs.join(x, "a").join(y, "b").where(may_link("x", "y")).select("a", "b")
+        x, y = shape.select(F.col("fp").alias("a"), F.struct("n", "sketch").alias("x")), shape.select(F.col("fp").alias("b"), F.struct("n", "sketch").alias("y"))
+        return pairs.join(x, "a").join(y, "b").where(may_link("x", "y")).drop("x", "y")
 
-    pairs = shared.where("fp != least").select(F.col("least").alias("a"), F.col("fp").alias("b")).distinct()
-    links = saved(spark, verified(spark, docs, reps, possible(pairs)), "links")
+    # each class first meets that one of its buckets' heads with which it shares most buckets
+    met = possible(shared.where("fp != least").groupBy(F.col("least").alias("a"), F.col("fp").alias("b")).agg(F.count("*").alias("in_common")))
+    pairs = met.groupBy("b").agg(F.max_by("a", F.struct("in_common", "a")).alias("a")).select("a", "b")
+    links = saved(spark, verified(spark, docs, reps, saved(spark, pairs, "pairs")), "links")
     groups = components(spark, links)
 
     def grouped() -> DataFrame:
@@ -257,8 +312,9 @@ def linked_rows(spark: SparkSession, docs: DataFrame) -> DataFrame:
         # one member of each group of a bucket meets one of the bucket's smallest group
         one = grouped().groupBy("key", "group", "low").agg(F.min("fp").alias("fp"))
         heads = one.where("group = low").select("key", F.col("fp").alias("a"))
-        pairs = one.where("group != low").join(heads, "key").select(F.least("a", "fp").alias("a"), F.greatest("a", "fp").alias("b")).distinct()
-        pairs = saved(spark, possible(pairs), "pairs")
+        met = one.where("group != low").join(heads, "key").groupBy("low", "group", F.least("a", "fp").alias("a"), F.greatest("a", "fp").alias("b")).agg(F.count("*").alias("in_common"))
+        pairs = possible(met).groupBy("low", "group").agg(F.max_by(F.struct("a", "b"), F.struct("in_common", "a", "b")).alias("p")).select("p.*").distinct()
+        pairs = saved(spark, pairs, "pairs")
         if pairs.isEmpty():
             break
         new = verified(spark, docs, reps, pairs)
