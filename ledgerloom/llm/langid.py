@@ -35,6 +35,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ledgerloom.llm.common import id_remainder, small_batches, table
 
@@ -94,7 +95,7 @@ class Judge:
         return self.langs[best], score, margin, margin < min_margin and len(raw) >= MIN_BYTES
 
 
-COLUMNS = "lang_pred string, score double, margin double, rejected boolean"
+COLUMNS = T.StructType().add("lang_pred", "string").add("score", "double").add("margin", "double").add("rejected", "boolean")
 
 
 def predict(spark: SparkSession, docs: DataFrame, dicts: list[tuple[str, bytes]], keep: list[str], min_margin: float = MIN_MARGIN) -> DataFrame:
@@ -109,7 +110,7 @@ def predict(spark: SparkSession, docs: DataFrame, dicts: list[tuple[str, bytes]]
             cols = [pa.array([f[i] for f in found], t) for i, t in enumerate((pa.string(), pa.float64(), pa.float64(), pa.bool_()))]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), *cols], [*keep, "lang_pred", "score", "margin", "rejected"])
 
-    schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep), COLUMNS])
+    schema = T.StructType([*(docs.schema[c] for c in keep), *COLUMNS])
     return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(run, schema)
 
 
@@ -126,8 +127,8 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents whose language can't be told go."""
-    got = predict(spark, docs, dictionaries(learning_rows(docs)), docs.columns)
-    return got.where("not rejected").select(*docs.columns)
+    rows = docs.select(F.struct("*").alias("doc"), "text")
+    return predict(spark, rows, dictionaries(learning_rows(docs)), ["doc"]).where("not rejected").select("doc.*")
 
 
 QUERIES = {"op4_language_id": op4_language_id}

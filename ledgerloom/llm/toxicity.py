@@ -32,6 +32,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ledgerloom.llm.common import id_remainder, small_batches, table
 
@@ -142,7 +143,7 @@ def score(spark: SparkSession, docs: DataFrame, model: dict[int, float], keep: l
             p = 1 / (1 + np.exp(-np.clip(sums, -35, 35)))
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(p), pa.array((p >= THRESHOLD).astype(np.int32))], [*keep, "score", "predicted"])
 
-    schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep), "score double, predicted int"])
+    schema = T.StructType([*(docs.schema[c] for c in keep), *T.StructType().add("score", "double").add("predicted", "integer")])
     return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(run, schema)
 
 
@@ -162,7 +163,7 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def keep_clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents predicted toxic go."""
     model = train(spark, learning_rows(docs, table(spark, sf_dir, "labels", "doc_id", "toxic")))
-    return score(spark, docs, model, docs.columns).where("predicted = 0").select(*docs.columns)
+    return score(spark, docs.select(F.struct("*").alias("doc"), "text"), model, ["doc"]).where("predicted = 0").select("doc.*")
 
 
 QUERIES = {"op1_toxicity": op1_toxicity}

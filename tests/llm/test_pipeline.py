@@ -41,3 +41,15 @@ def test_empty(spark, tmp_path):
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_clashing_columns_stay(spark, tmp_path):
+    """Every stage but the last returns the columns it was given, whatever their names."""
+    rows = [(i, f"the water of the river number {i} and more words there", "en", "s", 3, 0.5, True, "x", i, "odd") for i in range(8)]
+    names = "doc_id long, text string, lang string, source string, n_chars int, score double, rejected boolean, topic string, row int, `a b` string"
+    spark.createDataFrame(rows, names).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns and out.exceptAll(docs).isEmpty()
