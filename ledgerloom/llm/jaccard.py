@@ -15,9 +15,9 @@ sets has no more than ``spare`` of them; sets with more bring theirs along. Link
 classes therefore share a (band, chunk, bits) bucket for sure.
 
 A bucket's members need not all be compared to know what is connected. First, each
-class meets one of its buckets' smallest fingerprints, the one it shares most
-buckets with; then groups that share a bucket meet by one member each, for
-``ROUNDS`` round; at last all members of different groups
+class meets one of its buckets' heads, the one it shares most buckets with (a
+bucket's head is the member that meets others in most buckets); then groups meet
+the heads of other groups by one member each, for ``ROUNDS`` round; at last all members of different groups
 that still share a bucket meet, if their sketches' Hamming distance allows a link.
 Every pair that shares a bucket is so compared, or connected already. Verification
 brings the texts of a pair together (large stars are split) and compares the sets.
@@ -289,40 +289,42 @@ def linked_rows(spark: SparkSession, docs: DataFrame) -> DataFrame:
     reps, shape = classes.select("fp", "doc_id"), classes.select("fp", "n", "sketch")
 
     by_key = Window.partitionBy("key")
-    shared = found.select("fp", F.explode("keys").alias("key")).withColumn("least", F.min("fp").over(by_key)).withColumn("most", F.max("fp").over(by_key))
-    shared = saved(spark, shared.where("least != most").select("key", "fp", "least"), "buckets")
+    met = found.select("fp", F.explode("keys").alias("key")).withColumn("least", F.min("fp").over(by_key)).withColumn("most", F.max("fp").over(by_key))
+    met = saved(spark, met.where("least != most").select("key", "fp"), "met")
+    # the head of a bucket is its member that meets others in most buckets: an original rather than one of its edited copies
+    weight = met.groupBy("fp").agg(F.count("*").alias("weight"))
+    shared = met.join(weight, "fp").withColumn("head", F.max(F.struct("weight", "fp")).over(by_key)["fp"])
+    shared = saved(spark, shared.select("key", "fp", "weight", "head"), "buckets")
 
     def possible(pairs: DataFrame) -> DataFrame:
         x, y = shape.select(F.col("fp").alias("a"), F.struct("n", "sketch").alias("x")), shape.select(F.col("fp").alias("b"), F.struct("n", "sketch").alias("y"))
         return pairs.join(x, "a").join(y, "b").where(may_link("x", "y")).drop("x", "y")
 
     # each class first meets that one of its buckets' heads with which it shares most buckets
-    met = possible(shared.where("fp != least").groupBy(F.col("least").alias("a"), F.col("fp").alias("b")).agg(F.count("*").alias("in_common")))
-    pairs = met.groupBy("b").agg(F.max_by("a", F.struct("in_common", "a")).alias("a")).select("a", "b")
-    links = saved(spark, verified(spark, docs, reps, saved(spark, pairs, "pairs")), "links")
+    heads = shared.where("fp != head").groupBy(F.col("head").alias("a"), F.col("fp").alias("b")).agg(F.count("*").alias("in_common"))
+    pairs = heads.groupBy("b").agg(F.max_by("a", F.struct("in_common", "a")).alias("a")).select("a", "b")
+    links = saved(spark, verified(spark, docs, reps, saved(spark, possible(pairs), "pairs")), "links")
     groups = components(spark, links)
 
-    def grouped() -> DataFrame:
-        """The buckets in which several groups still meet."""
-        g = shared.select("key", "fp").join(groups, "fp", "left").select("key", "fp", F.coalesce("group", "fp").alias("group")).distinct()
-        lo, hi = F.min("group").over(by_key), F.max("group").over(by_key)
-        return g.withColumn("low", lo).withColumn("high", hi).where("low != high")
+    def grouped(rows: DataFrame) -> DataFrame:
+        return rows.join(groups, "fp", "left").withColumn("group", F.coalesce("group", "fp"))
 
     for _ in range(ROUNDS):
-        # one member of each group of a bucket meets one of the bucket's smallest group
-        one = grouped().groupBy("key", "group", "low").agg(F.min("fp").alias("fp"))
-        heads = one.where("group = low").select("key", F.col("fp").alias("a"))
-        met = one.where("group != low").join(heads, "key").groupBy("low", "group", F.least("a", "fp").alias("a"), F.greatest("a", "fp").alias("b")).agg(F.count("*").alias("in_common"))
-        pairs = possible(met).groupBy("low", "group").agg(F.max_by(F.struct("a", "b"), F.struct("in_common", "a", "b")).alias("p")).select("p.*").distinct()
-        pairs = saved(spark, pairs, "pairs")
+        # of each group that a head's bucket holds besides its own, the member that meets most others meets the head
+        own = groups.select(F.col("fp").alias("head"), F.col("group").alias("own"))
+        others = grouped(shared).join(own, "head", "left").withColumn("own", F.coalesce("own", "head")).where("group != own")
+        one = others.groupBy("key", "head", "own", "group").agg(F.max_by("fp", F.struct("weight", "fp")).alias("fp"))
+        two = one.groupBy("own", "group", F.least("head", "fp").alias("a"), F.greatest("head", "fp").alias("b")).agg(F.count("*").alias("in_common"))
+        pairs = two.groupBy("own", "group").agg(F.max_by(F.struct("a", "b"), F.struct("in_common", "a", "b")).alias("p")).select("p.*").distinct()
+        pairs = saved(spark, possible(pairs), "pairs")
         if pairs.isEmpty():
             break
-        new = verified(spark, docs, reps, pairs)
-        links = saved(spark, links.union(new), "links")
+        links = saved(spark, links.union(verified(spark, docs, reps, pairs)), "links")
         groups = components(spark, links)
 
     # the rest, whole: members of different groups that share a bucket and whose sizes and sketches allow a link
-    left = saved(spark, grouped().select("key", "fp", "group").join(shape, "fp"), "left")
+    several = grouped(shared.select("key", "fp")).withColumn("low", F.min("group").over(by_key)).withColumn("high", F.max("group").over(by_key))
+    left = saved(spark, several.where("low != high").select("key", "fp", "group").join(shape, "fp"), "left")
     x, y = left.alias("x"), left.alias("y")
     rest = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.group") < F.col("y.group")) & may_link("x", "y"))
     rest = saved(spark, rest.select(F.least("x.fp", "y.fp").alias("a"), F.greatest("x.fp", "y.fp").alias("b")).distinct(), "rest")
