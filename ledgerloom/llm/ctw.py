@@ -14,12 +14,14 @@ of its words' scores, plus the end's.
 Training counts come from all training rows: the words of each task are counted
 locally and summed by Spark, and these counts (``vocabulary``) also give the base
 score. Contexts with their next byte (``grams``) are summed from the distinct
-words. Their number is checked: the depth is the largest up to ``DEPTH`` whose
-grams number at most ``MAX_GRAMS``, so that the model that is broadcast is
-bounded whatever the corpus; the trees below each newest byte are made apart, by
-tasks. The vocabulary is never broadcast whole: its
-most frequent words are (``HOT_WORDS`` at most), with their counts and scores, and
-the rarer words of each document are joined to it by a 64-bit hash of the word.
+words. The depth is fixed, and what the model holds grows with the corpus: the
+trees below each two newest bytes are made apart, by tasks, and stay as tables of
+grams and nodes; only the counts of the 65,280 nodes of depth 1 that there can be
+are gathered. Distinct words are scored by joining their grams to these tables,
+grams that training has not seen by their nodes of each depth. No vocabulary is
+broadcast whole: the most frequent words are (``HOT_WORDS`` at most), with their
+counts and scores, and the rarer words of each document are joined to the scored
+words by a 64-bit hash of the word.
 
 Defined cases: null counts as the empty text, which has only an end; a byte that
 no context has seen is even odds on each bit; without training rows the base has
@@ -40,7 +42,9 @@ from pyspark.sql import functions as F
 
 from ledgerloom.llm.common import BATCH_ROWS, id_remainder, saved, small_batches, table
 
-DEPTH, MAX_GRAMS, HOT_WORDS = 5, 1_000_000, 1 << 16
+DEPTH, HOT_WORDS = 5, 1 << 16
+#: Grams that a task grows trees from at a time; more where two newest bytes have more.
+GROW_GRAMS = 50_000
 #: Distinct words that a task counts before it passes them on.
 FLUSH_WORDS = 300_000
 SPACE, END = 0x20, 0x0A
@@ -97,18 +101,18 @@ def _log_kt(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return log_rise(a) + log_rise(b) - np.log(np.pi) - whole
 
 
-def subtree(keys: np.ndarray, counts: np.ndarray, depth: int) -> dict:
-    """The trees below the root for grams that share their newest context byte.
+def subtree(keys: np.ndarray, counts: np.ndarray, depth: int, top: int = 1) -> dict:
+    """The trees from depth ``top`` on, for all grams that share some contexts of that depth; each has at least so many symbols.
 
-    Returned: the sorted ``keys``; ``bits``, for each key and bit the probability of the bit that it holds, as from depth 1
-    on; by depth from 1, ``nodes`` (context << 8 | the bits so far, with a leading one) and what each ``leave``s to an unseen
-    child; and for the nodes of depth 1 their counts and log weight (``zeros``, ``ones``, ``weight``).
+    Returned: the sorted ``keys``; ``bits``, for each key and bit the probability of the bit that it holds, as from depth top
+    on; by depth from top, ``nodes`` (context << 8 | the bits so far, with a leading one) and what each ``leave``s to an unseen
+    child; and for the nodes of depth top their counts and log weight (``zeros``, ``ones``, ``weight``).
     """
     order = np.argsort(keys)
     keys, counts = keys[order], counts[order].astype(np.float64)
     sizes = _sizes(keys >> U(8), depth)
     nodes, ones, totals = [], [], []
-    for d in range(1, depth + 1):
+    for d in range(top, depth + 1):
         long = sizes >= d
         context, byte = (keys[long] >> U(8)) & U((1 << 8 * d) - 1), keys[long] & U(255)
         at = np.concatenate([context << U(8) | (U(1 << k) | byte >> U(8 - k)) for k in range(8)])
@@ -117,29 +121,30 @@ def subtree(keys: np.ndarray, counts: np.ndarray, depth: int) -> dict:
         nodes.append(found)
         totals.append(np.bincount(where, np.tile(counts[long], 8), len(found)))
         ones.append(np.bincount(where, np.tile(counts[long], 8) * bit, len(found)))
-    parents = [None] + [np.searchsorted(nodes[i - 1], ((nodes[i] >> U(8)) & U((1 << 8 * i) - 1)) << U(8) | nodes[i] & U(255)) for i in range(1, depth)]
-    share, below = [None] * depth, np.zeros(0)  # share: how much of a node's weight is its own estimate
-    for i in range(depth - 1, -1, -1):
+    levels = depth + 1 - top
+    parents = [None] + [np.searchsorted(nodes[i - 1], ((nodes[i] >> U(8)) & U((1 << 8 * (top + i - 1)) - 1)) << U(8) | nodes[i] & U(255)) for i in range(1, levels)]
+    share, below = [None] * levels, np.zeros(0)  # share: how much of a node's weight is its own estimate
+    for i in range(levels - 1, -1, -1):
         own = _log_kt(totals[i] - ones[i], ones[i])
-        leaf = (nodes[i] >> U(8 * (i + 1))) == SPACE if i < depth - 1 else np.ones(len(own), bool)
-        inside = np.bincount(parents[i + 1], below, len(own)) if i < depth - 1 else np.zeros(len(own))
+        leaf = (nodes[i] >> U(8 * (top + i))) == SPACE if i < levels - 1 else np.ones(len(own), bool)
+        inside = np.bincount(parents[i + 1], below, len(own)) if i < levels - 1 else np.zeros(len(own))
         both = np.logaddexp(own, inside) - np.log(2)
         share[i] = np.where(leaf, 1.0, np.exp(np.minimum(0.0, own - np.log(2) - both)))
         below = np.where(leaf, own, both)
     spent, left, leave = np.zeros(len(nodes[0])), np.ones(len(nodes[0])), []
     bits = np.zeros((len(keys), 8))
-    for i in range(depth):
+    for i in range(levels):
         if i:
             spent, left = spent[parents[i]], left[parents[i]]
         spent = spent + left * share[i] * (ones[i] + 0.5) / (totals[i] + 1)
         left = left * (1 - share[i])
-        leave.append((spent + left * 0.5).astype(np.float32))
-        here = sizes == i + 1
+        leave.append(spent + left * 0.5)
+        here = sizes == top + i
         context, byte = keys[here] >> U(8), keys[here] & U(255)
         for k in range(8):
             p = spent[np.searchsorted(nodes[i], context << U(8) | (U(1 << k) | byte >> U(8 - k)))]
             bits[here, k] = np.where((byte >> U(7 - k)) & U(1), p, 1 - p)
-    return {"keys": keys, "bits": bits.astype(np.float32), "nodes": nodes, "leave": leave, "zeros": totals[0] - ones[0], "ones": ones[0], "weight": below}
+    return {"keys": keys, "bits": bits, "nodes": nodes, "leave": leave, "zeros": totals[0] - ones[0], "ones": ones[0], "weight": below}
 
 
 class Root:
@@ -263,39 +268,167 @@ def _longs(x: np.ndarray) -> bytes:
     return np.ascontiguousarray(x).tobytes()
 
 
-SUBTREE = "newest bigint, keys binary, bits binary, nodes array<binary>, leave array<binary>, top binary, zeros binary, ones binary, weight binary"
-
+SUBTREE = "keys binary, bits binary, nodes array<binary>, leave array<binary>, top binary, zeros binary, ones binary, weight binary"
+
+
+class Upper:
+    """The root and the nodes of depth 1 (newest byte << 8 | the bits so far), from the counts of these and the weights below them."""
+
+    def __init__(self, nodes: np.ndarray, zeros: np.ndarray, ones: np.ndarray, inside: np.ndarray, leaf: np.ndarray):
+        self.seen = np.zeros(1 << 16, bool)
+        self.seen[nodes] = True
+        own = _log_kt(zeros, ones)
+        both = np.where(leaf, own, np.logaddexp(own, inside) - np.log(2))
+        share = np.where(leaf, 1.0, np.exp(np.minimum(0.0, own - np.log(2) - both)))
+        bits = nodes & 255
+        root = Root(bits, zeros, ones, both)
+        one, above, keep = (ones + 0.5) / (zeros + ones + 1), root.share[bits], 1 - root.share[bits]
+        # the probability of a bit is what both depths hold of it, and a part of what comes from below
+        self.holds, self.passes = np.zeros((2, 1 << 16)), np.zeros(1 << 16)
+        self.holds[1, nodes] = above * root.own[bits] + keep * share * one
+        self.holds[0, nodes] = above * (1 - root.own[bits]) + keep * share * (1 - one)
+        self.passes[nodes] = keep * (1 - share)
+        self.root_leave = np.where(root.seen, root.mix(np.arange(256), np.full(256, 0.5)), 0.5)
+        self.leave = self.holds[1] + self.passes * 0.5
+
+    def logs(self, keys: np.ndarray, below: np.ndarray) -> np.ndarray:
+        """log10 probability of each gram, given those of its bits from below."""
+        out, byte, newest = np.zeros(len(keys)), (keys & U(255)).astype(np.int64), ((keys >> U(8)) & U(255)).astype(np.int64)
+        for k in range(8):
+            node = newest << 8 | 1 << k | byte >> (8 - k)
+            out += np.log10(self.holds[(byte >> (7 - k)) & 1, node] + self.passes[node] * below[:, k])
+        return out
 
-def train(spark: SparkSession, vocab: DataFrame, depth: int = DEPTH, max_grams: int = MAX_GRAMS) -> Model:
-    """The trees of the largest depth up to depth whose grams number at most max_grams; each newest byte's subtree is made by a task."""
+    def leaves(self, nodes: np.ndarray, below: np.ndarray) -> np.ndarray:
+        """What deeper nodes leave to an unseen child, given what they do from below."""
+        at = (((nodes >> U(8)) & U(255)) << U(8) | nodes & U(255)).astype(np.int64)
+        return self.holds[1][at] + self.passes[at] * below
+
+    def unseen(self, newest: np.ndarray, bits: np.ndarray) -> np.ndarray:
+        """Probabilities of a one where no deeper node is seen."""
+        node = newest << 8 | bits
+        return np.where(self.seen[node], self.leave[node], self.root_leave[bits])
+
+
+class Trees:
+    """A model as tables: ``grams`` (gram, log: log10 probability) and ``nodes`` (node, leave) from depth 2 on; a node is depth << 48 | context << 8 | bits."""
+
+    def __init__(self, depth: int, upper: Upper, grams: DataFrame, nodes: DataFrame):
+        self.depth, self.upper, self.grams, self.nodes = depth, upper, grams, nodes
+
+    def unseen(self, spark: SparkSession, grams: DataFrame) -> DataFrame:
+        """(gram, log) of distinct grams that training has not seen."""
+        depth, upper = self.depth, spark.sparkContext.broadcast(self.upper)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                keys = b.column("gram").to_numpy().view(U)
+                context, byte = keys >> U(8), (keys & U(255)).astype(np.int64)
+                sizes, newest = _sizes(context, depth), (context & U(255)).astype(np.int64)
+                for k in range(8):
+                    bits, one = 1 << k | byte >> (8 - k), (byte >> (7 - k)) & 1
+                    p = upper.value.unseen(newest, bits)
+                    for d in range(1, depth + 1):
+                        # a gram's own row, of depth 1, meets no node
+                        has = sizes >= d
+                        node = U(d << 48) | (context & U((1 << 8 * d) - 1)) << U(8) | bits.astype(U)
+                        cols = [keys[has].view(np.int64), np.full(int(has.sum()), k), one[has], np.full(int(has.sum()), d), node[has].view(np.int64), p[has]]
+                        yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["gram", "k", "one", "d", "node", "p"])
+
+        met = grams.select("gram").mapInArrow(run, "gram bigint, k bigint, one bigint, d bigint, node bigint, p double").join(self.nodes, "node", "left")
+        deepest = F.max(F.when(F.col("leave").isNotNull(), F.struct("d", "leave")))["leave"]
+        bit = met.groupBy("gram", "k", "one", "p").agg(deepest.alias("leave")).select("gram", "one", F.coalesce("leave", "p").alias("p"))
+        return bit.groupBy("gram").agg(F.sum(F.log10(F.when(F.col("one") == 1, F.col("p")).otherwise(1 - F.col("p")))).alias("log"))
+
+    def scored(self, spark: SparkSession, vocab: DataFrame, new: DataFrame) -> DataFrame:
+        """(word: its hash, c, word_score) of the words of vocab (word, c), all of them trained on, and of those that are new (word), with a c of 0."""
+        depth = self.depth
+
+        def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                words = b.column("word").to_pylist()
+                key, place = grams_of(words, depth)
+                h = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in words), U, len(words)).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(h[place]), pa.array(b.column("c").to_numpy()[place]), pa.array(key.view(np.int64))], ["word", "c", "gram"])
+
+        kind = "word bigint, c bigint, gram bigint"
+        fresh = saved(spark, new.select("word", F.lit(0).cast("bigint").alias("c")).mapInArrow(spell, kind), "spelled")
+        unseen = fresh.select("gram").distinct().join(self.grams, "gram", "left_anti")
+        logs = self.grams.unionByName(saved(spark, self.unseen(spark, unseen), "unseen"))
+        met = vocab.select("word", "c").mapInArrow(spell, kind).unionByName(fresh).join(logs, "gram")
+        return met.groupBy("word").agg(F.max("c").alias("c"), F.sum("log").alias("word_score"))
+
+
+def train(spark: SparkSession, vocab: DataFrame, depth: int = DEPTH, max_grams: int | None = None) -> Trees:
+    """The trees of depth; only where max_grams is given, those of the largest depth up to it whose grams number at most so many."""
     small_batches(spark, 20_000)
-    while (grams := saved(spark, gram_counts(vocab, depth), "grams")).count() > max_grams and depth > 1:
+    while (grams := saved(spark, gram_counts(vocab, depth), "grams")) and max_grams is not None and depth > 1 and grams.count() > max_grams:
         depth -= 1
+    begun = F.shiftright("gram", 8)
+    newest_two = begun.bitwiseAND(0xFFFF)
+    #: contexts that end at depth 1
+    short = F.lit(depth == 1) | (begun == SPACE)
+
+    def grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def tree(keys: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+            t = subtree(keys, n, depth, 2)
+            one = {x: _longs(t[x]) for x in ("keys", "bits", "zeros", "ones", "weight")} | {x: [_longs(y) for y in t[x]] for x in ("nodes", "leave")}
+            one["top"] = _longs((t["nodes"][0] & U(0xFFFF)).astype(np.int64))
+            return pa.RecordBatch.from_pylist([one], pa.schema([(x, pa.list_(pa.binary()) if x in ("nodes", "leave") else pa.binary()) for x in ("keys", "bits", "nodes", "leave", "top", "zeros", "ones", "weight")]))
+
+        keys, n = np.zeros(0, U), np.zeros(0, np.int64)
+        for b in batches:
+            keys, n = np.append(keys, b.column("gram").to_numpy().view(U)), np.append(n, b.column("n").to_numpy())
+            two = (keys >> U(8)) & U(0xFFFF)
+            if len(keys) >= GROW_GRAMS and (cut := int(np.searchsorted(two, two[-1]))):
+                yield tree(keys[:cut], n[:cut])
+                keys, n = keys[cut:], n[cut:]
+        if len(keys):
+            yield tree(keys, n)
+
+    dealt = grams.where(~short).withColumn("two", newest_two).repartition("two").sortWithinPartitions("two")
+    trees = saved(spark, dealt.select("gram", "n").mapInArrow(grow, SUBTREE), "subtrees")
+    small_batches(spark, 16)
 
-    def grow(rows: pa.Table) -> pa.Table:
-        t = subtree(rows["gram"].to_numpy().view(U), rows["n"].to_numpy(), depth)
-        one = {x: [_longs(t[x])] for x in ("keys", "bits", "zeros", "ones", "weight")} | {x: [[_longs(y) for y in t[x]]] for x in ("nodes", "leave")}
-        one |= {"newest": [int(t["keys"][0] >> U(8)) & 255], "top": [_longs((t["nodes"][0] & U(255)).astype(np.int64))]}
-        return pa.table({name: pa.array(one[name], kind) for name, kind in (("newest", pa.int64()), ("keys", pa.binary()), ("bits", pa.binary()), ("nodes", pa.list_(pa.binary())), ("leave", pa.list_(pa.binary())), ("top", pa.binary()), ("zeros", pa.binary()), ("ones", pa.binary()), ("weight", pa.binary()))})
-
-    by_newest = grams.groupBy(F.shiftright("gram", 8).bitwiseAND(255).alias("newest"))
-    trees = saved(spark, by_newest.applyInArrow(grow, SUBTREE), "subtrees")
-    tops = trees.select("top", "zeros", "ones", "weight").collect()  # 256 rows of 255 nodes at most
-    root = Root(*(np.concatenate([np.zeros(0, kind), *(np.frombuffer(r[c], kind) for r in tops)]) for c, kind in (("top", np.int64), ("zeros", np.float64), ("ones", np.float64), ("weight", np.float64))))
+    def tops(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for r in b.to_pylist():
+                found, where = np.unique(np.frombuffer(r["top"], np.int64), return_inverse=True)
+                sums = (np.bincount(where, np.frombuffer(r[x], np.float64), len(found)) for x in ("zeros", "ones", "weight"))
+                yield pa.RecordBatch.from_arrays([pa.array(found), *map(pa.array, sums)], ["node", "zeros", "ones", "weight"])
+
+    inner = trees.select("top", "zeros", "ones", "weight").mapInArrow(tops, "node bigint, zeros double, ones double, weight double")
+    bit = F.expr("shiftright(gram & 255, 7 - k) & 1")
+    ends = grams.where(short).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(7)))).select(
+        F.expr("(shiftright(gram, 8) & 255) * 256 + (shiftleft(1, k) | shiftright(gram & 255, 8 - k))").alias("node"),
+        F.when(bit == 0, F.col("n")).otherwise(0).cast("double").alias("zeros"), F.when(bit == 1, F.col("n")).otherwise(0).cast("double").alias("ones"), F.lit(None).cast("double").alias("weight"),
+    )
+    rows = inner.unionByName(ends).groupBy("node").agg(*(F.sum(x).alias(x) for x in ("zeros", "ones", "weight"))).collect()  # 65,280 at most
+    leaf = np.array([r.weight is None for r in rows], bool)
+    upper = Upper(np.array([r.node for r in rows], np.int64), *(np.array([r[x] or 0.0 for r in rows], np.float64) for x in ("zeros", "ones", "weight")), leaf)
+    shared = spark.sparkContext.broadcast(upper)
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for r in b.to_pylist():
                 keys = np.frombuffer(r["keys"], U)
-                logs = root.logs(keys, np.frombuffer(r["bits"], np.float32).reshape(-1, 8)).astype(np.float32)
-                nodes = [np.frombuffer(n, U) for n in r["nodes"]]
-                leave = [root.mix((n & U(255)).astype(np.int64), np.frombuffer(e, np.float32)).astype(np.float32) for n, e in zip(nodes, r["leave"])]
-                yield pa.RecordBatch.from_arrays([pa.array([r["keys"]]), pa.array([_longs(logs)]), pa.array([r["nodes"]], pa.list_(pa.binary())), pa.array([[_longs(e) for e in leave]], pa.list_(pa.binary()))], ["keys", "logs", "nodes", "leave"])
+                logs = shared.value.logs(keys, np.frombuffer(r["bits"], np.float64).reshape(-1, 8))
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(logs)], ["gram", "log"])
 
-    small_batches(spark, 16)
-    done = trees.select("keys", "bits", "nodes", "leave").mapInArrow(finish, "keys binary, logs binary, nodes array<binary>, leave array<binary>").toLocalIterator()
-    parts = [{"keys": np.frombuffer(r["keys"], U), "logs": np.frombuffer(r["logs"], np.float32), "nodes": [np.frombuffer(n, U) for n in r["nodes"]], "leave": [np.frombuffer(e, np.float32) for e in r["leave"]]} for r in done]
-    return Model.of(root, depth, parts)
+    def finish_ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keys = b.column("gram").to_numpy().view(U)
+            yield pa.RecordBatch.from_arrays([b.column("gram"), pa.array(shared.value.logs(keys, np.zeros((len(keys), 8))))], ["gram", "log"])
+
+    def left(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for r in b.to_pylist():
+                for i, (nodes, leave) in enumerate(zip(r["nodes"], r["leave"])):
+                    n = np.frombuffer(nodes, U)
+                    yield pa.RecordBatch.from_arrays([pa.array((n | U(i + 2 << 48)).view(np.int64)), pa.array(shared.value.leaves(n, np.frombuffer(leave)))], ["node", "leave"])
+
+    logs = trees.select("keys", "bits").mapInArrow(finish, "gram bigint, log double").unionByName(grams.where(short).select("gram").mapInArrow(finish_ends, "gram bigint, log double"))
+    return Trees(depth, upper, saved(spark, logs, "logs"), saved(spark, trees.select("nodes", "leave").mapInArrow(left, "node bigint, leave double"), "nodes"))
 
 
 def frequent_words(vocab: DataFrame, most: int | None = None) -> dict[bytes, int]:
@@ -310,14 +443,17 @@ def frequent_words(vocab: DataFrame, most: int | None = None) -> dict[bytes, int
     return {} if least is None else {bytes(r.word): r.c for r in vocab.where(level >= least).collect()}
 
 
-def score(spark: SparkSession, docs: DataFrame, vocab: DataFrame, model: Model) -> DataFrame:
-    """(doc_id, n_tokens, n_known, train_tokens, base_score, score) of each row's text."""
+def score(spark: SparkSession, docs: DataFrame, vocab: DataFrame, model: Trees, held_out: DataFrame | None = None) -> DataFrame:
+    """(doc_id, n_tokens, n_known, train_tokens, base_score, score) of each row's text; held_out: the rows with words that vocab may lack, if not all."""
+    small_batches(spark)
+    new = saved(spark, vocabulary(docs if held_out is None else held_out).join(vocab, "word", "left_anti").select("word"), "new")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20000")
+    scored = saved(spark, model.scored(spark, vocab, new), "words")
     total = vocab.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     n, v = total.n, total.v
     below = n + 0.1 * (v + 1)
     hot = frequent_words(vocab)
-    logs = model.score(list(hot))
-    shared = spark.sparkContext.broadcast((model, {w: (c, np.log10((c + 0.1) / below), s) for (w, c), s in zip(hot.items(), logs.tolist())}))
+    logs = {r.word: r.word_score for r in scored.where(F.col("c") >= min(hot.values())).select("word", "word_score").collect()} if hot else {}  # those of hot
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     fields = [("doc_id", pa.int64()), ("h", pa.int64()), ("word", pa.int64()), ("tf", pa.int32()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64())]
     schema = "doc_id bigint, h bigint, word bigint, tf int, n_tokens bigint, n_known bigint, base double, score double"
@@ -325,9 +461,10 @@ def score(spark: SparkSession, docs: DataFrame, vocab: DataFrame, model: Model)
     def signed(h: int) -> int:
         return h - (1 << 64) if h >> 63 else h
 
+    shared = spark.sparkContext.broadcast({w: (c, np.log10((c + 0.1) / below), logs[signed(xxhash.xxh3_64_intdigest(w))]) for w, c in hot.items()})
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trees, frequent = shared.value
-        get = frequent.get
+        get = shared.value.get
         for b in batches:
             whole, rare, hs = [], [], b.column("h").to_pylist()
             for i, h, text in zip(b.column("doc_id").to_pylist(), hs, b.column("text").to_pylist()):
@@ -343,10 +480,7 @@ def score(spark: SparkSession, docs: DataFrame, vocab: DataFrame, model: Model)
                         log += tf * e[2]
                 whole.append([i, h, sum(words.values()), known, base, log])
             names = {w: k for k, w in enumerate(dict.fromkeys(w for _, w, _ in rare))}
-            found = trees.score(list(names)).tolist()
             hashes = [signed(xxhash.xxh3_64_intdigest(w)) for w in names]
-            for d, w, tf in rare:
-                whole[d][5] += tf * found[names[w]]
             k, r = len(whole), len(rare)
             cols = [
                 [x[0] for x in whole] + [whole[d][0] for d, _, _ in rare],
@@ -359,12 +493,12 @@ def score(spark: SparkSession, docs: DataFrame, vocab: DataFrame, model: Model)
 
     rows = docs.select(F.col("doc_id").cast("bigint"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"), "text").mapInArrow(run, schema)
     # both kinds of row go the same way: a document's own row meets no word
-    counts = _hashed(vocab)
-    met = rows.join(counts, "word", "left")
+    met = rows.join(scored, "word", "left")
     tf, c = F.col("tf").cast("double"), F.coalesce("c", F.lit(0)).cast("double")
     met = met.select(
         "doc_id", "h", "n_tokens", (F.col("n_known") + F.when(F.col("c") > 0, F.col("tf")).otherwise(0)).alias("n_known"),
-        (F.col("base") + F.when(F.col("word").isNotNull(), tf * F.log10((c + 0.1) / F.lit(below))).otherwise(0.0)).alias("base"), "score", F.col("word").isNull().cast("bigint").alias("own"),
+        (F.col("base") + F.when(F.col("word").isNotNull(), tf * F.log10((c + 0.1) / F.lit(below))).otherwise(0.0)).alias("base"),
+        (F.col("score") + F.when(F.col("word").isNotNull(), tf * F.col("word_score")).otherwise(0.0)).alias("score"), F.col("word").isNull().cast("bigint").alias("own"),
     )
     sums = met.groupBy("doc_id", "h").agg(*(F.sum(x).alias(x) for x in ("n_tokens", "n_known", "base", "score", "own")))
     each = lambda x: (F.col(x) / F.col("own"))
@@ -373,21 +507,13 @@ def score(spark: SparkSession, docs: DataFrame, vocab: DataFrame, model: Model)
     )
 
 
-def _hashed(vocab: DataFrame) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            h = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in b.column("word").to_pylist()), U, len(b)).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(h), b.column("c")], ["word", "c"])
-
-    return vocab.mapInArrow(run, "word bigint, c bigint")
-
-
 def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
-    vocab = saved(spark, vocabulary(docs.where(id_remainder("doc_id", 10) != 0)), "vocabulary")
-    out = score(spark, docs, vocab, train(spark, vocab))
-    return out.select("doc_id", (id_remainder("doc_id", 10) == 0).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    held_out = id_remainder("doc_id", 10) == 0
+    vocab = saved(spark, vocabulary(docs.where(~held_out)), "vocabulary")
+    out = score(spark, docs, vocab, train(spark, vocab), docs.where(held_out))
+    return out.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
 QUERIES = {"op8_lm_scoring": op8_lm_scoring}

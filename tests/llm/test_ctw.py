@@ -116,3 +116,24 @@ def test_empty_and_untrained(spark, tmp_path):
 def test_depth_falls_with_too_many_grams(spark):
     vocab = spark.createDataFrame([(bytearray(w.encode()), 1) for w in ("one", "two", "three", "four")], "word binary, c bigint")
     assert ctw.train(spark, vocab, max_grams=15).depth < ctw.train(spark, vocab).depth == ctw.DEPTH
+
+
+def test_depth_stays_with_more_than_a_million_grams(spark):
+    vocab = spark.range(300_000).selectExpr("cast(substring(sha2(cast(id as string), 256), 1, 8) as binary) word", "1L c")
+    model = ctw.train(spark, vocab)
+    assert model.depth == ctw.DEPTH and model.grams.count() > 1_000_000
+
+
+@pytest.mark.parametrize("depth", [1, 2, 5])
+def test_tables_against_plain_trees(spark, monkeypatch, depth):
+    monkeypatch.setattr(ctw, "GROW_GRAMS", 3)
+    words = {b"the": 9, b"then": 2, b"a": 5, b"hat": 1, "été".encode(): 3, b"\n": 4, b"\x00x": 1, b"heathens": 2}
+    new = [b"that", b"zz", b"heathen", b"x\x00", b"thethethe"]
+    vocab = spark.createDataFrame([(bytearray(w), c) for w, c in words.items()], "word binary, c bigint")
+    trees = ctw.train(spark, vocab, depth)
+    got = {r.word: r for r in trees.scored(spark, vocab, spark.createDataFrame([(bytearray(w),) for w in new], "word binary")).collect()}
+    want = plain_model(words, depth)
+    assert len(got) == len(words) + len(new)
+    for w in [*words, *new]:
+        r = got[np.uint64(ctw.xxhash.xxh3_64_intdigest(w)).view(np.int64)]
+        assert r.c == words.get(w, 0) and r.word_score == pytest.approx(want(w), abs=2e-5)
