@@ -348,9 +348,9 @@ def join(spark: SparkSession, docs: DataFrame) -> DataFrame:
 def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: of each group of linked documents, the row with the smallest doc_id stays; documents without words stay.
 
-    Rows are told apart by their place in docs, which must be a table that is read (the same each time).
+    Rows are told apart by numbers that are written with them once: numbered anew, a scan that is split otherwise would give other rows these numbers.
     """
-    marked = docs.select(F.struct("*").alias("doc"), F.monotonically_increasing_id().alias("row"))
+    marked = saved(spark, docs.select(F.struct("*").alias("doc"), F.monotonically_increasing_id().alias("row")), "numbered")
     got = saved(spark, linked_rows(spark, marked.select("row", "doc.doc_id", "doc.text")).where("group is not null").select("row", "doc_id", "group"), "groups")
     first = got.groupBy("group").agg(F.min(F.struct("doc_id", "row")).alias("first"))
     gone = saved(spark, got.join(first, "group").where("row != first.row").select("row"), "gone")

@@ -114,3 +114,23 @@ def test_bands_and_long_chain(spark):
 
 def test_empty_table(spark):
     assert jc.join(spark, spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_keep_one_whatever_the_splits(spark, tmp_path, monkeypatch):
+    rows = [(i, " ".join(f"w{i // 2 if i < 40 else i}x{k}" for k in range(30))) for i in range(80)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(8).write.parquet(f"{tmp_path}/docs")
+    real, name = jc.linked_rows, "spark.sql.files.openCostInBytes"
+    before = spark.conf.get(name)
+
+    def other_splits(*args):
+        out = real(*args)
+        spark.conf.set(name, str(1 << 30))  # from now on a task reads one file
+        return out
+
+    monkeypatch.setattr(jc, "linked_rows", other_splits)
+    spark.conf.set(name, "1")  # a task reads several files
+    try:
+        kept = sorted(r.doc_id for r in jc.keep_one(spark, spark.read.parquet(f"{tmp_path}/docs"), "").collect())
+    finally:
+        spark.conf.set(name, before)
+    assert kept == [*range(0, 40, 2), *range(40, 80)]
