@@ -2,8 +2,8 @@
 
 A document's set holds the 64-bit hashes of its distinct word shingles. Equal sets
 are one class, known by a fingerprint, so that exact copies meet nobody. Two sets
-with a similarity of at least NEED/100 differ in at most
-``(100 - NEED) / (100 + NEED) * (a + b)`` elements. Each element flips one bit of a
+with a similarity of at least need/100 differ in at most
+``(100 - need) / (100 + need) * (a + b)`` elements. Each element flips one bit of a
 parity sketch, so the sketches' Hamming distance is a lower bound of the symmetric
 difference, and each differing element spoils at most one chunk of the sketch.
 
@@ -44,7 +44,9 @@ from pyspark.sql import functions as F
 
 from ledgerloom.llm.common import saved, small_batches, table
 
+#: What op10 is asked for: words of a shingle, per cent of similarity; the pipeline's stage is asked for STAGE_WIDTH and STAGE_NEED.
 WIDTH, NEED = 4, 85
+STAGE_WIDTH, STAGE_NEED = 5, 80
 CHUNK_BITS = 10
 ROUNDS, STAR = 1, 512
 #: Rows of (document, comparison) that are broadcast to the scan of the texts; more are joined by doc_id.
@@ -73,7 +75,8 @@ _hashes = _Hashes()
 class Sets:
     """The sets of some texts, end to end: ``flat`` holds each text's sorted distinct shingle hashes, ``n`` how many."""
 
-    def __init__(self, texts: list[str | None], width: int = WIDTH):
+    def __init__(self, texts: list[str | None], width: int = WIDTH, need: int = NEED):
+        self.need = need
         if len(_hashes) > CACHE:
             _hashes.clear()
         words = [(t or "").encode().lower().split() for t in texts]
@@ -121,14 +124,14 @@ class Sets:
 
     def bucket_keys(self) -> tuple[np.ndarray, np.ndarray]:
         """(keys, the text of each): the buckets of each set, for its own band and, where it can have larger partners there, the next."""
-        own = np.searchsorted(EDGES, self.n, "right") - 1
+        own = np.searchsorted(edges_for(self.need), self.n, "right") - 1
         keys, owners = [], []
         bits = mixed((self.flat & U((1 << CHUNK_BITS) - 1)) + U(1))
         for step in (0, 1):
             chunks = np.zeros(len(self.n), np.int64)
             spare = np.zeros(len(self.n), np.int64)
             for i in np.flatnonzero(self.n):
-                chunks[i], spare[i] = chunks_for(int(self.n[i]), int(own[i]), step)
+                chunks[i], spare[i] = chunks_for(int(self.n[i]), int(own[i]), step, self.need)
             used = np.repeat(chunks > 0, self.n)
             if not used.any():
                 continue
@@ -155,44 +158,50 @@ def sketch_longs(n: np.ndarray) -> np.ndarray:
     return 1 << np.maximum(1, np.ceil(np.log2(np.maximum(n, 1) / 64))).astype(np.int64)
 
 
-def differing(a, b):
+def differing(a, b, need: int = NEED):
     """The most elements in which linked sets of these sizes can differ."""
-    return ((100 - NEED) * (a + b)) // (100 + NEED)
+    return ((100 - need) * (a + b)) // (100 + need)
 
 
-def band_edges(most: int) -> list[int]:
+def band_edges(most: int, need: int = NEED) -> list[int]:
     """Where size bands begin: linked sizes lie in one band or in neighbours."""
     edges = [1, 2]
     while edges[-1] <= most:
-        edges.append(max(edges[-1] + 1, 100 * (edges[-1] - 1) // NEED + 1))
+        edges.append(max(edges[-1] + 1, 100 * (edges[-1] - 1) // need + 1))
     return edges
 
 
-EDGES = np.array(band_edges(1 << 40))
+@functools.cache
+def edges_for(need: int) -> np.ndarray:
+    return np.array(band_edges(1 << 40, need))
 
 
-def chunks_of(band: int) -> tuple[int, int]:
+EDGES = edges_for(NEED)
+
+
+def chunks_of(band: int, need: int = NEED) -> tuple[int, int]:
     """(chunks, spare ones among them) of the sketches that meet in a band."""
-    largest = int(EDGES[band + 1]) - 1
-    most = differing(largest, largest)
+    largest = int(edges_for(need)[band + 1]) - 1
+    most = differing(largest, largest, need)
     spare = 1 if most < 8 else 2 if most < 40 else 3
     return most + 1 + spare, spare
 
 
 @functools.lru_cache(1 << 16)
-def chunks_for(n: int, own: int, step: int) -> tuple[int, int]:
+def chunks_for(n: int, own: int, step: int, need: int = NEED) -> tuple[int, int]:
     """(chunks, spare) of a set of n in its own band or the next (step 1); no chunks where it can't link with another set."""
     band = own + step
-    largest = int(EDGES[band + 1]) - 1
-    if step and 100 * n < NEED * int(EDGES[band]) or not differing(min(largest, 100 * n // NEED), n if step else largest):
+    edges = edges_for(need)
+    largest = int(edges[band + 1]) - 1
+    if step and 100 * n < need * int(edges[band]) or not differing(min(largest, 100 * n // need), n if step else largest, need):
         return 0, 0
-    return chunks_of(band)
+    return chunks_of(band, need)
 
 
 SETS = "row bigint, doc_id bigint, n bigint, fp bigint, sketch array<bigint>, keys array<bigint>"
 
 
-def sets(docs: DataFrame) -> DataFrame:
+def sets(docs: DataFrame, width: int = WIDTH, need: int = NEED) -> DataFrame:
     """(row, doc_id, n, fp, sketch, keys): size, fingerprint, sketch and buckets of each row's set; a task gives a class's buckets once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,7 +209,7 @@ def sets(docs: DataFrame) -> DataFrame:
         for b in batches:
             if len(passed) > CACHE:
                 passed.clear()
-            found = Sets(b.column("text").to_pylist())
+            found = Sets(b.column("text").to_pylist(), width, need)
             fps = found.fingerprints()
             keys, who = found.bucket_keys()
             keys = keys[np.argsort(who, kind="stable")]
@@ -224,15 +233,15 @@ def folded(sketch, longs):
     return F.when(F.size(sketch) == longs, sketch).otherwise(F.zip_with(half, F.slice(sketch, longs + 1, longs), lambda a, b: a.bitwiseXOR(b)))
 
 
-def may_link(a: str, b: str):
+def may_link(a: str, b: str, need: int = NEED):
     """Whether sizes and sketches of the rows a and b leave a link possible."""
     small, large = F.least(f"{a}.n", f"{b}.n"), F.greatest(f"{a}.n", f"{b}.n")
     longs = F.least(F.size(f"{a}.sketch"), F.size(f"{b}.sketch"))
     apart = F.aggregate(F.zip_with(folded(F.col(f"{a}.sketch"), longs), folded(F.col(f"{b}.sketch"), longs), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    return (small * 100 >= large * NEED) & (apart * (100 + NEED) <= (small + large) * (100 - NEED))
+    return (small * 100 >= large * need) & (apart * (100 + need) <= (small + large) * (100 - need))
 
 
-def verified(spark: SparkSession, docs: DataFrame, reps: DataFrame, pairs: DataFrame) -> DataFrame:
+def verified(spark: SparkSession, docs: DataFrame, reps: DataFrame, pairs: DataFrame, width: int = WIDTH, need: int = NEED) -> DataFrame:
     """Those of pairs (a, b: fingerprints) whose sets are similar enough; reps: (fp, doc_id)."""
     size = pairs.groupBy("a").agg(F.count("*").alias("members"))
     cut = pairs.join(size, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.ceil(F.col("members") / STAR)).alias("part"))
@@ -246,7 +255,7 @@ def verified(spark: SparkSession, docs: DataFrame, reps: DataFrame, pairs: DataF
         at = centre = None
         for b in batches:
             left, right = [], []
-            found = Sets(b.column("text").to_pylist())
+            found = Sets(b.column("text").to_pylist(), width, need)
             own = found.fingerprints().tolist()
             for i, (a, part, fp) in enumerate(zip(*(b.column(c).to_pylist() for c in ("a", "part", "fp")))):
                 if own[i] != fp:  # another row with this id
@@ -257,7 +266,7 @@ def verified(spark: SparkSession, docs: DataFrame, reps: DataFrame, pairs: DataF
                     mine = found[i]
                     place = np.minimum(np.searchsorted(centre, mine), len(centre) - 1)
                     common = int((centre[place] == mine).sum())
-                    if 100 * common >= NEED * (len(centre) + len(mine) - common):
+                    if 100 * common >= need * (len(centre) + len(mine) - common):
                         left.append(a), right.append(fp)
             yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
 
@@ -280,10 +289,10 @@ def components(spark: SparkSession, links: DataFrame) -> DataFrame:
             return now
 
 
-def linked_rows(spark: SparkSession, docs: DataFrame) -> DataFrame:
+def linked_rows(spark: SparkSession, docs: DataFrame, width: int = WIDTH, need: int = NEED) -> DataFrame:
     """(row, doc_id, n, group, component_id) of each row of docs (row, doc_id, text); group is null for empty sets."""
     small_batches(spark)
-    found = saved(spark, sets(docs), "sets")
+    found = saved(spark, sets(docs, width, need), "sets")
     members = found.drop("keys")
     classes = saved(spark, members.where("n > 0").groupBy("fp", "n", "sketch").agg(F.min("doc_id").alias("doc_id")), "classes")
     reps, shape = classes.select("fp", "doc_id"), classes.select("fp", "n", "sketch")
@@ -298,12 +307,12 @@ def linked_rows(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
     def possible(pairs: DataFrame) -> DataFrame:
         x, y = shape.select(F.col("fp").alias("a"), F.struct("n", "sketch").alias("x")), shape.select(F.col("fp").alias("b"), F.struct("n", "sketch").alias("y"))
-        return pairs.join(x, "a").join(y, "b").where(may_link("x", "y")).drop("x", "y")
+        return pairs.join(x, "a").join(y, "b").where(may_link("x", "y", need)).drop("x", "y")
 
     # each class first meets that one of its buckets' heads with which it shares most buckets
     heads = shared.where("fp != head").groupBy(F.col("head").alias("a"), F.col("fp").alias("b")).agg(F.count("*").alias("in_common"))
     pairs = heads.groupBy("b").agg(F.max_by("a", F.struct("in_common", "a")).alias("a")).select("a", "b")
-    links = saved(spark, verified(spark, docs, reps, saved(spark, possible(pairs), "pairs")), "links")
+    links = saved(spark, verified(spark, docs, reps, saved(spark, possible(pairs), "pairs"), width, need), "links")
     groups = components(spark, links)
 
     def grouped(rows: DataFrame) -> DataFrame:
@@ -319,17 +328,17 @@ def linked_rows(spark: SparkSession, docs: DataFrame) -> DataFrame:
         pairs = saved(spark, possible(pairs), "pairs")
         if pairs.isEmpty():
             break
-        links = saved(spark, links.union(verified(spark, docs, reps, pairs)), "links")
+        links = saved(spark, links.union(verified(spark, docs, reps, pairs, width, need)), "links")
         groups = components(spark, links)
 
     # the rest, whole: members of different groups that share a bucket and whose sizes and sketches allow a link
     several = grouped(shared.select("key", "fp")).withColumn("low", F.min("group").over(by_key)).withColumn("high", F.max("group").over(by_key))
     left = saved(spark, several.where("low != high").select("key", "fp", "group").join(shape, "fp"), "left")
     x, y = left.alias("x"), left.alias("y")
-    rest = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.group") < F.col("y.group")) & may_link("x", "y"))
+    rest = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.group") < F.col("y.group")) & may_link("x", "y", need))
     rest = saved(spark, rest.select(F.least("x.fp", "y.fp").alias("a"), F.greatest("x.fp", "y.fp").alias("b")).distinct(), "rest")
     if not rest.isEmpty():
-        links = saved(spark, links.union(verified(spark, docs, reps, rest)), "links")
+        links = saved(spark, links.union(verified(spark, docs, reps, rest, width, need)), "links")
         groups = components(spark, links)
 
     rooted = classes.select("fp", "doc_id").join(groups, "fp", "left").select("fp", "doc_id", F.coalesce("group", "fp").alias("group"))
@@ -346,12 +355,12 @@ def join(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each group of linked documents, the row with the smallest doc_id stays; documents without words stay.
+    """Pipeline stage: of each group of linked documents, the row with the smallest doc_id stays; documents without words stay. Linked are those alike in 80 % of their shingles of five words.
 
     Rows are told apart by numbers that are written with them once: numbered anew, a scan that is split otherwise would give other rows these numbers.
     """
     marked = saved(spark, docs.select(F.struct("*").alias("doc"), F.monotonically_increasing_id().alias("row")), "numbered")
-    got = saved(spark, linked_rows(spark, marked.select("row", "doc.doc_id", "doc.text")).where("group is not null").select("row", "doc_id", "group"), "groups")
+    got = saved(spark, linked_rows(spark, marked.select("row", "doc.doc_id", "doc.text"), STAGE_WIDTH, STAGE_NEED).where("group is not null").select("row", "doc_id", "group"), "groups")
     first = got.groupBy("group").agg(F.min(F.struct("doc_id", "row")).alias("first"))
     gone = saved(spark, got.join(first, "group").where("row != first.row").select("row"), "gone")
     if gone.count() <= BROADCAST_ROWS:

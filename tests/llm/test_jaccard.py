@@ -134,3 +134,34 @@ def test_keep_one_whatever_the_splits(spark, tmp_path, monkeypatch):
     finally:
         spark.conf.set(name, before)
     assert kept == [*range(0, 40, 2), *range(40, 80)]
+
+
+def test_stage_uses_five_words_and_four_fifths(spark):
+    w = [f"w{i}" for i in range(100)]
+    far, near = [*w], [*w]
+    for k in (20, 50, 80):
+        far[k] = f"z{k}"
+    for k in (30, 70):
+        near[k] = f"y{k}"
+    # 1,000 words with 22 edits: 0.801 on five words
+    long = [f"v{i}" for i in range(1000)]
+    edited = [f"u{i}" if i % 45 == 20 else x for i, x in enumerate(long)]
+    rows = [(1, " ".join(w)), (2, " ".join(near)), (3, " ".join(far)), (4, " ".join(long)), (5, " ".join(edited))]
+    five = lambda t: {tuple(t[i : i + 5]) for i in range(len(t) - 4)}
+    alike = lambda a, b: len(five(a) & five(b)) / len(five(a) | five(b))
+    assert 0.8 < alike(w, near) < 0.815 and alike(w, far) < 0.8 and 0.8 <= alike(long, edited) < 0.815
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.doc_id for r in jc.keep_one(spark, docs, "").collect()) == [1, 3, 4]
+
+
+def test_linked_sets_share_a_bucket_at_other_needs():
+    r = np.random.default_rng(1)
+    for _ in range(400):
+        n = int(r.integers(6, 700))
+        a = np.unique(r.integers(0, 1 << 63, n).astype(np.uint64) * np.uint64(2))
+        b = np.unique(np.concatenate([r.permutation(a)[: n - int(r.integers(0, n // 9 + 1))], r.integers(0, 1 << 63, int(r.integers(0, n // 9 + 1))).astype(np.uint64)]))
+        common = np.intersect1d(a, b).size
+        x, y = held(a), held(b)
+        x.need = y.need = 80
+        if 100 * common >= 80 * (len(a) + len(b) - common) and x.fingerprints()[0] != y.fingerprints()[0]:
+            assert np.intersect1d(x.bucket_keys()[0], y.bucket_keys()[0]).size
