@@ -197,6 +197,27 @@ def r24_every_word(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(best)).where("rank <= 20").select("prompt_id", "rank", "id", "score")
 
 
+def r24_all_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each prompt, over all records: the summed rarity of all its words of three characters or more that a record holds anywhere in its folded text.
+
+    A term lies within one run of letters, digits and underscores: the distinct runs meet the terms by three characters, and records meet both by run.
+    """
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), text.fold(F.coalesce("text", F.lit(""))).alias("folded"))
+    terms = F.array_distinct(F.transform(text.words(F.col("prompt")), text.fts_term))
+    asked = prompts(spark, sf_dir).select("prompt_id", F.explode(terms).alias("term")).where(F.length("term") >= 3).distinct()
+    runs = docs.select("id", F.explode(F.array_distinct(F.split("folded", r"[^\p{L}\p{N}_]+"))).alias("run")).where(F.length("run") >= 3)
+    starts = F.transform(F.sequence(F.lit(1), F.length("run") - 2), lambda i: F.substring(F.col("run"), i, F.lit(3)))
+    three = runs.select("run").distinct().select("run", F.explode(F.array_distinct(starts)).alias("three"))
+    words = asked.select("term").distinct().withColumn("three", F.substring("term", 1, 3))
+    within = three.join(words, "three").where(F.col("run").contains(F.col("term"))).select("run", "term")
+    held = runs.join(within, "run").select("id", "term").distinct()
+    total = F.broadcast(docs.agg(F.count("*").alias("n")))
+    d = held.groupBy("term").agg(F.count("*").alias("d")).join(total).select("term", F.round(F.log((F.col("n") + 1) / (F.col("d") + 1)), 6).alias("rarity"))
+    scored = held.join(d, "term").join(asked, "term").groupBy("prompt_id", "id").agg(F.round(F.sum("rarity"), 6).alias("score"))
+    best = Window.partitionBy("prompt_id").orderBy(F.desc("score"), F.desc("id"))
+    return scored.withColumn("rank", F.row_number().over(best)).where("rank <= 20").select("prompt_id", "rank", "id", "score")
+
+
 def r18_best_passage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each prompt's best result: the window of 200 characters from the start or a line start with most distinct prompt terms, the first such."""
     docs, asked = records(spark, sf_dir), prompts(spark, sf_dir)
@@ -213,7 +234,7 @@ def r18_best_passage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (r5_bm25_topk, r4_term_selection, r9_relative_floor, r10_absolute_floor, r14_rank_fusion, r19_prefix_budget, r16_greedy_budget, r24_every_word, r18_best_passage)
+    for f in (r5_bm25_topk, r4_term_selection, r9_relative_floor, r10_absolute_floor, r14_rank_fusion, r19_prefix_budget, r16_greedy_budget, r24_every_word, r24_all_words, r18_best_passage)
 }
 
 _COSTS = "costs AS (SELECT b.*, CAST(ceil(length(body) / 3.0) AS BIGINT) AS t FROM best b JOIN docs USING (id))"
