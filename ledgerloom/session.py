@@ -27,12 +27,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def saved(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
-    """df written to the folder that all executors share (spark.checkpoint.dir) and read again, which ends its lineage."""
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that all executors share. Where the session names none, a temporary one serves a local master; a cluster's machines would not share it."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         at = tempfile.mkdtemp(prefix="ledgerloom-")
         spark.conf.set("spark.checkpoint.dir", at)
-    path = f"{at.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return at.rstrip("/")
+
+
+def saved(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
+    """df written to the shared folder and read again, which ends its lineage: a lost executor loses nothing."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.parquet(path)
+
+
+def forget(spark: SparkSession, *tables: DataFrame) -> None:
+    """Deletes the files of saved tables that nothing reads any more."""
+    for df in tables:
+        for file in df.inputFiles()[:1]:
+            folder = spark._jvm.org.apache.hadoop.fs.Path(file).getParent()
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
