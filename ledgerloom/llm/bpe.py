@@ -11,11 +11,15 @@ The pieces between the cuts are encoded in parallel, and their ids concatenate
 to those of the whole text. Decoding concatenates the tokens' raw bytes.
 
 Pre-tokens are merged by rank, lowest first and leftmost among equals, with a
-heap, so a long run costs n log n; a bounded cache holds the frequent ones.
+heap, so a long run costs n log n. Spaces that follow no white space begin a
+pre-token, so what lies between two of them is coded by itself, and a bounded
+cache of two generations holds the frequent ones.
 
 Defined cases: null counts as the empty text, which has no tokens (the digest is
 of the empty string); repeated rows stay repeated, and rows that share an id keep
-their own results; other columns of the input are not read.
+their own results; ties between equal ranks merge from the left; very long texts
+are cut as above, and their digests are made piece by piece; other columns of the
+input, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -24,8 +28,11 @@ import base64
 import hashlib
 import heapq
 import itertools
-from collections.abc import Iterator
+import operator
+import re
+from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pandas as pd
 import public_tokenizers
 import pyarrow as pa
@@ -33,13 +40,22 @@ import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import small_batches, table
+from ledgerloom.llm.common import bounded_batches, by_bytes, table
 
 CHUNK_CHARS, OVERLAP_CHARS = 1 << 15, 1 << 10
-#: Pre-tokens whose ids a task keeps; the cache starts anew when it is full.
+#: Segments that each of a task's two generations of cached ones keeps.
 CACHE = 1 << 18
-#: Pre-tokens up to this many bytes are cached.
-CACHED_BYTES = 64
+#: Segments up to this many characters are cached.
+CACHED_CHARS = 48
+
+
+BLANK_BEFORE_SPACE = re.compile(r"\s ")
+#: Pre-tokens up to this many bytes are merged by a scan for the lowest rank, longer ones by a heap.
+SHORT, NONE = 40, 1 << 30
+
+
+def numbers(ids: str) -> list[int]:
+    return np.fromstring(ids, np.int32, sep=",").tolist()
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -47,6 +63,26 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
 
 
+class _Segments(dict):
+    """What lies between single spaces, with the space before it, by the text behind that space: the ids, as text; ``raw`` has their bytes."""
+
+    def __init__(self, coder: Coder, space: str):
+        self.coder, self.space, self.raw, self.older = coder, space, {}, ({}, {})
+
+    def __missing__(self, part: str) -> str:
+        if len(self.raw) >= CACHE:
+            self.older = (dict(self), self.raw)
+            self.clear()
+            self.raw = {}
+        if (ids := self.older[0].get(part)) is not None:
+            raw = self.older[1][part]
+        else:
+            found = self.coder.pieced(self.space + part)
+            ids, raw = ",".join([self.coder.names[i] for i in found]), self.coder.decode(found)
+        self[part], self.raw[part] = ids, raw
+        return ids
+
+
 class Coder:
     """Encodes and decodes with one rank file; made once in each Python worker."""
 
@@ -55,8 +91,9 @@ class Coder:
     def __init__(self, path: str, pattern: str):
         self.ranks = read_ranks(path)
         self.bytes_of = {rank: token for token, rank in self.ranks.items()}
+        self.names = {rank: str(rank) for rank in self.bytes_of}
         self.pieces = regex.compile(pattern)
-        self.cache: dict[str, tuple[int, ...]] = {}
+        self.first, self.spaced = _Segments(self, ""), _Segments(self, " ")
 
     @classmethod
     def get(cls, path: str, pattern: str) -> Coder:
@@ -64,11 +101,27 @@ class Coder:
             cls._made[path, pattern] = cls(path, pattern)
         return cls._made[path, pattern]
 
-    def merge(self, data: bytes) -> tuple[int, ...]:
+    def merge(self, data: bytes) -> list[int]:
         """Ids of one pre-token: the adjacent pair of the lowest rank merges until none has a rank."""
-        ranks = self.ranks
+        ranks, n = self.ranks, len(data)
         if (whole := ranks.get(data)) is not None:
-            return (whole,)
+            return [whole]
+        if n > SHORT:
+            return self._merge_long(data)
+        get, cuts = ranks.get, list(range(n + 1))
+        pairs = [get(data[i : i + 2], NONE) for i in range(n - 1)]
+        while pairs and (least := min(pairs)) != NONE:
+            i = pairs.index(least)
+            del pairs[i], cuts[i + 1]
+            if i < len(pairs):
+                pairs[i] = get(data[cuts[i] : cuts[i + 2]], NONE)
+            if i:
+                pairs[i - 1] = get(data[cuts[i - 1] : cuts[i + 1]], NONE)
+        return [ranks[data[i:j]] for i, j in zip(cuts, cuts[1:])]
+
+    def _merge_long(self, data: bytes) -> list[int]:
+        """The same by a heap."""
+        ranks = self.ranks
         n = len(data)
         ends, before = list(range(1, n + 1)), list(range(-1, n - 1))
         alive = [True] * n
@@ -90,21 +143,51 @@ class Coder:
         while i < n:
             out.append(ranks[data[i : ends[i]]])
             i = ends[i]
-        return tuple(out)
+        return out
+
+    def pieced(self, text: str) -> list[int]:
+        """Ids of a text, pre-token by pre-token."""
+        return [i for piece in self.pieces.findall(text) for i in self.merge(piece.encode())]
+
+    def coded(self, text: str) -> tuple[str, bytes]:
+        """(ids as text, their bytes). A pre-token begins at each space that follows no white space: none has a space inside after anything else."""
+        parts = text.split(" ")
+        if BLANK_BEFORE_SPACE.search(text):  # spaces after white space belong to what is before them
+            joined = parts[:1]
+            for part in parts[1:]:
+                if not joined[-1] or joined[-1][-1].isspace():
+                    joined[-1] += " " + part
+                else:
+                    joined.append(part)
+            parts = joined
+        ids, raw = [], []
+        for held, some in ((self.first, parts[:1]), (self.spaced, parts[1:])):
+            for at in range(0, len(some), CACHE // 2):  # so that what is looked up is still held when its bytes are
+                batch = [p if len(p) <= CACHED_CHARS else None for p in some[at : at + CACHE // 2]]
+                if None in batch:
+                    for p in some[at : at + CACHE // 2]:
+                        if len(p) <= CACHED_CHARS:
+                            ids.append(held[p])
+                            raw.append(held.raw[p])
+                        else:
+                            found = self.pieced(held.space + p)
+                            ids.append(",".join([self.names[i] for i in found]))
+                            raw.append(self.decode(found))
+                else:
+                    ids += map(held.__getitem__, batch)
+                    raw += self._raw(held, batch)
+        return ",".join(filter(None, ids)), b"".join(raw)
+
+    @staticmethod
+    def _raw(held: _Segments, parts: list[str]) -> list[bytes]:
+        """The bytes of parts that have just been looked up: a few of them may have gone to the older generation meanwhile."""
+        out = list(map(held.raw.get, parts))
+        return out if None not in out else [held.older[1][p] if x is None else x for p, x in zip(parts, out)]
 
     def encode(self, text: str) -> list[int]:
-        cache, out = self.cache, []
-        if len(cache) > CACHE:
-            cache.clear()
-        for piece in self.pieces.findall(text):
-            if (ids := cache.get(piece)) is None:
-                ids = self.merge(raw := piece.encode())
-                if len(raw) <= CACHED_BYTES:
-                    cache[piece] = ids
-            out.append(ids)
-        return list(itertools.chain.from_iterable(out))
-
-    def decode(self, ids: list[int]) -> bytes:
+        return numbers(self.coded(text)[0])
+
+    def decode(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
     def boundaries(self, text: str) -> list[int]:
@@ -116,11 +199,17 @@ class Coder:
 
 
 def _windows(docs: DataFrame, chunk: int, overlap: int) -> DataFrame:
-    """One row for each window: row, k, window (with its overlap), is_last."""
-    last = F.floor((F.length("text") - 1) / chunk).cast("int")
-    return docs.select("*", last.alias("n_last")).select("*", F.explode(F.sequence(F.lit(0), "n_last")).alias("k")).select(
-        "doc_id", "row", "k", (F.col("k") == F.col("n_last")).alias("is_last"), F.substring("text", F.col("k") * chunk + 1, F.lit(chunk + overlap)).alias("window")
-    )
+    """One row for each window of the columns row and text: row, k, window (with its overlap), is_last."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for doc_id, row, text in zip(*(b.column(c).to_pylist() for c in ("doc_id", "row", "text"))):
+                last = (len(text) - 1) // chunk
+                for k in range(last + 1):
+                    window = text[k * chunk : (k + 1) * chunk + overlap]
+                    yield pa.RecordBatch.from_arrays([pa.array([doc_id], pa.int64()), pa.array([row]), pa.array([k], pa.int32()), pa.array([k == last]), pa.array([window])], ["doc_id", "row", "k", "is_last", "window"])
+
+    return docs.select("doc_id", "row", "text").mapInArrow(cut, "doc_id bigint, row bigint, k int, is_last boolean, window string")
 
 
 def _with_boundaries(windows: DataFrame, path: str, pattern: str, chunk: int, overlap: int) -> DataFrame:
@@ -152,28 +241,67 @@ def _pieces(marked: DataFrame, chunk: int) -> DataFrame:
     return parts.groupBy("doc_id", "row", "piece_no").agg(joined.alias("piece"))
 
 
-ENCODED = "n_tokens bigint, ids array<int>, decoded binary"
+DIGESTS, ARRAYS = "n_tokens bigint, ids_sha256 string, decoded_sha256 string", "n_tokens bigint, ids array<int>, decoded binary"
+FIELDS = {DIGESTS: [("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())], ARRAYS: [("n_tokens", pa.int64()), ("ids", pa.list_(pa.int32())), ("decoded", pa.binary())]}
+
+
+def _batch(ids: list[int], rows: list[tuple], kinds: str) -> pa.RecordBatch:
+    fields = FIELDS[kinds]
+    return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *(pa.array([r[i] for r in rows], t) for i, (_, t) in enumerate(fields))], ["doc_id", *(n for n, _ in fields)])
 
 
-def _encoded(pieces: DataFrame, text: str, keep: list[str], path: str, pattern: str, digest: bool) -> DataFrame:
-    """keep, with the ids and the decoded bytes of each text, or their digests."""
+def _short(docs: DataFrame, path: str, pattern: str, kinds: str) -> DataFrame:
+    """Each row's doc_id, with the ids and the decoded bytes of its text, or their digests."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = Coder.get(path, pattern)
-        for b in batches:
-            n, ids, decoded = [], [], []
-            for x in b.column(text).to_pylist():
-                got = coder.encode(x or "")
-                n.append(len(got))
-                raw = coder.decode(got)
-                ids.append(hashlib.sha256(",".join(map(str, got)).encode()).hexdigest() if digest else got)
-                decoded.append(hashlib.sha256(raw).hexdigest() if digest else raw)
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(n, pa.int64()), pa.array(ids, pa.string() if digest else pa.list_(pa.int32())), pa.array(decoded, pa.string() if digest else pa.binary())], [*keep, *names])
+        for b in by_bytes(batches):
+            rows = []
+            for text in b.column("text").to_pylist():
+                ids, raw = coder.coded(text)
+                n = ids.count(",") + 1 if ids else 0
+                rows.append((n, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(raw).hexdigest()) if kinds == DIGESTS else (n, numbers(ids), raw))
+            yield _batch(b.column("doc_id").to_pylist(), rows, kinds)
+
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id bigint, {kinds}")
+
 
-    names = ["n_tokens", "ids_sha256", "decoded_sha256"] if digest else ["n_tokens", "ids", "decoded"]
-    kinds = "n_tokens bigint, ids_sha256 string, decoded_sha256 string" if digest else ENCODED
-    schema = ", ".join([*(f"{c} {pieces.schema[c].dataType.simpleString()}" for c in keep), kinds])
-    return pieces.select(*keep, text).mapInArrow(run, schema)
+def _long(pieces: DataFrame, path: str, pattern: str, kinds: str) -> DataFrame:
+    """The same of texts in pieces (doc_id, row, piece_no, piece): pieces are encoded wherever they are, and each text's follow one another through a task."""
+
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = Coder.get(path, pattern)
+        for b in by_bytes(batches, "piece"):
+            ids = [coder.encode(x) for x in b.column("piece").to_pylist()]
+            raw = [coder.decode(x) for x in ids]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("doc_id", "row", "piece_no")), pa.array(ids, pa.list_(pa.int32())), pa.array(raw, pa.binary())], ["doc_id", "row", "piece_no", "ids", "decoded"])
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, n, ids, decoded = None, 0, [], []
+
+        def out() -> pa.RecordBatch:
+            whole = (n, sums[0].hexdigest(), sums[1].hexdigest()) if kinds == DIGESTS else (n, list(itertools.chain.from_iterable(ids)), b"".join(decoded))
+            return _batch([at[0]], [whole], kinds)
+
+        for b in batches:
+            for doc_id, row, some, raw in zip(*(b.column(c).to_pylist() for c in ("doc_id", "row", "ids", "decoded"))):
+                if at != (doc_id, row):
+                    if at is not None:
+                        yield out()
+                    at, n, ids, decoded, sums = (doc_id, row), 0, [], [], [hashlib.sha256(), hashlib.sha256()]
+                if kinds == DIGESTS:
+                    sums[0].update((("," if n else "") + ",".join(map(str, some))).encode() if some else b"")
+                    sums[1].update(raw)
+                else:
+                    ids.append(some)
+                    decoded.append(raw)
+                n += len(some)
+        if at is not None:
+            yield out()
+
+    coded = pieces.select("doc_id", "row", "piece_no", "piece").mapInArrow(code, "doc_id bigint, row bigint, piece_no bigint, ids array<int>, decoded binary")
+    dealt = coded.repartition("doc_id", "row").sortWithinPartitions("doc_id", "row", "piece_no")
+    return dealt.mapInArrow(gather, f"doc_id bigint, {kinds}")
 
 
 def encode(spark: SparkSession, docs: DataFrame, path: str, pattern: str = public_tokenizers.PATTERN, chunk_chars: int = CHUNK_CHARS, overlap_chars: int = OVERLAP_CHARS, digest: bool = False) -> DataFrame:
@@ -184,23 +312,13 @@ def encode(spark: SparkSession, docs: DataFrame, path: str, pattern: str = publi
     """
     if not 0 < overlap_chars <= chunk_chars:
         raise ValueError("0 < overlap_chars <= chunk_chars")
-    small_batches(spark)
-    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    bounded_batches(spark)
+    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    kinds = DIGESTS if digest else ARRAYS
     is_long = F.length("text") > chunk_chars
-    short = _encoded(docs.where(~is_long), "text", ["doc_id"], path, pattern, digest)
     long = docs.where(is_long).withColumn("row", F.monotonically_increasing_id())
     marked = _with_boundaries(_windows(long, chunk_chars, overlap_chars).repartition("doc_id", "row", "k"), path, pattern, chunk_chars, overlap_chars)
-    pieces = _encoded(_pieces(marked, chunk_chars), "piece", ["doc_id", "row", "piece_no"], path, pattern, False)
-    ordered = F.array_sort(F.collect_list(F.struct("piece_no", "n_tokens", "ids", "decoded")))
-    whole = pieces.groupBy("doc_id", "row").agg(ordered.alias("p")).select(
-        "doc_id",
-        F.aggregate("p", F.lit(0).cast("bigint"), lambda a, x: a + x["n_tokens"]).alias("n_tokens"),
-        F.flatten(F.transform("p", lambda x: x["ids"])).alias("ids"),
-        F.expr("unhex(array_join(transform(p, x -> hex(x.decoded)), ''))").alias("decoded"),
-    )
-    if digest:
-        whole = whole.select("doc_id", "n_tokens", F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
-    return short.unionByName(whole)
+    return _short(docs.where(~is_long), path, pattern, kinds).unionByName(_long(_pieces(marked, chunk_chars), path, pattern, kinds))
 
 
 def decode(df: DataFrame, column: str, path: str, to: str = "decoded") -> DataFrame:

@@ -1,15 +1,21 @@
-"""What the operators of this subpackage share: tables, the shared folder, bounded Arrow batches, row keys."""
+"""What the operators of this subpackage share: tables, bounded Arrow batches, row keys."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows in one Arrow batch: texts can be long, so batches stay small in rows.
-BATCH_ROWS = 500
+from ledgerloom.session import forget, saved
+
+__all__ = ["bounded_batches", "by_bytes", "forget", "id_remainder", "saved", "table"]
+
+#: Bytes of one Arrow batch that Spark sends to a Python worker, about, and of texts that a function works on at a time.
+ARROW_BYTES, TEXT_BYTES = 16 << 20, 2 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -17,26 +23,22 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return df.select(*columns) if columns else df
 
 
-def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Keep the Arrow batches that carry whole texts within a few MB."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a temporary one only where the session names none."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = tempfile.mkdtemp(prefix="ledgerloom-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at.rstrip("/")
+def bounded_batches(spark: SparkSession, most: int = ARROW_BYTES) -> None:
+    """Bound Arrow batches by bytes, as texts can be long: results are the same with any bound, and one that is lower already stays."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(name, None) or 1 << 40) > most:
+        spark.conf.set(name, str(most))
 
 
-def saved(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
-    """df written to the shared folder and read again: its lineage ends there, and a lost executor loses nothing."""
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.parquet(path)
+def by_bytes(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = TEXT_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches in slices whose column holds at most so many bytes, or one row."""
+    for b in batches:
+        upto = np.cumsum(pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < b.num_rows:
+            end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + most, "right")))
+            yield b.slice(at, end - at)
+            at = end
 
 
 def id_remainder(column: str, modulus: int):

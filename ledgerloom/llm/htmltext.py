@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import small_batches, table
+from ledgerloom.llm.common import bounded_batches, by_bytes, table
 
 BITS, MAX_TRAIN, EPOCHS, RATE, L2 = 14, 300, 6, 0.5, 1e-4
 
@@ -351,7 +351,7 @@ def train(pages: DataFrame, max_train: int = MAX_TRAIN) -> Crf:
 
 def extract(spark: SparkSession, pages: DataFrame, model: Crf, keep: list[str]) -> DataFrame:
     """keep (columns of pages), with the main text of the column html and its length in code points."""
-    small_batches(spark)
+    bounded_batches(spark)
     shared = spark.sparkContext.broadcast((model.emission, model.pair, model.start))
 
     def main_text(crf: Crf, page: str | None) -> str:
@@ -360,7 +360,7 @@ def extract(spark: SparkSession, pages: DataFrame, model: Crf, keep: list[str])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         crf = Crf(*shared.value)
-        for b in batches:
+        for b in by_bytes(batches, "html"):
             texts = [main_text(crf, x) for x in b.column("html").to_pylist()]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], [*(f"k{i}" for i in range(len(keep))), "text", "n_chars"])
 

@@ -42,7 +42,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import saved, small_batches, table
+from ledgerloom.llm.common import bounded_batches, saved, table
 
 #: What op10 is asked for: words of a shingle, per cent of similarity; the pipeline's stage is asked for STAGE_WIDTH and STAGE_NEED.
 WIDTH, NEED = 4, 85
@@ -291,7 +291,7 @@ def components(spark: SparkSession, links: DataFrame) -> DataFrame:
 
 def linked_rows(spark: SparkSession, docs: DataFrame, width: int = WIDTH, need: int = NEED) -> DataFrame:
     """(row, doc_id, n, group, component_id) of each row of docs (row, doc_id, text); group is null for empty sets."""
-    small_batches(spark)
+    bounded_batches(spark)
     found = saved(spark, sets(docs, width, need), "sets")
     members = found.drop("keys")
     classes = saved(spark, members.where("n > 0").groupBy("fp", "n", "sketch").agg(F.min("doc_id").alias("doc_id")), "classes")

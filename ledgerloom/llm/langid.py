@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerloom.llm.common import id_remainder, small_batches, table
+from ledgerloom.llm.common import bounded_batches, by_bytes, id_remainder, table
 
 PASSAGES, PASSAGE_CHARS = 64, 2048
 BLOCK, LEVEL = 1024, 6
@@ -100,12 +100,12 @@ COLUMNS = T.StructType().add("lang_pred", "string").add("score", "double").add("
 
 def predict(spark: SparkSession, docs: DataFrame, dicts: list[tuple[str, bytes]], keep: list[str], min_margin: float = MIN_MARGIN) -> DataFrame:
     """keep (columns of docs), with lang_pred, score, margin and rejected of the column text."""
-    small_batches(spark)
+    bounded_batches(spark)
     shared = spark.sparkContext.broadcast(dicts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         judge = Judge(shared.value)
-        for b in batches:
+        for b in by_bytes(batches):
             found = [judge.judge(t, min_margin) for t in b.column("text").to_pylist()]
             cols = [pa.array([f[i] for f in found], t) for i, t in enumerate((pa.string(), pa.float64(), pa.float64(), pa.bool_()))]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), *cols], [*keep, "lang_pred", "score", "margin", "rejected"])

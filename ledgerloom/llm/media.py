@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import small_batches, table
+from ledgerloom.llm.common import bounded_batches, table
 
 WIDTH = 576
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
@@ -197,7 +197,7 @@ def decode(df: DataFrame, column: str, to: str = "payload") -> DataFrame:
 
 
 def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    small_batches(spark)
+    bounded_batches(spark)
     docs = encode(table(spark, sf_dir, "documents", "doc_id", "text"), "text")
     return digest(docs.select("doc_id", "media"), "media.png").select("doc_id", "media.n_bytes", "digest.*")
 

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import saved, small_batches, table
+from ledgerloom.llm.common import bounded_batches, saved, table
 
 BLOCK, QUERY_BLOCK, SAMPLE, LARGEST = 4096, 1024, 4096, 1 << 26
 #: Shares of the coordinates after which the bound is tested.
@@ -147,14 +147,13 @@ class Best:
 
 def search(spark: SparkSession, vectors: DataFrame, is_query: Column, k: int, scale: float = 256.0, block: int = BLOCK, queries: int = QUERY_BLOCK) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row of vectors (vec_id, embedding) with is_query, its k best among all other rows."""
-    small_batches(spark, 2000)
+    bounded_batches(spark)
     rows = integers(vectors, scale).groupBy("vec_id").agg(F.min(F.struct("v", "dim", "norm")).alias("x")).select("vec_id", "x.*")
     rows = saved(spark, rows, "vectors")
     turn = spark.sparkContext.broadcast(_rotations(rows, SAMPLE))
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     by_length = rows.repartitionByRange(F.desc("dim"), F.desc("norm"), F.asc("vec_id")).sortWithinPartitions(F.desc("dim"), F.desc("norm"), F.asc("vec_id"))
-    small_batches(spark, 64)  # from here on a row may be a whole block
     candidates = saved(spark, _packed(by_length, block).withColumn("slice", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(width))), "candidates")
     asked = _packed(rows.where(is_query).repartition("vec_id"), queries)
     asked = saved(spark, asked.withColumn("qb", F.monotonically_increasing_id()), "queries")

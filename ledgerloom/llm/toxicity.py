@@ -18,7 +18,8 @@ with several labels is toxic if any of them says so.
 
 Defined cases: null and empty texts have no features and score the bias alone;
 with no labelled row every score is 0.5; null labels are not learnt from; repeated
-rows stay repeated.
+rows stay repeated, and rows that share an id keep their own scores; very long texts
+are read whole, a few at a time; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerloom.llm.common import id_remainder, small_batches, table
+from ledgerloom.llm.common import bounded_batches, by_bytes, id_remainder, table
 
 BITS = 20
 #: Rows that training reads, about.
@@ -100,7 +101,7 @@ MODEL = "feature int, weight double"
 
 def train(spark: SparkSession, labelled: DataFrame, epochs: int = EPOCHS, max_train: int = MAX_TRAIN) -> dict[int, float]:
     """Weights by feature number, and the bias at -1, from the columns doc_id, text and label (0 or 1)."""
-    small_batches(spark)
+    bounded_batches(spark)
     total = labelled.count()
     if not total:
         return {-1: 0.0}
@@ -108,7 +109,7 @@ def train(spark: SparkSession, labelled: DataFrame, epochs: int = EPOCHS, max_tr
     sample = labelled if total <= max_train else labelled.where(F.pmod(h, F.lit(1 << 20)) < int((1 << 20) * max_train / total))
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in by_bytes(batches):
             found = [features(t).tobytes() for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("h"), b.column("label"), pa.array(found, pa.binary())], ["h", "label", "found"])
 
@@ -130,7 +131,7 @@ def train(spark: SparkSession, labelled: DataFrame, epochs: int = EPOCHS, max_tr
 
 def score(spark: SparkSession, docs: DataFrame, model: dict[int, float], keep: list[str]) -> DataFrame:
     """keep (columns of docs), with score (0 to 1) and predicted (1 from THRESHOLD on) of the column text."""
-    small_batches(spark)
+    bounded_batches(spark)
     shared = spark.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,7 +139,7 @@ def score(spark: SparkSession, docs: DataFrame, model: dict[int, float], keep: l
         places = [i for i in shared.value if i >= 0]
         weights[places] = [shared.value[i] for i in places]
         bias = shared.value[-1]
-        for b in batches:
+        for b in by_bytes(batches):
             sums = np.array([bias + weights[features(t)].sum() for t in b.column("text").to_pylist()], np.float64)
             p = 1 / (1 + np.exp(-np.clip(sums, -35, 35)))
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(p), pa.array((p >= THRESHOLD).astype(np.int32))], [*keep, "score", "predicted"])
