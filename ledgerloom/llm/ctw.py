@@ -1,53 +1,58 @@
 """Language-model scoring by context-tree weighting over binary-decomposed bytes.
 
-A text is the sequence of its words (A-Z in lower case, cut at ASCII white space),
-each followed by the byte 0x20, and then one end, the byte 0x0A where a word would
-begin. A byte's context is the bytes before it within its word, newest first, up
-to ``depth`` of them; a word's beginning is the last symbol of a context. Each byte
-is eight binary decisions, and each decision has its own context tree over the
-bits read so far: every node weighs the Krichevsky-Trofimov estimate of its own
-counts against the product of its children, so that the estimates of all depths
-mix by how well they explain the training words. The model is then fixed, and a
-text's score is the sum of log10 of the mixed probabilities of its bits: the sum
-of its words' scores, plus the end's.
-
-Training counts come from all training rows: the words of each task are counted
-locally and summed by Spark, and these counts (``vocabulary``) also give the base
-score. Contexts with their next byte (``grams``) are summed from the distinct
-words. The depth is fixed, and what the model holds grows with the corpus: the
-trees below each two newest bytes are made apart, by tasks, and stay as tables of
-grams and nodes; only the counts of the 65,280 nodes of depth 1 that there can be
-are gathered. Distinct words are scored by joining their grams to these tables,
-grams that training has not seen by their nodes of each depth. No vocabulary is
-broadcast whole: the most frequent words are (``HOT_WORDS`` at most), with their
-counts and scores, and the rarer words of each document are joined to the scored
-words by a 64-bit hash of the word.
+A text is the sequence of its words (A-Z in lower case, cut at ASCII white space)
+with one 0x20 between them, and an end, the byte 0x0A. A byte's context is the
+``depth`` bytes before it, across words, newest first; before a text's first byte
+stand bytes 0x0A. Each byte is eight binary decisions, and each decision has its
+own context tree over the bits read so far: every node weighs the
+Krichevsky-Trofimov estimate of its own counts against the product of its
+children, so that the estimates of all depths mix by how well they explain the
+training bytes. The model is then fixed, and a text's score is the sum of log10 of
+the mixed probabilities of its bits; ``bits_per_byte`` is its code length.
+
+A gram is a context and the byte after it. All grams of all texts are counted, by
+each task and then by Spark, those of texts that are not learnt from with 0: a node
+without counts mixes to even odds and leaves its parents as they are, so every gram
+that is asked for gets its probability where the trees are grown, and no unseen one
+is left to look up. What the model holds grows with the corpus and the depth is
+fixed: the trees below each two newest bytes are grown apart, by tasks, and stay a
+table of grams; only the counts of the 65,280 nodes of depth 1 that there can be are
+gathered. Nothing else is broadcast whole: the most frequent grams and words are
+(``HOT_GRAMS`` and ``HOT_WORDS`` at most), and the rarer ones of each document are
+joined to the tables by number.
 
 Defined cases: null counts as the empty text, which has only an end; a byte that
 no context has seen is even odds on each bit; without training rows the base has
 N = V = 0 and counts of 0, and all bits are even; repeated rows stay repeated
-(rows with the same doc_id and text share one result); other columns are not read.
+(rows with the same doc_id and text share one result), and rows that share an id
+but not a text have their own; very long texts are read whole, in windows of
+``WINDOW`` bytes; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import BATCH_ROWS, id_remainder, saved, small_batches, table
+from ledgerloom.llm.common import bounded_batches, by_bytes, forget, id_remainder, saved, table
 
-DEPTH, HOT_WORDS = 5, 1 << 16
+DEPTH, HOT_WORDS, HOT_GRAMS = 5, 1 << 16, 1 << 20
 #: Grams that a task grows trees from at a time; more where two newest bytes have more.
 GROW_GRAMS = 50_000
-#: Distinct words that a task counts before it passes them on.
-FLUSH_WORDS = 300_000
-SPACE, END = 0x20, 0x0A
+#: Distinct words, and grams, that a task counts before it passes them on.
+FLUSH_WORDS, FLUSH_GRAMS = 300_000, 1 << 21
+#: Bytes whose grams a task holds at a time.
+WINDOW = 1 << 21
+END = 0x0A
+#: What a row of a document's is about: itself, a rare word or a rare gram.
+OWN, WORD, GRAM = 0, 1, 2
 U = np.uint64
 
 
@@ -55,31 +60,22 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode().lower().split()
 
 
-def grams_of(words: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each byte that follows within the words (their closing 0x20 included; the word 0x0A closes itself): its key, and the place of its word.
-
-    A key is the context, oldest byte first, shifted by one byte, and the byte. Contexts begin with 0x20 at a word's beginning.
-    """
-    closed = [w if w == b"\n" else w + b" " for w in words]
-    sizes = np.fromiter(map(len, closed), np.int64, len(closed))
-    data = np.frombuffer(b"".join(closed), np.uint8).astype(U)
-    begin = np.repeat(np.cumsum(sizes) - sizes, sizes)
-    at = np.arange(len(data)) - begin
-    key = data.copy()
-    for d in range(1, depth + 1):
-        before = np.full(len(data), SPACE, U)
-        before[d:] = data[:-d]
-        before = np.where(at == d - 1, U(SPACE), before)
-        key |= np.where(at >= d - 1, before, U(0)) << U(8 * d)
-    return key, np.repeat(np.arange(len(closed)), sizes)
-
-
-def _sizes(contexts: np.ndarray, depth: int) -> np.ndarray:
-    """How many symbols each full context holds: up to the word's beginning, or depth."""
-    out = np.full(len(contexts), depth, np.int64)
-    for d in range(depth, 0, -1):
-        out[(contexts >> U(8 * (d - 1))) == SPACE] = d
-    return out
+def grams_of(texts: list[list[bytes]], depth: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(keys, the text of each) of all bytes of some texts, given as words, by the window. A key is the context, oldest byte first, shifted by one byte, and the byte."""
+    before = b"\n" * depth
+    sizes = np.fromiter((depth + 1 + sum(map(len, w)) + max(0, len(w) - 1) for w in texts), np.int64, len(texts))
+    data = np.frombuffer(b"".join(part for w in texts for part in (before, b" ".join(w), b"\n")), np.uint8)
+    begins = np.cumsum(sizes) - sizes
+    for at in range(0, len(data), WINDOW):
+        low = max(0, at - depth)
+        part = data[low : at + WINDOW].astype(U)
+        key = part.copy()
+        for d in range(1, depth + 1):
+            key[d:] |= part[:-d] << U(8 * d)
+        key = key[at - low :]
+        place = np.searchsorted(begins, np.arange(at, at + len(key)), "right") - 1
+        inside = np.arange(at, at + len(key)) - begins[place] >= depth
+        yield key[inside], place[inside]
 
 
 def _log_kt(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -102,133 +98,71 @@ def _log_kt(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def subtree(keys: np.ndarray, counts: np.ndarray, depth: int, top: int = 1) -> dict:
-    """The trees from depth ``top`` on, for all grams that share some contexts of that depth; each has at least so many symbols.
+    """The trees from depth ``top`` on, for all grams that share some contexts of that depth.
 
-    Returned: the sorted ``keys``; ``bits``, for each key and bit the probability of the bit that it holds, as from depth top
-    on; by depth from top, ``nodes`` (context << 8 | the bits so far, with a leading one) and what each ``leave``s to an unseen
-    child; and for the nodes of depth top their counts and log weight (``zeros``, ``ones``, ``weight``).
+    Returned: the sorted ``keys`` and their ``counts``; ``bits``, for each key and bit the probability of the bit that it holds, as
+    from depth top on; and for the ``nodes`` of depth top (context << 8 | the bits so far, with a leading one) their counts and log
+    weight (``zeros``, ``ones``, ``weight``).
     """
     order = np.argsort(keys)
     keys, counts = keys[order], counts[order].astype(np.float64)
-    sizes = _sizes(keys >> U(8), depth)
-    nodes, ones, totals = [], [], []
+    byte = keys & U(255)
+    bit = np.concatenate([(byte >> U(7 - k)) & U(1) for k in range(8)])
+    so_far = np.concatenate([U(1 << k) | byte >> U(8 - k) for k in range(8)])
+    nodes, ones, totals, wheres = [], [], [], []
     for d in range(top, depth + 1):
-        long = sizes >= d
-        context, byte = (keys[long] >> U(8)) & U((1 << 8 * d) - 1), keys[long] & U(255)
-        at = np.concatenate([context << U(8) | (U(1 << k) | byte >> U(8 - k)) for k in range(8)])
-        bit = np.concatenate([(byte >> U(7 - k)) & U(1) for k in range(8)])
-        found, where = np.unique(at, return_inverse=True)
-        nodes.append(found)
-        totals.append(np.bincount(where, np.tile(counts[long], 8), len(found)))
-        ones.append(np.bincount(where, np.tile(counts[long], 8) * bit, len(found)))
+        context = (keys >> U(8)) & U((1 << 8 * d) - 1)
+        found, where = np.unique(np.tile(context << U(8), 8) | so_far, return_inverse=True)
+        nodes.append(found), wheres.append(where)
+        totals.append(np.bincount(where, np.tile(counts, 8), len(found)))
+        ones.append(np.bincount(where, np.tile(counts, 8) * bit, len(found)))
     levels = depth + 1 - top
     parents = [None] + [np.searchsorted(nodes[i - 1], ((nodes[i] >> U(8)) & U((1 << 8 * (top + i - 1)) - 1)) << U(8) | nodes[i] & U(255)) for i in range(1, levels)]
-    share, below = [None] * levels, np.zeros(0)  # share: how much of a node's weight is its own estimate
+    share, below = [None] * levels, None  # share: how much of a node's weight is its own estimate
     for i in range(levels - 1, -1, -1):
         own = _log_kt(totals[i] - ones[i], ones[i])
-        leaf = (nodes[i] >> U(8 * (top + i))) == SPACE if i < levels - 1 else np.ones(len(own), bool)
-        inside = np.bincount(parents[i + 1], below, len(own)) if i < levels - 1 else np.zeros(len(own))
-        both = np.logaddexp(own, inside) - np.log(2)
-        share[i] = np.where(leaf, 1.0, np.exp(np.minimum(0.0, own - np.log(2) - both)))
-        below = np.where(leaf, own, both)
-    spent, left, leave = np.zeros(len(nodes[0])), np.ones(len(nodes[0])), []
-    bits = np.zeros((len(keys), 8))
+        if i == levels - 1:
+            share[i], below = np.ones(len(own)), own
+        else:
+            both = np.logaddexp(own, np.bincount(parents[i + 1], below, len(own))) - np.log(2)
+            share[i], below = np.exp(np.minimum(0.0, own - np.log(2) - both)), both
+    spent, left = np.zeros(len(nodes[0])), np.ones(len(nodes[0]))
     for i in range(levels):
         if i:
             spent, left = spent[parents[i]], left[parents[i]]
         spent = spent + left * share[i] * (ones[i] + 0.5) / (totals[i] + 1)
         left = left * (1 - share[i])
-        leave.append(spent + left * 0.5)
-        here = sizes == top + i
-        context, byte = keys[here] >> U(8), keys[here] & U(255)
-        for k in range(8):
-            p = spent[np.searchsorted(nodes[i], context << U(8) | (U(1 << k) | byte >> U(8 - k)))]
-            bits[here, k] = np.where((byte >> U(7 - k)) & U(1), p, 1 - p)
-    return {"keys": keys, "bits": bits, "nodes": nodes, "leave": leave, "zeros": totals[0] - ones[0], "ones": ones[0], "weight": below}
-
-
-class Root:
-    """The root of the 255 trees, from the counts and weights of all nodes of depth 1."""
-
-    def __init__(self, bits: np.ndarray, zeros: np.ndarray, ones: np.ndarray, weight: np.ndarray):
-        a, b, inside = (np.bincount(bits, x, 256) for x in (zeros, ones, weight))
-        own = _log_kt(a, b)
-        self.share = np.where(a + b > 0, np.exp(np.minimum(0.0, own - np.logaddexp(own, inside))), 0.0)
-        self.own = (b + 0.5) / (a + b + 1)
-        self.seen = a + b > 0
+    one = spent[wheres[-1]]
+    bits = np.where(bit == 1, one, 1 - one).reshape(8, -1).T
+    return {"keys": keys, "counts": counts, "bits": bits, "nodes": nodes[0], "zeros": totals[0] - ones[0], "ones": ones[0], "weight": below}
 
-    def mix(self, node_bits: np.ndarray, below: np.ndarray) -> np.ndarray:
-        """Probabilities of a one at the root's nodes, given those from below."""
-        return self.share[node_bits] * self.own[node_bits] + (1 - self.share[node_bits]) * below
 
-    def logs(self, keys: np.ndarray, bits: np.ndarray) -> np.ndarray:
-        """log10 probability of each gram."""
-        out, byte = np.zeros(len(keys)), (keys & U(255)).astype(np.int64)
-        for k in range(8):
-            one, node = (byte >> (7 - k)) & 1, 1 << k | byte >> (8 - k)
-            own = np.where(one, self.own[node], 1 - self.own[node])
-            out += np.log10(self.share[node] * own + (1 - self.share[node]) * bits[:, k])
-        return out
-
-
-class Model:
-    """The mixed trees: for each seen gram its log10 probability, and for each node what it leaves to an unseen child."""
-
-    def __init__(self, depth: int, keys: np.ndarray, logs: np.ndarray, nodes: list[np.ndarray], leave: list[np.ndarray]):
-        self.depth, self.keys, self.logs, self.nodes, self.leave = depth, keys, logs, nodes, leave
-
-    @classmethod
-    def of(cls, root: Root, depth: int, parts: list[dict]) -> Model:
-        """From subtrees of different newest bytes (keys, logs, nodes, leave: the last two by depth from 1)."""
-
-        def whole(name: str, i: int | None, kind) -> np.ndarray:
-            return np.concatenate([np.zeros(0, kind), *(p[name] if i is None else p[name][i] for p in parts)])
-
-        def ordered(at: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            order = np.argsort(at)
-            return at[order], values[order]
+class Upper:
+    """The root and the nodes of depth 1 (newest byte << 8 | the bits so far), from the counts of these and the weights below them."""
 
-        keys, logs = ordered(whole("keys", None, U), whole("logs", None, np.float32))
-        top = np.flatnonzero(root.seen)
-        nodes, leave = [top.astype(U)], [root.mix(top, np.full(len(top), 0.5)).astype(np.float32)]
-        for i in range(depth):
-            n, e = ordered(whole("nodes", i, U), whole("leave", i, np.float32))
-            nodes.append(n), leave.append(e)
-        return cls(depth, keys, logs, nodes, leave)
+    def __init__(self, nodes: np.ndarray, zeros: np.ndarray, ones: np.ndarray, inside: np.ndarray):
+        own = _log_kt(zeros, ones)
+        both = np.logaddexp(own, inside) - np.log(2)
+        share = np.exp(np.minimum(0.0, own - np.log(2) - both))
+        bits = nodes & 255
+        a, b, weights = (np.bincount(bits, x, 256) for x in (zeros, ones, both))
+        root_own = _log_kt(a, b)
+        root_share = np.exp(np.minimum(0.0, root_own - np.logaddexp(root_own, weights)))
+        root_one, one, keep = ((b + 0.5) / (a + b + 1))[bits], (ones + 0.5) / (zeros + ones + 1), 1 - root_share[bits]
+        # the probability of a bit is what both depths hold of it, and a part of what comes from below
+        self.holds, self.passes = np.zeros((2, 1 << 16)), np.zeros(1 << 16)
+        self.holds[1, nodes] = root_share[bits] * root_one + keep * share * one
+        self.holds[0, nodes] = root_share[bits] * (1 - root_one) + keep * share * (1 - one)
+        self.passes[nodes] = keep * (1 - share)
 
-    def unseen(self, keys: np.ndarray) -> np.ndarray:
-        """log10 probabilities of grams that training has not seen."""
-        out = np.zeros(len(keys))
-        context, byte = keys >> U(8), keys & U(255)
-        sizes = _sizes(context, self.depth)
+    def logs(self, keys: np.ndarray, below: np.ndarray) -> np.ndarray:
+        """log10 probability of each gram, given those of its bits from below."""
+        out, byte, newest = np.zeros(len(keys)), (keys & U(255)).astype(np.int64), ((keys >> U(8)) & U(255)).astype(np.int64)
         for k in range(8):
-            bits = U(1 << k) | byte >> U(8 - k)
-            p = np.full(len(keys), 0.5)
-            for d in range(self.depth + 1):
-                if not len(self.nodes[d]):
-                    continue
-                node = (context & U((1 << 8 * d) - 1)) << U(8) | bits
-                at = np.minimum(np.searchsorted(self.nodes[d], node), len(self.nodes[d]) - 1)
-                seen = (self.nodes[d][at] == node) & (sizes >= d)
-                p[seen] = self.leave[d][at[seen]]
-            out += np.log10(np.where((byte >> U(7 - k)) & U(1), p, 1 - p))
+            node = newest << 8 | 1 << k | byte >> (8 - k)
+            out += np.log10(self.holds[(byte >> (7 - k)) & 1, node] + self.passes[node] * below[:, k])
         return out
 
-    def score(self, words: list[bytes]) -> np.ndarray:
-        """log10 probability of each word with its closing byte (b"\\n": of the end)."""
-        if not words:
-            return np.zeros(0)
-        key, place = grams_of(words, self.depth)
-        unique, where = np.unique(key, return_inverse=True)
-        if len(self.keys):
-            at = np.minimum(np.searchsorted(self.keys, unique), len(self.keys) - 1)
-            logs, new = self.logs[at].astype(np.float64), self.keys[at] != unique
-        else:
-            logs, new = np.zeros(len(unique)), np.ones(len(unique), bool)
-        if new.any():
-            logs[new] = self.unseen(unique[new])
-        return np.bincount(place, logs[where], len(words))
-
 
 def vocabulary(training: DataFrame) -> DataFrame:
     """(word, c): how often each token occurs in the column text; b"\\n" is the end, once for each row."""
@@ -238,7 +172,7 @@ def vocabulary(training: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()), pa.array(held.values(), pa.int64())], ["word", "c"])
 
         held: Counter = Counter()
-        for b in batches:
+        for b in by_bytes(batches):
             for text in b.column("text").to_pylist():
                 held.update(words_of(text))
                 held[b"\n"] += 1
@@ -251,130 +185,55 @@ def vocabulary(training: DataFrame) -> DataFrame:
     return training.select("text").mapInArrow(count, "word binary, c bigint").groupBy("word").agg(F.sum("c").alias("c"))
 
 
-def gram_counts(vocab: DataFrame, depth: int) -> DataFrame:
-    """(gram, n) of the words of a vocabulary, each as often as its count."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            key, place = grams_of(b.column("word").to_pylist(), depth)
-            c = b.column("c").to_numpy()[place]
-            found, where = np.unique(key, return_inverse=True)
-            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(np.bincount(where, c, len(found)).astype(np.int64))], ["gram", "n"])
+def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    keys, n = (np.concatenate(x) for x in zip(*parts))
+    order = np.argsort(keys)
+    keys = keys[order]
+    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+    return keys[first], np.add.reduceat(n[order], first)
 
-    return vocab.mapInArrow(count, "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
 
+def gram_counts(docs: DataFrame, depth: int) -> DataFrame:
+    """(gram, n): how often each gram of docs (text, learned) occurs in rows that are learnt from."""
 
-def _longs(x: np.ndarray) -> bytes:
-    return np.ascontiguousarray(x).tobytes()
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for b in by_bytes(batches):
+            learned = b.column("learned").to_numpy(zero_copy_only=False).astype(bool)
+            for keys, place in grams_of([words_of(t) for t in b.column("text").to_pylist()], depth):
+                for some, zero in ((keys[learned[place]], 1), (keys[~learned[place]], 0)):
+                    if len(some):
+                        found, n = np.unique(some, return_counts=True)
+                        held.append((found, n * zero))
+                        size += len(found)
+                if size > FLUSH_GRAMS:
+                    held = [_summed(held)]
+                    if (size := len(held[0][0])) > FLUSH_GRAMS // 2:
+                        yield out(*held[0])
+                        held, size = [], 0
+        if held:
+            yield out(*_summed(held))
 
+    def out(keys: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n.astype(np.int64))], ["gram", "n"])
 
-SUBTREE = "keys binary, bits binary, nodes array<binary>, leave array<binary>, top binary, zeros binary, ones binary, weight binary"
+    return docs.select("text", "learned").mapInArrow(count, "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
 
 
-class Upper:
-    """The root and the nodes of depth 1 (newest byte << 8 | the bits so far), from the counts of these and the weights below them."""
+SUBTREE = {"keys": U, "counts": np.float64, "bits": np.float64, "nodes": np.int64, "zeros": np.float64, "ones": np.float64, "weight": np.float64}
 
-    def __init__(self, nodes: np.ndarray, zeros: np.ndarray, ones: np.ndarray, inside: np.ndarray, leaf: np.ndarray):
-        self.seen = np.zeros(1 << 16, bool)
-        self.seen[nodes] = True
-        own = _log_kt(zeros, ones)
-        both = np.where(leaf, own, np.logaddexp(own, inside) - np.log(2))
-        share = np.where(leaf, 1.0, np.exp(np.minimum(0.0, own - np.log(2) - both)))
-        bits = nodes & 255
-        root = Root(bits, zeros, ones, both)
-        one, above, keep = (ones + 0.5) / (zeros + ones + 1), root.share[bits], 1 - root.share[bits]
-        # the probability of a bit is what both depths hold of it, and a part of what comes from below
-        self.holds, self.passes = np.zeros((2, 1 << 16)), np.zeros(1 << 16)
-        self.holds[1, nodes] = above * root.own[bits] + keep * share * one
-        self.holds[0, nodes] = above * (1 - root.own[bits]) + keep * share * (1 - one)
-        self.passes[nodes] = keep * (1 - share)
-        self.root_leave = np.where(root.seen, root.mix(np.arange(256), np.full(256, 0.5)), 0.5)
-        self.leave = self.holds[1] + self.passes * 0.5
-
-    def logs(self, keys: np.ndarray, below: np.ndarray) -> np.ndarray:
-        """log10 probability of each gram, given those of its bits from below."""
-        out, byte, newest = np.zeros(len(keys)), (keys & U(255)).astype(np.int64), ((keys >> U(8)) & U(255)).astype(np.int64)
-        for k in range(8):
-            node = newest << 8 | 1 << k | byte >> (8 - k)
-            out += np.log10(self.holds[(byte >> (7 - k)) & 1, node] + self.passes[node] * below[:, k])
-        return out
 
-    def leaves(self, nodes: np.ndarray, below: np.ndarray) -> np.ndarray:
-        """What deeper nodes leave to an unseen child, given what they do from below."""
-        at = (((nodes >> U(8)) & U(255)) << U(8) | nodes & U(255)).astype(np.int64)
-        return self.holds[1][at] + self.passes[at] * below
-
-    def unseen(self, newest: np.ndarray, bits: np.ndarray) -> np.ndarray:
-        """Probabilities of a one where no deeper node is seen."""
-        node = newest << 8 | bits
-        return np.where(self.seen[node], self.leave[node], self.root_leave[bits])
-
-
-class Trees:
-    """A model as tables: ``grams`` (gram, log: log10 probability) and ``nodes`` (node, leave) from depth 2 on; a node is depth << 48 | context << 8 | bits."""
-
-    def __init__(self, depth: int, upper: Upper, grams: DataFrame, nodes: DataFrame):
-        self.depth, self.upper, self.grams, self.nodes = depth, upper, grams, nodes
-
-    def unseen(self, spark: SparkSession, grams: DataFrame) -> DataFrame:
-        """(gram, log) of distinct grams that training has not seen."""
-        depth, upper = self.depth, spark.sparkContext.broadcast(self.upper)
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                keys = b.column("gram").to_numpy().view(U)
-                context, byte = keys >> U(8), (keys & U(255)).astype(np.int64)
-                sizes, newest = _sizes(context, depth), (context & U(255)).astype(np.int64)
-                for k in range(8):
-                    bits, one = 1 << k | byte >> (8 - k), (byte >> (7 - k)) & 1
-                    p = upper.value.unseen(newest, bits)
-                    for d in range(1, depth + 1):
-                        # a gram's own row, of depth 1, meets no node
-                        has = sizes >= d
-                        node = U(d << 48) | (context & U((1 << 8 * d) - 1)) << U(8) | bits.astype(U)
-                        cols = [keys[has].view(np.int64), np.full(int(has.sum()), k), one[has], np.full(int(has.sum()), d), node[has].view(np.int64), p[has]]
-                        yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["gram", "k", "one", "d", "node", "p"])
-
-        met = grams.select("gram").mapInArrow(run, "gram bigint, k bigint, one bigint, d bigint, node bigint, p double").join(self.nodes, "node", "left")
-        deepest = F.max(F.when(F.col("leave").isNotNull(), F.struct("d", "leave")))["leave"]
-        bit = met.groupBy("gram", "k", "one", "p").agg(deepest.alias("leave")).select("gram", "one", F.coalesce("leave", "p").alias("p"))
-        return bit.groupBy("gram").agg(F.sum(F.log10(F.when(F.col("one") == 1, F.col("p")).otherwise(1 - F.col("p")))).alias("log"))
-
-    def scored(self, spark: SparkSession, vocab: DataFrame, new: DataFrame) -> DataFrame:
-        """(word: its hash, c, word_score) of the words of vocab (word, c), all of them trained on, and of those that are new (word), with a c of 0."""
-        depth = self.depth
-
-        def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                words = b.column("word").to_pylist()
-                key, place = grams_of(words, depth)
-                h = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in words), U, len(words)).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(h[place]), pa.array(b.column("c").to_numpy()[place]), pa.array(key.view(np.int64))], ["word", "c", "gram"])
-
-        kind = "word bigint, c bigint, gram bigint"
-        fresh = saved(spark, new.select("word", F.lit(0).cast("bigint").alias("c")).mapInArrow(spell, kind), "spelled")
-        unseen = fresh.select("gram").distinct().join(self.grams, "gram", "left_anti")
-        logs = self.grams.unionByName(saved(spark, self.unseen(spark, unseen), "unseen"))
-        met = vocab.select("word", "c").mapInArrow(spell, kind).unionByName(fresh).join(logs, "gram")
-        return met.groupBy("word").agg(F.max("c").alias("c"), F.sum("log").alias("word_score"))
-
-
-def train(spark: SparkSession, vocab: DataFrame, depth: int = DEPTH, max_grams: int | None = None) -> Trees:
-    """The trees of depth; only where max_grams is given, those of the largest depth up to it whose grams number at most so many."""
-    small_batches(spark, 20_000)
-    while (grams := saved(spark, gram_counts(vocab, depth), "grams")) and max_grams is not None and depth > 1 and grams.count() > max_grams:
-        depth -= 1
-    begun = F.shiftright("gram", 8)
-    newest_two = begun.bitwiseAND(0xFFFF)
-    #: contexts that end at depth 1
-    short = F.lit(depth == 1) | (begun == SPACE)
+def train(spark: SparkSession, grams: DataFrame, depth: int = DEPTH) -> DataFrame:
+    """(gram, n, log): the log10 probability of each gram of grams (gram, n) under the trees that the counts n make."""
+    if depth < 2:
+        raise ValueError("depth must be 2 at least")
+    bounded_batches(spark)
 
     def grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def tree(keys: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
             t = subtree(keys, n, depth, 2)
-            one = {x: _longs(t[x]) for x in ("keys", "bits", "zeros", "ones", "weight")} | {x: [_longs(y) for y in t[x]] for x in ("nodes", "leave")}
-            one["top"] = _longs((t["nodes"][0] & U(0xFFFF)).astype(np.int64))
-            return pa.RecordBatch.from_pylist([one], pa.schema([(x, pa.list_(pa.binary()) if x in ("nodes", "leave") else pa.binary()) for x in ("keys", "bits", "nodes", "leave", "top", "zeros", "ones", "weight")]))
+            t["nodes"] = t["nodes"] & U(0xFFFF)
+            return pa.RecordBatch.from_arrays([pa.array([np.ascontiguousarray(t[x]).tobytes()], pa.binary()) for x in SUBTREE], list(SUBTREE))
 
         keys, n = np.zeros(0, U), np.zeros(0, np.int64)
         for b in batches:
@@ -386,134 +245,135 @@ def train(spark: SparkSession, vocab: DataFrame, depth: int = DEPTH, max_grams:
         if len(keys):
             yield tree(keys, n)
 
-    dealt = grams.where(~short).withColumn("two", newest_two).repartition("two").sortWithinPartitions("two")
-    trees = saved(spark, dealt.select("gram", "n").mapInArrow(grow, SUBTREE), "subtrees")
-    small_batches(spark, 16)
+    dealt = grams.withColumn("two", F.shiftright("gram", 8).bitwiseAND(0xFFFF)).repartition("two").sortWithinPartitions("two")
+    trees = saved(spark, dealt.select("gram", "n").mapInArrow(grow, ", ".join(f"{x} binary" for x in SUBTREE)), "subtrees")
 
     def tops(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for r in b.to_pylist():
-                found, where = np.unique(np.frombuffer(r["top"], np.int64), return_inverse=True)
+                found, where = np.unique(np.frombuffer(r["nodes"], np.int64), return_inverse=True)
                 sums = (np.bincount(where, np.frombuffer(r[x], np.float64), len(found)) for x in ("zeros", "ones", "weight"))
                 yield pa.RecordBatch.from_arrays([pa.array(found), *map(pa.array, sums)], ["node", "zeros", "ones", "weight"])
 
-    inner = trees.select("top", "zeros", "ones", "weight").mapInArrow(tops, "node bigint, zeros double, ones double, weight double")
-    bit = F.expr("shiftright(gram & 255, 7 - k) & 1")
-    ends = grams.where(short).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(7)))).select(
-        F.expr("(shiftright(gram, 8) & 255) * 256 + (shiftleft(1, k) | shiftright(gram & 255, 8 - k))").alias("node"),
-        F.when(bit == 0, F.col("n")).otherwise(0).cast("double").alias("zeros"), F.when(bit == 1, F.col("n")).otherwise(0).cast("double").alias("ones"), F.lit(None).cast("double").alias("weight"),
-    )
-    rows = inner.unionByName(ends).groupBy("node").agg(*(F.sum(x).alias(x) for x in ("zeros", "ones", "weight"))).collect()  # 65,280 at most
-    leaf = np.array([r.weight is None for r in rows], bool)
-    upper = Upper(np.array([r.node for r in rows], np.int64), *(np.array([r[x] or 0.0 for r in rows], np.float64) for x in ("zeros", "ones", "weight")), leaf)
+    tops_of = trees.select("nodes", "zeros", "ones", "weight").mapInArrow(tops, "node bigint, zeros double, ones double, weight double")
+    rows = tops_of.groupBy("node").agg(*(F.sum(x).alias(x) for x in ("zeros", "ones", "weight"))).collect()  # 65,280 at most
+    upper = Upper(np.array([r.node for r in rows], np.int64), *(np.array([r[x] for r in rows], np.float64) for x in ("zeros", "ones", "weight")))
     shared = spark.sparkContext.broadcast(upper)
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for r in b.to_pylist():
-                keys = np.frombuffer(r["keys"], U)
+                keys, n = np.frombuffer(r["keys"], U), np.frombuffer(r["counts"], np.float64)
                 logs = shared.value.logs(keys, np.frombuffer(r["bits"], np.float64).reshape(-1, 8))
-                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(logs)], ["gram", "log"])
-
-    def finish_ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keys = b.column("gram").to_numpy().view(U)
-            yield pa.RecordBatch.from_arrays([b.column("gram"), pa.array(shared.value.logs(keys, np.zeros((len(keys), 8))))], ["gram", "log"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n.astype(np.int64)), pa.array(logs)], ["gram", "n", "log"])
 
-    def left(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for r in b.to_pylist():
-                for i, (nodes, leave) in enumerate(zip(r["nodes"], r["leave"])):
-                    n = np.frombuffer(nodes, U)
-                    yield pa.RecordBatch.from_arrays([pa.array((n | U(i + 2 << 48)).view(np.int64)), pa.array(shared.value.leaves(n, np.frombuffer(leave)))], ["node", "leave"])
-
-    logs = trees.select("keys", "bits").mapInArrow(finish, "gram bigint, log double").unionByName(grams.where(short).select("gram").mapInArrow(finish_ends, "gram bigint, log double"))
-    return Trees(depth, upper, saved(spark, logs, "logs"), saved(spark, trees.select("nodes", "leave").mapInArrow(left, "node bigint, leave double"), "nodes"))
+    out = saved(spark, trees.select("keys", "counts", "bits").mapInArrow(finish, "gram bigint, n bigint, log double"), "logs")
+    forget(spark, trees)
+    return out
 
 
-def frequent_words(vocab: DataFrame, most: int | None = None) -> dict[bytes, int]:
-    """The words whose count reaches the lowest level (16 to a doubling) at which there are at most ``most`` of them."""
-    most = HOT_WORDS if most is None else most
-    level = F.floor(F.log2("c") * 16)
-    least, n = None, 0
-    for r in sorted(vocab.groupBy(level.alias("level")).count().collect(), reverse=True):  # a thousand rows at most
+def frequent(rows: DataFrame, count: str, most: int) -> int:
+    """The lowest level of count (16 to a doubling) from which on there are at most ``most`` rows."""
+    least, n = 1 << 20, 0
+    for r in sorted(rows.groupBy(level(count).alias("level")).count().where("level is not null").collect(), reverse=True):  # a thousand rows at most
         if (n := n + r["count"]) > most:
             break
         least = r.level
-    return {} if least is None else {bytes(r.word): r.c for r in vocab.where(level >= least).collect()}
+    return least
 
 
-def score(spark: SparkSession, docs: DataFrame, vocab: DataFrame, model: Trees, held_out: DataFrame | None = None) -> DataFrame:
-    """(doc_id, n_tokens, n_known, train_tokens, base_score, score) of each row's text; held_out: the rows with words that vocab may lack, if not all."""
-    small_batches(spark)
-    new = saved(spark, vocabulary(docs if held_out is None else held_out).join(vocab, "word", "left_anti").select("word"), "new")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20000")
-    scored = saved(spark, model.scored(spark, vocab, new), "words")
+def level(count: str) -> Column:
+    return F.floor(F.log2(F.when(F.col(count) > 0, F.col(count))) * 16).cast("int")
+
+
+def _signed(h: int) -> int:
+    return h - (1 << 64) if h >> 63 else h
+
+
+def score(spark: SparkSession, docs: DataFrame, learned: Column, depth: int = DEPTH) -> DataFrame:
+    """(doc_id, learned, n_tokens, n_known, train_tokens, base_score, score, n_bytes, bits_per_byte) of each row's text; learned: which rows to learn from."""
+    bounded_batches(spark)
+    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce(learned, F.lit(False)).alias("learned"))
+    vocab = saved(spark, vocabulary(docs.where("learned")), "vocabulary")
+    counted = saved(spark, gram_counts(docs, depth), "grams")
+    logs = train(spark, counted, depth)
+    forget(spark, counted)
     total = vocab.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     n, v = total.n, total.v
     below = n + 0.1 * (v + 1)
-    hot = frequent_words(vocab)
-    logs = {r.word: r.word_score for r in scored.where(F.col("c") >= min(hot.values())).select("word", "word_score").collect()} if hot else {}  # those of hot
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    fields = [("doc_id", pa.int64()), ("h", pa.int64()), ("word", pa.int64()), ("tf", pa.int32()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64())]
-    schema = "doc_id bigint, h bigint, word bigint, tf int, n_tokens bigint, n_known bigint, base double, score double"
 
-    def signed(h: int) -> int:
-        return h - (1 << 64) if h >> 63 else h
-
-    shared = spark.sparkContext.broadcast({w: (c, np.log10((c + 0.1) / below), logs[signed(xxhash.xxh3_64_intdigest(w))]) for w, c in hot.items()})
+    word_level, gram_level = frequent(vocab, "c", HOT_WORDS), frequent(logs, "n", HOT_GRAMS)
+    hot_words = {bytes(r.word): r.c for r in vocab.where(level("c") >= word_level).collect()}  # HOT_WORDS at most
+    hot = logs.where(level("n") >= gram_level).select("gram", "log").toArrow()  # HOT_GRAMS at most
+    keys = hot.column("gram").to_numpy().view(U)
+    order = np.argsort(keys)
+    shared = spark.sparkContext.broadcast(({w: i for i, w in enumerate(hot_words)}, np.log10((np.array(list(hot_words.values()), np.float64) + 0.1) / below), keys[order], hot.column("log").to_numpy()[order]))
+    fields = [("doc_id", pa.int64()), ("h", pa.int64()), ("kind", pa.int32()), ("id", pa.int64()), ("tf", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("n_bytes", pa.int64()), ("base", pa.float64()), ("score", pa.float64())]
+    schema = "doc_id bigint, h bigint, kind int, id bigint, tf bigint, n_tokens bigint, n_known bigint, n_bytes bigint, base double, score double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get = shared.value.get
-        for b in batches:
-            whole, rare, hs = [], [], b.column("h").to_pylist()
-            for i, h, text in zip(b.column("doc_id").to_pylist(), hs, b.column("text").to_pylist()):
-                words = Counter(words_of(text))
-                words[b"\n"] += 1
-                known, base, log = 0, 0.0, 0.0
-                for w, tf in words.items():
-                    if (e := get(w)) is None:
-                        rare.append((len(whole), w, tf))
-                    else:
-                        known += tf
-                        base += tf * e[1]
-                        log += tf * e[2]
-                whole.append([i, h, sum(words.values()), known, base, log])
-            names = {w: k for k, w in enumerate(dict.fromkeys(w for _, w, _ in rare))}
-            hashes = [signed(xxhash.xxh3_64_intdigest(w)) for w in names]
-            k, r = len(whole), len(rare)
+        index, bases, frequent_keys, frequent_logs = shared.value
+        for b in by_bytes(batches):
+            k = b.num_rows
+            texts = [words_of(t) for t in b.column("text").to_pylist()]
+            score, n_bytes, rare = np.zeros(k), np.zeros(k, np.int64), []
+            for key, place in grams_of(texts, depth):
+                n_bytes += np.bincount(place, minlength=k)
+                at = np.minimum(np.searchsorted(frequent_keys, key), max(0, len(frequent_keys) - 1))
+                met = frequent_keys[at] == key if len(frequent_keys) else np.zeros(len(key), bool)
+                score += np.bincount(place[met], frequent_logs[at[met]] if len(frequent_keys) else None, k)
+                place, key = place[~met], key[~met]
+                order = np.lexsort((key, place))
+                place, key = place[order], key[order]
+                first = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (place[1:] != place[:-1]))) if len(key) else np.zeros(0, np.int64)
+                rare.append((place[first], np.full(len(first), GRAM, np.int32), key[first].view(np.int64), np.diff(np.append(first, len(key)))))
+            for w in texts:
+                w.append(b"\n")
+            sizes = np.fromiter(map(len, texts), np.int64, k)
+            words = list(itertools.chain.from_iterable(texts))
+            at = np.fromiter(map(index.get, words, itertools.repeat(-1)), np.int64, len(words))
+            place, met = np.repeat(np.arange(k), sizes), at >= 0
+            known, base = np.bincount(place[met], minlength=k), np.bincount(place[met], bases[at[met]] if len(bases) else None, k)
+            others = Counter(zip(place[~met].tolist(), [words[i] for i in np.flatnonzero(~met)]))
+            hashes = [_signed(xxhash.xxh3_64_intdigest(w)) for _, w in others]
+            rare.append((np.fromiter((d for d, _ in others), np.int64, len(others)), np.full(len(others), WORD, np.int32), np.array(hashes, np.int64), np.fromiter(others.values(), np.int64, len(others))))
+            rows, kind, ids, tf = (np.concatenate(x) for x in zip(*rare))
+            doc, h, none = b.column("doc_id"), b.column("h"), np.zeros(len(rows), np.int64)
             cols = [
-                [x[0] for x in whole] + [whole[d][0] for d, _, _ in rare],
-                [x[1] for x in whole] + [whole[d][1] for d, _, _ in rare],
-                [None] * k + [hashes[names[w]] for _, w, _ in rare],
-                [0] * k + [tf for _, _, tf in rare],
-                *([x[j] for x in whole] + [0] * r for j in range(2, 6)),
+                *(pa.concat_arrays([c, c.take(pa.array(rows))]) for c in (doc, h)),
+                np.append(np.full(k, OWN, np.int32), kind), np.append(h.to_numpy(), ids), np.append(np.zeros(k, np.int64), tf),
+                *(np.append(x, none) for x in (sizes, known, n_bytes, base, score)),
             ]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(cols, fields)], [f for f, _ in fields])
 
-    rows = docs.select(F.col("doc_id").cast("bigint"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"), "text").mapInArrow(run, schema)
-    # both kinds of row go the same way: a document's own row meets no word
-    met = rows.join(scored, "word", "left")
-    tf, c = F.col("tf").cast("double"), F.coalesce("c", F.lit(0)).cast("double")
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([_signed(xxhash.xxh3_64_intdigest(w)) for w in b.column("word").to_pylist()], pa.int64()), b.column("c")], ["id", "c"])
+
+    # a document's own row has its own number and meets nothing
+    rare_words = vocab.where(level("c") < word_level).mapInArrow(hashed, "id bigint, c bigint").select(F.lit(WORD).alias("kind"), "id", F.col("c").cast("double").alias("value"))
+    rare_grams = logs.where((F.col("n") == 0) | (level("n") < gram_level)).select(F.lit(GRAM).alias("kind"), F.col("gram").alias("id"), F.col("log").alias("value"))
+    rows = docs.select("doc_id", F.xxhash64("text").alias("h"), "text").mapInArrow(run, schema)
+    met = rows.join(rare_words.unionByName(rare_grams), ["kind", "id"], "left")
+    tf, c, is_word, is_gram = F.col("tf"), F.coalesce("value", F.lit(0.0)), F.col("kind") == WORD, F.col("kind") == GRAM
     met = met.select(
-        "doc_id", "h", "n_tokens", (F.col("n_known") + F.when(F.col("c") > 0, F.col("tf")).otherwise(0)).alias("n_known"),
-        (F.col("base") + F.when(F.col("word").isNotNull(), tf * F.log10((c + 0.1) / F.lit(below))).otherwise(0.0)).alias("base"),
-        (F.col("score") + F.when(F.col("word").isNotNull(), tf * F.col("word_score")).otherwise(0.0)).alias("score"), F.col("word").isNull().cast("bigint").alias("own"),
+        "doc_id", "h", "n_tokens", "n_bytes", (F.col("n_known") + F.when(is_word & (c > 0), tf).otherwise(0)).alias("n_known"),
+        (F.col("base") + F.when(is_word, tf * F.log10((c + 0.1) / F.lit(below))).otherwise(0.0)).alias("base"),
+        (F.col("score") + F.when(is_gram, tf * c).otherwise(0.0)).alias("score"), (F.col("kind") == OWN).cast("bigint").alias("own"),
     )
-    sums = met.groupBy("doc_id", "h").agg(*(F.sum(x).alias(x) for x in ("n_tokens", "n_known", "base", "score", "own")))
-    each = lambda x: (F.col(x) / F.col("own"))
+    sums = met.groupBy("doc_id", "h").agg(*(F.sum(x).alias(x) for x in ("n_tokens", "n_bytes", "n_known", "base", "score", "own")))
+    each = lambda x: F.col(x) / F.col("own")
+    whole = lambda x: each(x).cast("bigint").alias(x)
     return sums.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("bigint"), "own"))).select(
-        "doc_id", each("n_tokens").cast("bigint").alias("n_tokens"), each("n_known").cast("bigint").alias("n_known"), F.lit(n).cast("bigint").alias("train_tokens"), each("base").alias("base_score"), each("score").alias("score")
+        "doc_id", whole("n_tokens"), whole("n_known"), F.lit(n).cast("bigint").alias("train_tokens"), each("base").alias("base_score"), each("score").alias("score"),
+        whole("n_bytes"), (-each("score") * F.lit(float(np.log2(10))) / each("n_bytes")).alias("bits_per_byte"),
     )
 
 
 def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    small_batches(spark)
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
-    held_out = id_remainder("doc_id", 10) == 0
-    vocab = saved(spark, vocabulary(docs.where(~held_out)), "vocabulary")
-    out = score(spark, docs, vocab, train(spark, vocab), docs.where(held_out))
-    return out.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    out = score(spark, docs, id_remainder("doc_id", 10) != 0)
+    return out.select("doc_id", (id_remainder("doc_id", 10) == 0).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "n_bytes", "bits_per_byte")
 
 
 QUERIES = {"op8_lm_scoring": op8_lm_scoring}
