@@ -7,12 +7,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.session import forget, saved
 
-__all__ = ["bounded_batches", "by_bytes", "forget", "id_remainder", "saved", "table"]
+__all__ = ["bounded_batches", "by_bytes", "forget", "frequent", "id_remainder", "level", "saved", "table"]
 
 #: Bytes of one Arrow batch that Spark sends to a Python worker, about, and of texts that a function works on at a time.
 ARROW_BYTES, TEXT_BYTES = 16 << 20, 2 << 20
@@ -44,3 +44,17 @@ def by_bytes(batches: Iterator[pa.RecordBatch], column: str = "text", most: int
 def id_remainder(column: str, modulus: int):
     """crc32 of the id as text, modulo modulus; a null id counts as the empty text."""
     return F.pmod(F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")), F.lit(modulus))
+
+
+def frequent(rows: DataFrame, count: str, most: int) -> int:
+    """The lowest level of count (16 to a doubling) from which on there are at most ``most`` rows."""
+    least, n = 1 << 20, 0
+    for r in sorted(rows.groupBy(level(count).alias("level")).count().where("level is not null").collect(), reverse=True):  # a thousand rows at most
+        if (n := n + r["count"]) > most:
+            break
+        least = r.level
+    return least
+
+
+def level(count: str) -> Column:
+    return F.floor(F.log2(F.when(F.col(count) > 0, F.col(count))) * 16).cast("int")

@@ -41,7 +41,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import bounded_batches, by_bytes, forget, id_remainder, saved, table
+from ledgerloom.llm.common import bounded_batches, by_bytes, forget, frequent, id_remainder, level, saved, table
 
 DEPTH, HOT_WORDS, HOT_GRAMS = 5, 1 << 16, 1 << 20
 #: Grams that a task grows trees from at a time; more where two newest bytes have more.
@@ -272,20 +272,6 @@ def train(spark: SparkSession, grams: DataFrame, depth: int = DEPTH) -> DataFram
     return out
 
 
-def frequent(rows: DataFrame, count: str, most: int) -> int:
-    """The lowest level of count (16 to a doubling) from which on there are at most ``most`` rows."""
-    least, n = 1 << 20, 0
-    for r in sorted(rows.groupBy(level(count).alias("level")).count().where("level is not null").collect(), reverse=True):  # a thousand rows at most
-        if (n := n + r["count"]) > most:
-            break
-        least = r.level
-    return least
-
-
-def level(count: str) -> Column:
-    return F.floor(F.log2(F.when(F.col(count) > 0, F.col(count))) * 16).cast("int")
-
-
 def _signed(h: int) -> int:
     return h - (1 << 64) if h >> 63 else h
 

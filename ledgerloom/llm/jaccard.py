@@ -10,23 +10,30 @@ difference, and each differing element spoils at most one chunk of the sketch.
 Sizes fall into bands such that linked sets lie in the same band or in neighbours;
 a pair meets in the larger one's band, whose sketches have one chunk more than the
 most differing elements there, and ``spare`` more: an empty chunk says nothing, so
-chunks without a set bit are left out, which loses no pair as long as one of its
+such chunks are left out, which loses no pair as long as one of its
 sets has no more than ``spare`` of them; sets with more bring theirs along. Linked
 classes therefore share a (band, chunk, bits) bucket for sure.
 
+A bucket without a member of its own band is of no use and is dropped, as are
+chunks that hold fewer than two elements: one shingle that many texts share says
+little, and ``spare`` covers those chunks like empty ones. Buckets that a sample
+shows to be very large are dealt out by class as well.
+
 A bucket's members need not all be compared to know what is connected. First, each
 class meets one of its buckets' heads, the one it shares most buckets with (a
 bucket's head is the member that meets others in most buckets); then groups meet
-the heads of other groups by one member each, for ``ROUNDS`` round; at last all members of different groups
-that still share a bucket meet, if their sketches' Hamming distance allows a link.
-Every pair that shares a bucket is so compared, or connected already. Verification
-brings the texts of a pair together (large stars are split) and compares the sets.
-Components come from rounds of smallest-neighbour exchange and jumps.
+the heads of other groups by one member each; at last all members of different
+groups that still share a bucket meet once, in the first bucket that they share, if
+their sketches' Hamming distance allows a link. Every pair that shares a bucket is
+so compared, or connected already. Verification brings the texts of a pair together
+(large stars are split) and compares the sets. Components come from rounds of
+smallest-neighbour exchange and jumps.
 
 Defined cases: null and word-free texts have an empty set, n_shingles 0, and are
 linked with nothing; fewer than ``width`` words are one shingle; repeated rows stay
 repeated; rows that share an id but not a text are documents of their own with the
-same id; other columns are not read. Two different sets share a fingerprint, or
+same id; very long texts are read whole, a few at a time; other columns, whatever
+their names, are not read. Two different sets share a fingerprint, or
 two shingles a hash, with a probability of about pairs / 2**64.
 """
 
@@ -42,17 +49,21 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import bounded_batches, saved, table
+from ledgerloom.llm.common import bounded_batches, by_bytes, forget, frequent, level, saved, table
 
 #: What op10 is asked for: words of a shingle, per cent of similarity; the pipeline's stage is asked for STAGE_WIDTH and STAGE_NEED.
 WIDTH, NEED = 4, 85
 STAGE_WIDTH, STAGE_NEED = 5, 80
-CHUNK_BITS = 10
-ROUNDS, STAR = 1, 512
+CHUNK_BITS = 30
+STAR = 64
+#: One class in so many is looked at to find large buckets; how many of those make one, and how many are dealt out by class, over SALTS parts.
+SAMPLED, LARGE, LARGE_BUCKETS, SALTS = 64, 32, 1 << 14, 64
+#: Buckets of a class up to which a pair is told by the first bucket that it shares; pairs of classes with more may be told by each.
+LISTED = 200
 #: Rows of (document, comparison) that are broadcast to the scan of the texts; more are joined by doc_id.
 BROADCAST_ROWS = 300_000
 #: Words whose hashes a task keeps, and fingerprints it knows it has passed on.
-CACHE = 1 << 19
+CACHE = 1 << 17
 U = np.uint64
 
 
@@ -113,7 +124,7 @@ class Sets:
             return mixed(self._sums(mixed(self.flat + U(1))) + self.n.astype(U)).view(np.int64)
 
     def sketches(self) -> list[np.ndarray]:
-        """Parity bits of each set, as signed longs: a power of two of them, at least as many bits as elements."""
+        """Parity bits of each set, as signed longs: a power of two of them, at least two bits for each element."""
         place = mixed(self.flat ^ U(0x5851F42D4C957F2D))
         longs = sketch_longs(self.n)
         begin = np.cumsum(longs) - longs
@@ -122,10 +133,10 @@ class Sets:
         packed = np.packbits(bits.astype(np.uint8), bitorder="little").view(np.int64)
         return [packed[b : b + k] for b, k in zip(begin.tolist(), longs.tolist())]
 
-    def bucket_keys(self) -> tuple[np.ndarray, np.ndarray]:
-        """(keys, the text of each): the buckets of each set, for its own band and, where it can have larger partners there, the next."""
+    def bucket_keys(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(keys, the text of each, whether it is of the set's own band): the buckets of each set, for its own band and, where it can have larger partners there, the next."""
         own = np.searchsorted(edges_for(self.need), self.n, "right") - 1
-        keys, owners = [], []
+        keys, owners, owns = [], [], []
         bits = mixed((self.flat & U((1 << CHUNK_BITS) - 1)) + U(1))
         for step in (0, 1):
             chunks = np.zeros(len(self.n), np.int64)
@@ -138,24 +149,29 @@ class Sets:
             found, bit = self.flat[used], bits[used]
             who = np.repeat(np.arange(len(self.n)), self.n)[used]
             chunk = ((found >> U(32)) * chunks[who].astype(U)) >> U(32)  # ascending within a set, as its hashes are
-            place = (np.cumsum(chunks) - chunks)[who] + chunk.astype(np.int64)
+            begin = np.cumsum(chunks) - chunks
+            place = begin[who] + chunk.astype(np.int64)
             first = np.flatnonzero(np.append(True, place[1:] != place[:-1]))
+            many = np.diff(np.append(first, len(place))) > 1
             parity = np.bitwise_xor.reduceat(bit, first)
-            full = parity != 0
-            who, chunk, parity = who[first][full], chunk[first][full], parity[full]
-            # sets with too many empty chunks bring those along
-            empty = chunks - np.bincount(who, minlength=len(self.n))
-            for i in np.flatnonzero(empty > spare):
+            # sets with too many chunks of fewer than two elements bring all of those along
+            poor = chunks - np.bincount(who[first][many], minlength=len(self.n))
+            all_of = np.flatnonzero(poor > spare)
+            held = many | np.isin(who[first], all_of)
+            who, chunk, parity = who[first][held], chunk[first][held], parity[held]
+            for i in all_of:
                 rest = np.setdiff1d(np.arange(chunks[i], dtype=U), chunk[who == i], assume_unique=True)
                 who, chunk, parity = np.append(who, np.full(len(rest), i)), np.append(chunk, rest), np.append(parity, np.zeros(len(rest), U))
             keys.append(mixed(parity ^ mixed(chunk * U(1 << 20) + (own[who] + step + 1).astype(U))).view(np.int64))
             owners.append(who)
-        return np.concatenate([np.zeros(0, np.int64), *keys]), np.concatenate([np.zeros(0, np.int64), *owners])
+            owns.append(np.full(len(who), step == 0))
+        none = np.zeros(0, np.int64)
+        return np.concatenate([none, *keys]), np.concatenate([none, *owners]), np.concatenate([none.astype(bool), *owns])
 
 
 def sketch_longs(n: np.ndarray) -> np.ndarray:
-    """Longs of a sketch: a power of two, from 2 on, with at least as many bits as elements."""
-    return 1 << np.maximum(1, np.ceil(np.log2(np.maximum(n, 1) / 64))).astype(np.int64)
+    """Longs of a sketch: a power of two, from 2 on, with at least two bits for each element."""
+    return 1 << np.maximum(1, np.ceil(np.log2(np.maximum(n, 1) / 32))).astype(np.int64)
 
 
 def differing(a, b, need: int = NEED):
@@ -183,7 +199,10 @@ def chunks_of(band: int, need: int = NEED) -> tuple[int, int]:
     """(chunks, spare ones among them) of the sketches that meet in a band."""
     largest = int(edges_for(need)[band + 1]) - 1
     most = differing(largest, largest, need)
-    spare = 1 if most < 8 else 2 if most < 40 else 3
+    # about how many chunks hold fewer than two elements, if a chunk holds a tenth less than in the band's largest sets
+    mean = 0.9 * (100 + need) / (2 * (100 - need))
+    poor = most * np.exp(-mean) * (1 + mean)
+    spare = 1 if most < 8 else 1 + int(np.ceil(poor + 1.5 * np.sqrt(poor)))
     return most + 1 + spare, spare
 
 
@@ -198,33 +217,49 @@ def chunks_for(n: int, own: int, step: int, need: int = NEED) -> tuple[int, int]
     return chunks_of(band, need)
 
 
-SETS = "row bigint, doc_id bigint, n bigint, fp bigint, sketch array<bigint>, keys array<bigint>"
+def sets(docs: DataFrame, width: int = WIDTH, need: int = NEED) -> DataFrame:
+    """(row, doc_id, n, fp, sketch): size, fingerprint and sketch of each row's set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in by_bytes(batches):
+            found = Sets(b.column("text").to_pylist(), width, need)
+            cols = [b.column("row"), b.column("doc_id"), pa.array(found.n), pa.array(found.fingerprints()), pa.array(found.sketches(), pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(cols, ["row", "doc_id", "n", "fp", "sketch"])
 
+    return docs.select("row", F.col("doc_id").cast("bigint"), "text").mapInArrow(run, "row bigint, doc_id bigint, n bigint, fp bigint, sketch array<bigint>")
 
-def sets(docs: DataFrame, width: int = WIDTH, need: int = NEED) -> DataFrame:
-    """(row, doc_id, n, fp, sketch, keys): size, fingerprint, sketch and buckets of each row's set; a task gives a class's buckets once."""
+
+def bucket_rows(docs: DataFrame, width: int, need: int, large: np.ndarray) -> DataFrame:
+    """(key, part, fp, own): the buckets of each class; a task gives a class's buckets once. part: 0, or of a large bucket one of SALTS parts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         passed: set[int] = set()
-        for b in batches:
+        for b in by_bytes(batches):
             if len(passed) > CACHE:
                 passed.clear()
             found = Sets(b.column("text").to_pylist(), width, need)
             fps = found.fingerprints()
-            keys, who = found.bucket_keys()
-            keys = keys[np.argsort(who, kind="stable")]
-            sizes = np.bincount(who, minlength=len(fps))
+            keys, who, own = found.bucket_keys()
             new = np.zeros(len(fps), bool)
             for i, fp in enumerate(fps.tolist()):
                 if fp not in passed:
                     passed.add(fp)
                     new[i] = True
-            keys, sizes = keys[np.repeat(new, sizes)], np.where(new, sizes, 0)
-            lists = pa.ListArray.from_arrays(pa.array(np.append(0, sizes.cumsum()).astype(np.int32)), pa.array(keys))
-            cols = [b.column("row"), b.column("doc_id"), pa.array(found.n), pa.array(fps), pa.array(found.sketches(), pa.list_(pa.int64())), lists]
-            yield pa.RecordBatch.from_arrays(cols, ["row", "doc_id", "n", "fp", "sketch", "keys"])
+            held = new[who] if len(who) else np.zeros(0, bool)
+            keys, of, own = keys[held], fps[who[held]], own[held]
+            part = np.where(np.isin(keys, large), 1 + (of.view(U) % U(SALTS)).astype(np.int32), 0).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(part), pa.array(of), pa.array(own)], ["key", "part", "fp", "own"])
+
+    return docs.select("text").mapInArrow(run, "key bigint, part int, fp bigint, own boolean")
+
 
-    return docs.select("row", F.col("doc_id").cast("bigint"), "text").mapInArrow(run, SETS)
+def large_buckets(spark: SparkSession, docs: DataFrame, width: int, need: int) -> np.ndarray:
+    """The sorted keys of the buckets that hold many of a sample's classes; LARGE_BUCKETS at most."""
+    sample = docs.where(F.pmod(F.xxhash64("text", F.lit("buckets")), F.lit(SAMPLED)) == 0)
+    counted = bucket_rows(sample, width, need, np.zeros(0, np.int64)).groupBy("key").agg(F.count_distinct("fp").alias("c")).where(f"c >= {LARGE}")
+    counted = saved(spark, counted, "large")
+    least = frequent(counted, "c", LARGE_BUCKETS)
+    return np.sort(np.array([r.key for r in counted.where(level("c") >= least).select("key").collect()], np.int64))
 
 
 def folded(sketch, longs):
@@ -253,7 +288,7 @@ def verified(spark: SparkSession, docs: DataFrame, reps: DataFrame, pairs: DataF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = centre = None
-        for b in batches:
+        for b in by_bytes(batches):
             left, right = [], []
             found = Sets(b.column("text").to_pylist(), width, need)
             own = found.fingerprints().tolist()
@@ -284,58 +319,72 @@ def components(spark: SparkSession, links: DataFrame) -> DataFrame:
         roots = lower.groupBy(F.col("group").alias("root")).agg(F.min("lower").alias("to"))
         step = lower.join(roots, lower["group"] == roots["root"]).select("fp", F.least("lower", "to").alias("group"), F.col("group").alias("was"))
         step = saved(spark, step, "groups")
-        now = step.select("fp", "group")
+        forget(spark, now)
         if step.where("group != was").isEmpty():
-            return now
+            forget(spark, both)
+            return step.select("fp", "group")
+        now = step
 
 
 def linked_rows(spark: SparkSession, docs: DataFrame, width: int = WIDTH, need: int = NEED) -> DataFrame:
     """(row, doc_id, n, group, component_id) of each row of docs (row, doc_id, text); group is null for empty sets."""
     bounded_batches(spark)
-    found = saved(spark, sets(docs, width, need), "sets")
-    members = found.drop("keys")
+    members = saved(spark, sets(docs, width, need), "sets")
     classes = saved(spark, members.where("n > 0").groupBy("fp", "n", "sketch").agg(F.min("doc_id").alias("doc_id")), "classes")
     reps, shape = classes.select("fp", "doc_id"), classes.select("fp", "n", "sketch")
 
-    by_key = Window.partitionBy("key")
-    met = found.select("fp", F.explode("keys").alias("key")).withColumn("least", F.min("fp").over(by_key)).withColumn("most", F.max("fp").over(by_key))
-    met = saved(spark, met.where("least != most").select("key", "fp"), "met")
+    by_key = Window.partitionBy("key", "part")
+    met = bucket_rows(docs, width, need, large_buckets(spark, docs, width, need))
+    met = met.select("*", F.min("fp").over(by_key).alias("least"), F.max("fp").over(by_key).alias("most"), F.max("own").over(by_key).alias("useful"))
+    met = saved(spark, met.where("part > 0 or (least != most and useful)").select("key", "fp", "own"), "met")
     # the head of a bucket is its member that meets others in most buckets: an original rather than one of its edited copies
     weight = met.groupBy("fp").agg(F.count("*").alias("weight"))
-    shared = met.join(weight, "fp").withColumn("head", F.max(F.struct("weight", "fp")).over(by_key)["fp"])
-    shared = saved(spark, shared.select("key", "fp", "weight", "head"), "buckets")
+    shared = saved(spark, met.join(weight, "fp").distinct(), "buckets")
+    forget(spark, met)
 
     def possible(pairs: DataFrame) -> DataFrame:
         x, y = shape.select(F.col("fp").alias("a"), F.struct("n", "sketch").alias("x")), shape.select(F.col("fp").alias("b"), F.struct("n", "sketch").alias("y"))
         return pairs.join(x, "a").join(y, "b").where(may_link("x", "y", need)).drop("x", "y")
 
+    def headed(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("key").agg(F.max(F.struct("own", "weight", "fp"))["fp"].alias("head"))
+
     # each class first meets that one of its buckets' heads with which it shares most buckets
-    heads = shared.where("fp != head").groupBy(F.col("head").alias("a"), F.col("fp").alias("b")).agg(F.count("*").alias("in_common"))
+    heads = shared.select("key", "fp").join(headed(shared), "key").where("fp != head").groupBy(F.col("head").alias("a"), F.col("fp").alias("b")).agg(F.count("*").alias("in_common"))
     pairs = heads.groupBy("b").agg(F.max_by("a", F.struct("in_common", "a")).alias("a")).select("a", "b")
     links = saved(spark, verified(spark, docs, reps, saved(spark, possible(pairs), "pairs"), width, need), "links")
     groups = components(spark, links)
 
-    def grouped(rows: DataFrame) -> DataFrame:
-        return rows.join(groups, "fp", "left").withColumn("group", F.coalesce("group", "fp"))
-
-    for _ in range(ROUNDS):
-        # of each group that a head's bucket holds besides its own, the member that meets most others meets the head
-        own = groups.select(F.col("fp").alias("head"), F.col("group").alias("own"))
-        others = grouped(shared).join(own, "head", "left").withColumn("own", F.coalesce("own", "head")).where("group != own")
-        one = others.groupBy("key", "head", "own", "group").agg(F.max_by("fp", F.struct("weight", "fp")).alias("fp"))
-        two = one.groupBy("own", "group", F.least("head", "fp").alias("a"), F.greatest("head", "fp").alias("b")).agg(F.count("*").alias("in_common"))
-        pairs = two.groupBy("own", "group").agg(F.max_by(F.struct("a", "b"), F.struct("in_common", "a", "b")).alias("p")).select("p.*").distinct()
-        pairs = saved(spark, possible(pairs), "pairs")
-        if pairs.isEmpty():
-            break
+    def several(rows: DataFrame) -> DataFrame:
+        """Rows (key, fp, own, weight) with their group, of the buckets where different groups still meet."""
+        found = saved(spark, rows.join(groups, "fp", "left").withColumn("group", F.coalesce("group", "fp")), "grouped")
+        spread = found.groupBy("key").agg(F.min("group").alias("low"), F.max("group").alias("high"), F.max("own").alias("useful")).where("low != high and useful").select("key")
+        out = saved(spark, found.join(spread, "key"), "left")
+        forget(spark, found)
+        return out
+
+    left = several(shared)
+    forget(spark, shared)
+    # of each group that a head's bucket holds besides its own, the member that meets most others meets the head
+    own = left.select(F.col("fp").alias("head"), F.col("group").alias("own_group")).distinct()
+    others = left.join(headed(left).join(own, "head"), "key").where("group != own_group")
+    one = others.groupBy("key", "head", "own_group", "group").agg(F.max_by("fp", F.struct("weight", "fp")).alias("fp"))
+    two = one.groupBy("own_group", "group", F.least("head", "fp").alias("a"), F.greatest("head", "fp").alias("b")).agg(F.count("*").alias("in_common"))
+    pairs = two.groupBy("own_group", "group").agg(F.max_by(F.struct("a", "b"), F.struct("in_common", "a", "b")).alias("p")).select("p.*").distinct()
+    pairs = saved(spark, possible(pairs), "pairs")
+    if not pairs.isEmpty():
         links = saved(spark, links.union(verified(spark, docs, reps, pairs, width, need)), "links")
         groups = components(spark, links)
 
-    # the rest, whole: members of different groups that share a bucket and whose sizes and sketches allow a link
-    several = grouped(shared.select("key", "fp")).withColumn("low", F.min("group").over(by_key)).withColumn("high", F.max("group").over(by_key))
-    left = saved(spark, several.where("low != high").select("key", "fp", "group").join(shape, "fp"), "left")
+    # the rest, whole: members of different groups that share a bucket and whose sizes and sketches allow a link, once each
+    left = several(left.select("key", "fp", "own", "weight"))
+    lists = left.groupBy("fp").agg(F.collect_list(F.when(F.col("own"), F.col("key"))).alias("ours"), F.collect_list(F.when(~F.col("own"), F.col("key"))).alias("theirs"))
+    lists = lists.select("fp", *(F.when(F.size("ours") + F.size("theirs") <= LISTED, F.col(c)).alias(c) for c in ("ours", "theirs")))
+    left = saved(spark, left.join(shape, "fp").join(lists, "fp").select("key", "fp", "own", "group", "n", "sketch", "ours", "theirs"), "listed")
     x, y = left.alias("x"), left.alias("y")
-    rest = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.group") < F.col("y.group")) & may_link("x", "y", need))
+    common = lambda i, j: F.array_min(F.array_intersect(i, j))
+    first = F.least(common("x.ours", "y.ours"), common("x.ours", "y.theirs"), common("x.theirs", "y.ours"))
+    rest = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.group") < F.col("y.group")) & (F.col("x.own") | F.col("y.own")) & may_link("x", "y", need) & (first.isNull() | (first == F.col("x.key"))))
     rest = saved(spark, rest.select(F.least("x.fp", "y.fp").alias("a"), F.greatest("x.fp", "y.fp").alias("b")).distinct(), "rest")
     if not rest.isEmpty():
         links = saved(spark, links.union(verified(spark, docs, reps, rest, width, need)), "links")

@@ -92,10 +92,20 @@ def test_linked_sets_share_a_bucket():
     assert linked > 500
 
 
+def test_large_buckets_are_dealt_out(spark, monkeypatch):
+    """Buckets that the sample shows to be large go by parts, with the same result."""
+    for name, value in (("SAMPLED", 1), ("LARGE", 3), ("LISTED", 10), ("STAR", 2)):
+        monkeypatch.setattr(jc, name, value)
+    rows = corpus(3)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert len(jc.large_buckets(spark, docs, jc.WIDTH, jc.NEED))
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in jc.join(spark, docs).collect()) == brute(rows)
+
+
 def test_batches_do_not_matter():
     texts = [t for _, t in corpus(5)]
     whole = jc.Sets(texts)
-    keys, who = whole.bucket_keys()
+    keys, who, _ = whole.bucket_keys()
     for i, t in enumerate(texts):
         one = jc.Sets([t])
         assert one.n[0] == whole.n[i] and (one[0] == whole[i]).all() and one.fingerprints()[0] == whole.fingerprints()[i]
