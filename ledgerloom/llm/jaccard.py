@@ -34,7 +34,7 @@ linked with nothing; fewer than ``width`` words are one shingle; repeated rows s
 repeated; rows that share an id but not a text are documents of their own with the
 same id; very long texts are read whole, a few at a time; other columns, whatever
 their names, are not read. Two different sets share a fingerprint, or
-two shingles a hash, with a probability of about pairs / 2**64.
+two shingles a hash, with a probability of about pairs / 2**63.
 """
 
 from __future__ import annotations
@@ -60,11 +60,14 @@ STAR = 64
 SAMPLED, LARGE, LARGE_BUCKETS, SALTS = 64, 32, 1 << 14, 64
 #: Buckets of a class up to which a pair is told by the first bucket that it shares; pairs of classes with more may be told by each.
 LISTED = 200
+#: Longs of the small sketches that the last pairs are first told by.
+FOLDED = (2, 8)
 #: Rows of (document, comparison) that are broadcast to the scan of the texts; more are joined by doc_id.
 BROADCAST_ROWS = 300_000
 #: Words whose hashes a task keeps, and fingerprints it knows it has passed on.
 CACHE = 1 << 17
 U = np.uint64
+EVEN = ~U(1)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -120,8 +123,9 @@ class Sets:
         return out
 
     def fingerprints(self) -> np.ndarray:
+        """Even numbers: the last bit is free for a mark."""
         with np.errstate(over="ignore"):
-            return mixed(self._sums(mixed(self.flat + U(1))) + self.n.astype(U)).view(np.int64)
+            return (mixed(self._sums(mixed(self.flat + U(1))) + self.n.astype(U)) & EVEN).view(np.int64)
 
     def sketches(self) -> list[np.ndarray]:
         """Parity bits of each set, as signed longs: a power of two of them, at least two bits for each element."""
@@ -162,7 +166,7 @@ class Sets:
             for i in all_of:
                 rest = np.setdiff1d(np.arange(chunks[i], dtype=U), chunk[who == i], assume_unique=True)
                 who, chunk, parity = np.append(who, np.full(len(rest), i)), np.append(chunk, rest), np.append(parity, np.zeros(len(rest), U))
-            keys.append(mixed(parity ^ mixed(chunk * U(1 << 20) + (own[who] + step + 1).astype(U))).view(np.int64))
+            keys.append((mixed(parity ^ mixed(chunk * U(1 << 20) + (own[who] + step + 1).astype(U))) & EVEN).view(np.int64))
             owners.append(who)
             owns.append(np.full(len(who), step == 0))
         none = np.zeros(0, np.int64)
@@ -230,7 +234,7 @@ def sets(docs: DataFrame, width: int = WIDTH, need: int = NEED) -> DataFrame:
 
 
 def bucket_rows(docs: DataFrame, width: int, need: int, large: np.ndarray) -> DataFrame:
-    """(key, part, fp, own): the buckets of each class; a task gives a class's buckets once. part: 0, or of a large bucket one of SALTS parts."""
+    """(key, fp): the buckets of each class; a task gives a class's buckets once. An odd key marks a large bucket, an odd fp a bucket of the class's own band."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         passed: set[int] = set()
@@ -246,17 +250,16 @@ def bucket_rows(docs: DataFrame, width: int, need: int, large: np.ndarray) -> Da
                     passed.add(fp)
                     new[i] = True
             held = new[who] if len(who) else np.zeros(0, bool)
-            keys, of, own = keys[held], fps[who[held]], own[held]
-            part = np.where(np.isin(keys, large), 1 + (of.view(U) % U(SALTS)).astype(np.int32), 0).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(part), pa.array(of), pa.array(own)], ["key", "part", "fp", "own"])
+            keys = keys[held] | np.isin(keys[held], large)
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(fps[who[held]] | own[held])], ["key", "fp"])
 
-    return docs.select("text").mapInArrow(run, "key bigint, part int, fp bigint, own boolean")
+    return docs.select("text").mapInArrow(run, "key bigint, fp bigint")
 
 
 def large_buckets(spark: SparkSession, docs: DataFrame, width: int, need: int) -> np.ndarray:
     """The sorted keys of the buckets that hold many of a sample's classes; LARGE_BUCKETS at most."""
     sample = docs.where(F.pmod(F.xxhash64("text", F.lit("buckets")), F.lit(SAMPLED)) == 0)
-    counted = bucket_rows(sample, width, need, np.zeros(0, np.int64)).groupBy("key").agg(F.count_distinct("fp").alias("c")).where(f"c >= {LARGE}")
+    counted = bucket_rows(sample, width, need, np.zeros(0, np.int64)).groupBy("key").agg(F.count_distinct(F.col("fp").bitwiseAND(-2)).alias("c")).where(f"c >= {LARGE}")
     counted = saved(spark, counted, "large")
     least = frequent(counted, "c", LARGE_BUCKETS)
     return np.sort(np.array([r.key for r in counted.where(level("c") >= least).select("key").collect()], np.int64))
@@ -276,6 +279,25 @@ def may_link(a: str, b: str, need: int = NEED):
     return (small * 100 >= large * need) & (apart * (100 + need) <= (small + large) * (100 - need))
 
 
+def small_sketch(sketch: str) -> list:
+    """A sketch folded to FOLDED[0] longs, and to FOLDED[1] where it has so many; null where not."""
+    def one(longs: int, i: int):
+        places = F.filter(F.col(sketch), lambda _, k: k % longs == i)
+        return F.when(F.size(sketch) >= longs, F.aggregate(places, F.lit(0).cast("bigint"), lambda a, v: a.bitwiseXOR(v)))
+
+    return [one(longs, i) for longs in FOLDED for i in range(longs)]
+
+
+def small_may_link(a: str, b: str, need: int = NEED):
+    """Whether sizes and small sketches of the rows a and b leave a link possible: whole-number columns, as most pairs end here."""
+    small, large = F.least(f"{a}.n", f"{b}.n"), F.greatest(f"{a}.n", f"{b}.n")
+    out, at = small * 100 >= large * need, 0
+    for longs in FOLDED:
+        apart = sum((F.coalesce(F.bit_count(F.col(f"{a}.m{i}").bitwiseXOR(F.col(f"{b}.m{i}"))), F.lit(0)) for i in range(at, at + longs)), F.lit(0))
+        out, at = out & (apart * (100 + need) <= (small + large) * (100 - need)), at + longs
+    return out
+
+
 def verified(spark: SparkSession, docs: DataFrame, reps: DataFrame, pairs: DataFrame, width: int = WIDTH, need: int = NEED) -> DataFrame:
     """Those of pairs (a, b: fingerprints) whose sets are similar enough; reps: (fp, doc_id)."""
     size = pairs.groupBy("a").agg(F.count("*").alias("members"))
@@ -333,10 +355,12 @@ def linked_rows(spark: SparkSession, docs: DataFrame, width: int = WIDTH, need:
     classes = saved(spark, members.where("n > 0").groupBy("fp", "n", "sketch").agg(F.min("doc_id").alias("doc_id")), "classes")
     reps, shape = classes.select("fp", "doc_id"), classes.select("fp", "n", "sketch")
 
-    by_key = Window.partitionBy("key", "part")
+    is_large, fp = F.col("key").bitwiseAND(1) == 1, F.col("fp").bitwiseAND(-2)
+    by_key = Window.partitionBy("key", F.when(is_large, F.pmod(F.shiftright("fp", 1), F.lit(SALTS))).otherwise(0))
     met = bucket_rows(docs, width, need, large_buckets(spark, docs, width, need))
-    met = met.select("*", F.min("fp").over(by_key).alias("least"), F.max("fp").over(by_key).alias("most"), F.max("own").over(by_key).alias("useful"))
-    met = saved(spark, met.where("part > 0 or (least != most and useful)").select("key", "fp", "own"), "met")
+    met = met.select("*", F.min(fp).over(by_key).alias("least"), F.max(fp).over(by_key).alias("most"), F.max(F.col("fp").bitwiseAND(1)).over(by_key).alias("useful"))
+    met = met.where(is_large | ((F.col("least") != F.col("most")) & (F.col("useful") == 1)))
+    met = saved(spark, met.select("key", fp.alias("fp"), (F.col("fp").bitwiseAND(1) == 1).alias("own")), "met")
     # the head of a bucket is its member that meets others in most buckets: an original rather than one of its edited copies
     weight = met.groupBy("fp").agg(F.count("*").alias("weight"))
     shared = saved(spark, met.join(weight, "fp").distinct(), "buckets")
@@ -380,12 +404,14 @@ def linked_rows(spark: SparkSession, docs: DataFrame, width: int = WIDTH, need:
     left = several(left.select("key", "fp", "own", "weight"))
     lists = left.groupBy("fp").agg(F.collect_list(F.when(F.col("own"), F.col("key"))).alias("ours"), F.collect_list(F.when(~F.col("own"), F.col("key"))).alias("theirs"))
     lists = lists.select("fp", *(F.when(F.size("ours") + F.size("theirs") <= LISTED, F.col(c)).alias(c) for c in ("ours", "theirs")))
-    left = saved(spark, left.join(shape, "fp").join(lists, "fp").select("key", "fp", "own", "group", "n", "sketch", "ours", "theirs"), "listed")
+    small = shape.select("fp", "n", *(x.alias(f"m{i}") for i, x in enumerate(small_sketch("sketch"))))
+    left = saved(spark, left.join(small, "fp").join(lists, "fp").drop("weight"), "listed")
     x, y = left.alias("x"), left.alias("y")
     common = lambda i, j: F.array_min(F.array_intersect(i, j))
     first = F.least(common("x.ours", "y.ours"), common("x.ours", "y.theirs"), common("x.theirs", "y.ours"))
-    rest = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.group") < F.col("y.group")) & (F.col("x.own") | F.col("y.own")) & may_link("x", "y", need) & (first.isNull() | (first == F.col("x.key"))))
+    rest = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.group") < F.col("y.group")) & (F.col("x.own") | F.col("y.own")) & small_may_link("x", "y", need) & (first.isNull() | (first == F.col("x.key"))))
     rest = saved(spark, rest.select(F.least("x.fp", "y.fp").alias("a"), F.greatest("x.fp", "y.fp").alias("b")).distinct(), "rest")
+    rest = saved(spark, possible(rest), "rest")
     if not rest.isEmpty():
         links = saved(spark, links.union(verified(spark, docs, reps, rest, width, need)), "links")
         groups = components(spark, links)
