@@ -15,7 +15,7 @@ from ledgerloom.session import forget, saved
 __all__ = ["bounded_batches", "by_bytes", "forget", "frequent", "id_remainder", "level", "saved", "table"]
 
 #: Bytes of one Arrow batch that Spark sends to a Python worker, about, and of texts that a function works on at a time.
-ARROW_BYTES, TEXT_BYTES = 16 << 20, 2 << 20
+ARROW_BYTES, TEXT_BYTES = 8 << 20, 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:

@@ -47,9 +47,9 @@ DEPTH, HOT_WORDS, HOT_GRAMS = 5, 1 << 16, 1 << 20
 #: Grams that a task grows trees from at a time; more where two newest bytes have more.
 GROW_GRAMS = 50_000
 #: Distinct words, and grams, that a task counts before it passes them on.
-FLUSH_WORDS, FLUSH_GRAMS = 300_000, 1 << 21
+FLUSH_WORDS, FLUSH_GRAMS = 300_000, 1 << 20
 #: Bytes whose grams a task holds at a time.
-WINDOW = 1 << 21
+WINDOW = 1 << 19
 END = 0x0A
 #: What a row of a document's is about: itself, a rare word or a rare gram.
 OWN, WORD, GRAM = 0, 1, 2
