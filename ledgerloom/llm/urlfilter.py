@@ -44,7 +44,7 @@ RULES = [
     ("net", "/fr/", "block"),
 ]
 #: Words of host names that mark unwanted sites, for weak labels.
-UNWANTED_WORDS = ["adult", "bet", "bets", "casino", "gambling", "lottery", "pills", "poker", "porn", "sex", "spam", "viagra", "warez", "xxx"]
+UNWANTED_WORDS = ["ads", "adult", "bet", "bets", "casino", "gambling", "lottery", "pills", "poker", "porn", "sex", "spam", "track", "tracker", "tracking", "viagra", "warez", "xxx"]
 
 MAX_TRAIN, SUFFIX_BUCKETS, SMOOTHING = 20_000, 4096, 20.0
 TREES, DEPTH, RATE, BINS, LEAST = 30, 3, 0.3, 32, 5
@@ -207,7 +207,8 @@ def train(labelled: DataFrame, max_train: int = MAX_TRAIN) -> Model:
         model.trees.base = -np.inf
         return model
     share = int((1 << 20) * min(1.0, max_train / total.n))
-    sample = rows.where(F.pmod(F.xxhash64("url", F.lit("trees")), F.lit(1 << 20)) < share).orderBy("url", "label").limit(2 * max_train).collect()
+    sample = rows.where(F.pmod(F.xxhash64("url", F.lit("trees")), F.lit(1 << 20)) < share).collect()  # about max_train short rows
+    sample.sort(key=lambda r: (r.url, r.label))
     y = np.array([r.label for r in sample], np.float64)
     model.trees = fit(model.rows([r.features for r in sample], [r.suffix1 for r in sample], [r.suffix2 for r in sample], y), y)
     return model
