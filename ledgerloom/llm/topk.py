@@ -14,13 +14,14 @@ descending length and raises its thresholds as it goes. Each task returns k rows
 for a query, which one window merges.
 
 The rotation only decides how soon a pair is dropped; the result is exact
-whatever the sample (``SAMPLE`` vectors at most, by a hash of the id).
+whatever the sample (about ``SAMPLE`` vectors, by a hash of the id).
 
 Defined cases: vectors that are null or hold null, NaN or infinite components, and
 rows without an id, take no part; rows that share an id count once (the smallest
 by their components' bytes); vectors only meet those of their own dimension; ties
-go to the smaller id; a query with fewer than k candidates gets them all; a
-component beyond +-2**26 after scaling raises, as sums could then pass 64 bits.
+go to the smaller id; a query with fewer than k candidates gets them all; sums that
+could pass 64 bits are made in Python's integers, a score beyond a long is its end,
+and a component beyond +-2**62 after scaling counts as that.
 """
 
 from __future__ import annotations
@@ -34,13 +35,13 @@ from pyspark.sql import functions as F
 
 from ledgerloom.llm.common import bounded_batches, saved, table
 
-BLOCK, QUERY_BLOCK, SAMPLE, LARGEST = 4096, 1024, 4096, 1 << 26
+BLOCK, QUERY_BLOCK, SAMPLE, LARGEST = 4096, 1024, 4096, 2.0**62
 #: Shares of the coordinates after which the bound is tested.
 STEPS = (0.25, 0.5, 0.75)
 
 
 def integers(df: DataFrame, scale: float) -> DataFrame:
-    """(vec_id, dim, norm, v): the scaled floors of column ``embedding`` as packed 32-bit integers, valid rows only."""
+    """(vec_id, dim, norm, v): the scaled floors of column ``embedding`` as packed 64-bit integers, valid rows only."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -51,10 +52,8 @@ def integers(df: DataFrame, scale: float) -> DataFrame:
                 v = x.values.to_numpy(zero_copy_only=False).astype(np.float64)
                 if not np.isfinite(v).all():
                     continue
-                v = np.floor(scale * v)
-                if len(v) and np.abs(v).max() > LARGEST:
-                    raise ValueError("a component is too large for exact sums")
-                ids.append(i), dims.append(len(v)), norms.append(float(np.sqrt(v @ v))), vs.append(v.astype("<i4").tobytes())
+                v = np.clip(np.floor(scale * v), -LARGEST, LARGEST)
+                ids.append(i), dims.append(len(v)), norms.append(float(np.sqrt(v @ v))), vs.append(v.astype("<i8").tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(dims, pa.int32()), pa.array(norms, pa.float64()), pa.array(vs, pa.binary())], ["vec_id", "dim", "norm", "v"])
 
     return df.select(F.col("vec_id").cast("bigint"), "embedding").mapInArrow(run, "vec_id bigint, dim int, norm double, v binary")
@@ -88,8 +87,10 @@ def _packed(rows: DataFrame, size: int) -> DataFrame:
 def _rotations(vectors: DataFrame, sample: int) -> dict[int, np.ndarray]:
     """For each dimension of a bounded sample, the orthogonal matrix of its right singular vectors, largest first."""
     picked: dict[int, list] = {}
-    for r in vectors.select("dim", "v", F.xxhash64("vec_id").alias("h")).orderBy("h").limit(sample).collect():
-        picked.setdefault(r.dim, []).append(np.frombuffer(r.v, "<i4"))
+    total = max(1, vectors.count())
+    share = 1 << 20 if total <= sample else max(1, (1 << 20) * sample // total)
+    for r in vectors.where(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 20)) < share).select("dim", "v").collect():  # about sample rows
+        picked.setdefault(r.dim, []).append(np.frombuffer(r.v, "<i8"))
     return {d: np.linalg.svd(np.stack(v).astype(np.float64), full_matrices=True)[2].T if d else np.zeros((0, 0)) for d, v in picked.items()}
 
 
@@ -98,7 +99,8 @@ class Side:
 
     def __init__(self, dim: int, ids: bytes, vs: bytes, rotations: dict[int, np.ndarray]):
         self.ids = np.frombuffer(ids, "<i8")
-        self.v = np.frombuffer(vs, "<i4").reshape(len(self.ids), dim).astype(np.float64)
+        self.whole = np.frombuffer(vs, "<i8").reshape(len(self.ids), dim)
+        self.v = self.whole.astype(np.float64)
         self.norms = np.sqrt((self.v * self.v).sum(1))
         self.turned = self.v @ rotations.get(dim, np.eye(dim))
         self.steps = sorted({int(dim * s) for s in STEPS} - {0, dim})
@@ -107,10 +109,11 @@ class Side:
 
 
 def _exact(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Row-wise inner products of integers held in doubles, exact."""
-    if not a.size or np.abs(a).max() * np.abs(b).max() * a.shape[1] < 2**53:
-        return (a * b).sum(1).astype(np.int64)
-    return (a.astype(np.int64) * b.astype(np.int64)).sum(1)
+    """Row-wise inner products of integers, exact: in 64 bits where no sum can pass them, else in Python's integers, and the ends of a long for what is beyond."""
+    if not a.size or float(np.abs(a).max()) * float(np.abs(b).max()) * a.shape[1] < 2.0**62:
+        return (a * b).sum(1)
+    sums = (a.astype(object) * b.astype(object)).sum(1)
+    return np.array([max(-(2**63) + 1, min(2**63 - 1, x)) for x in sums], np.int64)
 
 
 class Best:
@@ -134,7 +137,7 @@ class Best:
             qi, ci = qi[keep], ci[keep]
         own = q.ids[qi] != c.ids[ci]
         qi, ci = qi[own], ci[own]
-        score = np.concatenate([_exact(q.v[qi[i : i + 65536]], c.v[ci[i : i + 65536]]) for i in range(0, len(qi), 65536)] or [np.zeros(0, np.int64)])
+        score = np.concatenate([_exact(q.whole[qi[i : i + 65536]], c.whole[ci[i : i + 65536]]) for i in range(0, len(qi), 65536)] or [np.zeros(0, np.int64)])
         row, ids, score = np.append(self.row, qi), np.append(self.id, c.ids[ci]), np.append(self.score, score)
         order = np.lexsort((ids, -score, row))
         row, ids, score = row[order], ids[order], score[order]

@@ -32,8 +32,12 @@ def test_against_brute_force(spark, tmp_path, seed):
 def test_query_empty_and_large(spark, tmp_path):
     spark.createDataFrame([], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
     assert topk.op9_exact_topk(spark, str(tmp_path)).count() == 0
-    with pytest.raises(Exception, match="too large"):
-        topk.search(spark, spark.createDataFrame([(0, [1e9])], "vec_id long, embedding array<float>"), topk.F.col("vec_id") == 0, 5).collect()
+    rows = [(0, [1e7, 1.0]), (1, [1e7, -3.0]), (2, [2.0, 2e6]), (3, [9e6, 9e6])]
+    docs = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    assert sorted(map(tuple, topk.search(spark, docs, topk.F.col("vec_id") % 50 == 0, 5).collect())) == brute(rows)
+    # beyond a long: the end of it
+    far = spark.createDataFrame([(0, [1e30]), (1, [1e30]), (2, [-1e30])], "vec_id long, embedding array<float>")
+    assert sorted(map(tuple, topk.search(spark, far, topk.F.col("vec_id") == 0, 5).collect())) == [(0, 1, 1, 2**63 - 1), (0, 2, 2, -(2**63) + 1)]
 
 
 def test_oracle(spark):
