@@ -17,7 +17,7 @@ are learnt from. The model is ``2**BITS`` weights for each label, broadcast.
 
 Defined cases: null, empty or text-free pages give an empty text; unclosed,
 crossed or unknown tags are tolerated (a paragraph ends where the next block
-begins); a page without any tags is one block, judged like others; the text of
+begins, and a head where an element opens that can't stand in one); a page without any tags is one block, judged like others; the text of
 scripts, styles, templates, form controls and the head is never a block; ``br``
 is white space; repeated rows stay repeated. Without a page to learn from, the
 layouts are made from built-in words.
@@ -49,11 +49,13 @@ NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+
 WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 DIGITS = re.compile(r"[0-9]")
 #: Elements within a line; all others end a block.
-INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br img".split())
+INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br img math mi mn mo ms mtext mrow msup msub msubsup mfrac msqrt mroot mover munder semantics svg g text tspan object canvas audio video".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = set("script style".split())
 #: Elements whose text is never shown as running text.
-HIDDEN = set("head title noscript template select option optgroup textarea button svg math iframe object canvas audio video datalist".split())
+HIDDEN = set("head title template select option optgroup textarea button iframe datalist".split())
+#: Elements that can stand in a head; any other ends it.
+IN_HEAD = set("base link meta noscript script style template title".split())
 #: Elements that an opening block ends.
 ENDS = {"p": {"p"}, "li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}}
 SCOPES = {"ul", "ol", "dl", "table", "article", "section", "div", "main", "body", "html", "aside", "nav", "form", "blockquote", "header", "footer"}
@@ -90,7 +92,7 @@ def blocks(page: str | None) -> list[Block]:
     def flush() -> None:
         nonlocal now
         if now.parts:
-            text = " ".join(html.unescape("".join(now.parts)).split())
+            text = " ".join("".join(now.parts).split())
             if text:
                 out.append(Block(tuple(step for tag, step in stack if tag not in INLINE), text, now.linked))
             now = _Open()
@@ -107,7 +109,7 @@ def blocks(page: str | None) -> list[Block]:
         m = TAG.search(page, pos)
         text = page[pos : m.start() if m else len(page)]
         if text and not hidden:
-            now.parts.append(text)
+            now.parts.append(html.unescape(text) if "&" in text else text)
             now.linked += len(text) if links else 0
         if not m:
             break
@@ -132,6 +134,8 @@ def blocks(page: str | None) -> list[Block]:
             if tag == "br":
                 now.parts.append(" ")
                 continue
+            if stack and tag not in IN_HEAD and (at := next((k for k, (open_tag, _) in enumerate(stack) if open_tag == "head"), -1)) >= 0:
+                close(at)
             if tag not in INLINE:
                 flush()
                 if tag == "body":
@@ -171,9 +175,9 @@ def path_features(path: tuple[str, ...]) -> list[int]:
 
 def text_shape(b: Block) -> tuple:
     """What the features of a block's text are made from."""
-    t, n, head = b.text, len(b.text), b.text[:400]
-    upper, digits = sum(map(operator.ne, head, head.lower())), len(DIGITS.findall(head))
-    return min(12, n.bit_length()), min(4, 5 * b.linked // n), t[-1] in ".!?:;…”»", min(4, 20 * digits // len(head)), min(4, 10 * upper // len(head)), min(6, t.count(" ").bit_length()), "".join(c for c in "©|»·@" if c in t)
+    t, n = b.text, len(b.text)
+    upper, digits = sum(map(operator.ne, t, t.lower())), len(DIGITS.findall(t))
+    return min(12, n.bit_length()), min(4, 5 * b.linked // n), t[-1] in ".!?:;…”»", min(4, 20 * digits // n), min(4, 10 * upper // n), min(6, t.count(" ").bit_length()), "".join(c for c in "©|»·@" if c in t)
 
 
 def text_features(shape: tuple) -> list[int]:
@@ -272,7 +276,7 @@ ASIDE = {
     "form": ["<form>", '<form class="search">', '<form id="login-form">', '<div class="contact-form">', "<form><label>", "<form><fieldset>"],
     "comments": ['<div class="comments">', '<section id="comments">', '<ul class="comment-list">', '<div class="reader-comments">', '<div id="disqus-thread">', '<div class="comment">', '<section class="discussion responses">', '<div class="replies">'],
 }
-NOT_MAIN = {"nav", "aside", "footer", "header", "form", "fieldset", "menu", "dialog", "label", "legend", "figcaption"}
+NOT_MAIN = {"nav", "aside", "footer", "header", "form", "fieldset", "menu", "dialog", "label", "legend"}
 NOT_WORDS = {"ad", "ads", "advert", "advertisement", "comment", "comments", "sidebar", "menu", "nav", "footer", "cookie", "banner", "newsletter", "promo", "related", "share", "notice", "alert", "form"}
 OWN_WORDS = "the of a river house wind stone light water road open small every between morning"
 
@@ -341,12 +345,26 @@ def layouts(seen: list[list[Block]], pool: list[str], n: int, seed: int = 7) ->
     return made
 
 
+WEIGHTS = "emission binary, pair binary, start binary"
+
+
 def train(pages: DataFrame, max_train: int = MAX_TRAIN) -> Crf:
-    """From the columns page_id and html."""
-    picked = pages.select("page_id", "html", F.xxhash64("page_id").alias("h")).where("html is not null").orderBy("h", "page_id").limit(max_train).collect()
-    seen = [b for r in picked if (b := blocks(r.html)) and semantic_labels(b)]
-    pool = [b.text[:600] for page in seen for b in page] or [OWN_WORDS]
-    return fit(seen + layouts(seen, pool, 2 * max(len(seen), 100)))
+    """From the columns page_id and html: about max_train pages, by a threshold on a hash of the id, and the fit in one task over them."""
+    rows = pages.where("html is not null").select("page_id", "html", F.xxhash64("page_id").alias("h"))
+    total = max(1, rows.count())
+    sample = rows if total <= max_train else rows.where(F.pmod("h", F.lit(1 << 20)) < max(1, (1 << 20) * max_train // total))
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        picked = sorted((h, i, x) for b in batches for h, i, x in zip(*(b.column(c).to_pylist() for c in ("h", "page_id", "html"))))
+        seen = [b for _, _, x in picked if (b := blocks(x)) and semantic_labels(b)]
+        pool = [b.text[:600] for page in seen for b in page] or [OWN_WORDS]
+        model = fit(seen + layouts(seen, pool, 2 * max(len(seen), 100)))
+        yield pa.RecordBatch.from_arrays([pa.array([w.tobytes()], pa.binary()) for w in (model.emission, model.pair, model.start)], ["emission", "pair", "start"])
+
+    weights = sample.select("h", F.col("page_id").cast("string").alias("page_id"), "html").repartition(1).mapInArrow(learn, WEIGHTS).collect()
+    if not weights:  # no page at all
+        return fit(layouts([], [OWN_WORDS], 200))
+    return Crf(*(np.frombuffer(w).reshape(shape).copy() for w, shape in zip(weights[0], ((1 << BITS, 2), (2, 2), (2,)))))
 
 
 def extract(spark: SparkSession, pages: DataFrame, model: Crf, keep: list[str]) -> DataFrame:

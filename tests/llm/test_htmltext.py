@@ -56,3 +56,19 @@ def test_query(spark, tmp_path):
     assert by[2] == by[3] == "" and by[4].count("\n") == 4999 and "First words of it é x." in by[1] and "cookies" not in by[1]
     empty = spark.createDataFrame([], "page_id long, url string, html string")
     assert h.extract(spark, empty, h.train(empty), ["page_id"]).count() == 0
+
+
+def test_nothing_but_scripts_and_forms_is_lost():
+    text = lambda page: [b.text for b in h.blocks(page)]
+    assert text("<head><title>x</title><article><p>Body text here.</p></article>") == ["Body text here."]
+    assert text("<head><meta a=b><p>one<p>two") == ["one", "two"]
+    assert text("<p>Let <math><mi>x</mi><mo>=</mo><mn>2</mn></math> hold</p>") == ["Let x=2 hold"]
+    assert text("<p>a &am<b>p;</b> b &lt; c</p><noscript>plain</noscript>") == ["a &amp; b < c", "plain"]
+
+
+def test_sample_is_fitted_in_a_task(spark):
+    rows = [(i, f"<html><body><nav><a href='/'>menu {i}</a></nav><article><p>{'the water of the river ' * 4}{i}.</p></article></body></html>") for i in range(60)]
+    pages = spark.createDataFrame(rows, "page_id long, html string").repartition(4)
+    got = {r.page_id: r.text for r in h.extract(spark, pages, h.train(pages, 20), ["page_id"]).collect()}
+    assert all(got[i] == ("the water of the river " * 4 + f"{i}.") for i in range(60))
+    assert h.train(pages.limit(0)).emission.shape == (1 << h.BITS, 2)
