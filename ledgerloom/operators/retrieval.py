@@ -1,9 +1,9 @@
 """Retrieval: postings, term selection, weighted BM25, floors, fusion and packing, for many prompts at once.
 
-The corpus is read once. Prompts are a small table: their terms filter the
-exploded tokens before any shuffle, so that only postings of asked terms move.
-Term frequencies are partially aggregated by each task; document lengths need no
-explosion at all. Scores are negative and lower is better; they are rounded
+The corpus is read once, into one narrow table of the asked terms' postings with
+each record's length (``index``); numbers of records, lengths and frequencies are
+all aggregated from it. Prompts are a small table: their terms filter the exploded
+tokens before any shuffle, so that only postings of asked terms move. Scores are negative and lower is better; they are rounded
 before ranking, so that near-ties fall the same way everywhere.
 """
 
@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import duck, text
-from ledgerloom.session import table
+from ledgerloom.session import saved, table
 
 K1, B = 1.2, 0.75
 WEIGHTS = {"subject": 3.0, "object": 2.0, "body": 1.0}
@@ -40,19 +40,15 @@ def prompt_terms(asked: DataFrame) -> DataFrame:
     return out.where((F.octet_length("term") >= 3) & ~F.col("term").isin(text.STOP_WORDS)).distinct()
 
 
-def lengths(docs: DataFrame) -> DataFrame:
-    """(id, dl): tokens of all columns."""
-    return docs.select("id", sum((F.size(text.index_tokens(F.col(c))) for c in WEIGHTS), F.lit(0)).cast("bigint").alias("dl"))
-
-
-def postings(docs: DataFrame, only: DataFrame | None = None) -> DataFrame:
-    """(id, term, f): weighted frequency of each term in each record; only: a table of the terms wanted."""
+def index(spark: SparkSession, docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(id, dl, term, f), saved: the record's length and the weighted frequency of each wanted term in it; each record has a row for the empty term as well."""
     weighted = lambda w: lambda t: F.struct(t.alias("term"), F.lit(w).alias("w"))
     parts = [F.transform(text.index_tokens(F.col(c)), weighted(w)) for c, w in WEIGHTS.items()]
-    out = docs.select("id", F.explode(F.concat(*parts)).alias("p")).select("id", "p.term", "p.w")
-    if only is not None:
-        out = out.join(F.broadcast(only), "term", "left_semi") if only.count() <= BROADCAST_TERMS else out.join(only, "term", "left_semi")
-    return out.groupBy("id", "term").agg(F.sum("w").alias("f"))
+    tokens = docs.select("id", F.concat(F.array(F.struct(F.lit("").alias("term"), F.lit(0.0).alias("w"))), *parts).alias("tokens"))
+    out = tokens.select("id", (F.size("tokens") - 1).cast("bigint").alias("dl"), F.explode("tokens").alias("p")).select("id", "dl", "p.term", "p.w")
+    wanted = wanted.select("term").union(spark.createDataFrame([("",)], "term string")).distinct()
+    out = out.join(F.broadcast(wanted), "term", "left_semi") if wanted.count() <= BROADCAST_TERMS else out.join(wanted, "term", "left_semi")
+    return saved(spark, out.groupBy("id", "dl", "term").agg(F.sum("w").alias("f")), "postings")
 
 
 def selected_terms(terms: DataFrame, df: DataFrame, n: int | Column, most: int = TERMS) -> DataFrame:
@@ -64,20 +60,23 @@ def selected_terms(terms: DataFrame, df: DataFrame, n: int | Column, most: int =
     return scored.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= most)
 
 
-def bm25(spark: SparkSession, docs: DataFrame, asked: DataFrame, most: int = TERMS) -> DataFrame:
-    """(prompt_id, id, score, matched): weighted BM25 of the records that hold a selected term."""
+def search(spark: SparkSession, docs: DataFrame, asked: DataFrame, most: int = TERMS) -> tuple[DataFrame, DataFrame]:
+    """(prompt_id, id, score, matched): weighted BM25 of the records that hold a selected term; and the selected terms."""
     terms = prompt_terms(asked)
-    found = postings(docs, terms.select("term").distinct())
-    sizes = lengths(docs)
-    whole = sizes.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    rows = index(spark, docs, terms)
+    total = F.broadcast(rows.where("term = ''").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")))  # one row
+    found = rows.where("term <> ''")
     df = found.groupBy("term").agg(F.count("*").alias("df"))
-    total = F.broadcast(whole)  # one row
-    chosen = selected_terms(terms.join(total.select("n")), df, F.col("n"), most).drop("n", "rn", "idf")
+    chosen = selected_terms(terms.join(total.select("n")), df, F.col("n"), most).drop("n")
     idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     idf = F.when(idf <= 0, 1e-6).otherwise(idf)
     f, norm = F.col("f"), K1 * (1 - B + B * F.col("dl") / F.col("avgdl"))
-    hits = found.join(chosen, "term").join(sizes, "id").join(total)
-    return hits.groupBy("prompt_id", "id").agg(F.round(-F.sum(idf * f * (K1 + 1) / (f + norm)), 6).alias("score"), F.count("*").alias("matched"))
+    hits = found.join(chosen.select("prompt_id", "term", "df"), "term").join(total)
+    return hits.groupBy("prompt_id", "id").agg(F.round(-F.sum(idf * f * (K1 + 1) / (f + norm)), 6).alias("score"), F.count("*").alias("matched")), chosen
+
+
+def bm25(spark: SparkSession, docs: DataFrame, asked: DataFrame, most: int = TERMS) -> DataFrame:
+    return search(spark, docs, asked, most)[0]
 
 
 def top(scored: DataFrame, most: int = RESULTS) -> DataFrame:
@@ -87,7 +86,9 @@ def top(scored: DataFrame, most: int = RESULTS) -> DataFrame:
 
 # --- SQL of the same, for the oracles -----------------------------------------------------------------------------------------
 
+PROMPTS = "SELECT item_id AS prompt_id, text FROM benchmark"
 _BASE = f"""
+asked AS (PROMPTS),
 docs AS (SELECT doc_id AS id, source AS subject, substr(text, 1, 160) AS object, text AS body FROM documents),
 toks AS (
   SELECT id, unnest({duck.index_tokens('subject')}) AS term, 3.0::DOUBLE AS w FROM docs
@@ -96,7 +97,7 @@ toks AS (
 sizes AS (SELECT id, CAST(len({duck.index_tokens('subject')}) + len({duck.index_tokens('object')}) + len({duck.index_tokens('body')}) AS BIGINT) AS dl FROM docs),
 posts AS (SELECT id, term, sum(w) AS f FROM toks GROUP BY ALL),
 whole AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM sizes),
-raw_terms AS (SELECT item_id AS prompt_id, {duck.fts_term('w')} AS term FROM (SELECT item_id, unnest(string_split_regex(text, '\\s+')) AS w FROM benchmark)),
+raw_terms AS (SELECT prompt_id, {duck.fts_term('w')} AS term FROM (SELECT prompt_id, unnest(string_split_regex(text, '\\s+')) AS w FROM asked)),
 terms AS (SELECT DISTINCT prompt_id, term FROM raw_terms WHERE octet_length(encode(term)) >= 3 AND NOT list_contains({duck.STOP}, term)),
 df AS (SELECT term, count(*) AS df FROM posts WHERE term IN (SELECT term FROM terms) GROUP BY term),
 ranked AS (
@@ -113,8 +114,8 @@ best AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY prompt_id
 """
 
 
-def _sql(select: str, more: str = "") -> str:
-    return f"WITH {_BASE}{more}\n{select}"
+def _sql(select: str, more: str = "", asked: str = PROMPTS) -> str:
+    return f"WITH {_BASE.replace('PROMPTS', asked)}{more}\n{select}"
 
 
 def r5_bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -122,10 +123,7 @@ def r5_bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def r4_term_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, terms = records(spark, sf_dir), prompt_terms(prompts(spark, sf_dir))
-    df = postings(docs, terms.select("term").distinct()).groupBy("term").agg(F.count("*").alias("df"))
-    total = F.broadcast(docs.agg(F.count("*").alias("n")))
-    return selected_terms(terms.join(total), df, F.col("n")).select("prompt_id", "term", "df", "idf", "rn")
+    return search(spark, records(spark, sf_dir), prompts(spark, sf_dir))[1].select("prompt_id", "term", "df", "idf", "rn")
 
 
 def r9_relative_floor(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -140,12 +138,9 @@ def r9_relative_floor(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def r10_absolute_floor(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Results that match a third of the prompt's selected terms or more."""
-    docs, asked = records(spark, sf_dir), prompts(spark, sf_dir)
-    terms = prompt_terms(asked)
-    df = postings(docs, terms.select("term").distinct()).groupBy("term").agg(F.count("*").alias("df"))
-    chosen = selected_terms(terms.join(F.broadcast(docs.agg(F.count("*").alias("n")))), df, F.col("n"))
+    hits, chosen = search(spark, records(spark, sf_dir), prompts(spark, sf_dir))
     need = chosen.groupBy("prompt_id").agg(F.greatest(F.lit(1), F.ceil(F.count("*") / 3)).cast("bigint").alias("need"))
-    return top(bm25(spark, docs, asked)).join(need, "prompt_id").where("matched >= need").select("prompt_id", "id", "matched", "need")
+    return top(hits).join(need, "prompt_id").where("matched >= need").select("prompt_id", "id", "matched", "need")
 
 
 def r14_rank_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -181,22 +176,6 @@ def r16_greedy_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     return greedy_pack(hits, "prompt_id", "rank", "cost", "id", 700)
 
 
-def r24_every_word(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For each prompt, over all records: the summed rarity of its four longest words that a record holds anywhere in its folded text."""
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), text.fold(F.col("text")).alias("folded"))
-    order = Window.partitionBy("prompt_id").orderBy(F.desc(F.octet_length("term")), "term")
-    asked = prompt_terms(prompts(spark, sf_dir)).withColumn("rn", F.row_number().over(order)).where("rn <= 4").drop("rn")
-    words = asked.select("term").distinct()
-    # the asked words are few: an automaton-free scan tests each against each text, with the words as one literal row
-    listed = F.broadcast(words.agg(F.sort_array(F.collect_set("term")).alias("words")))
-    held = docs.join(listed).select("id", F.explode(F.filter("words", lambda w: F.col("folded").contains(w))).alias("term"))
-    total = F.broadcast(docs.agg(F.count("*").alias("n")))
-    d = held.groupBy("term").agg(F.count("*").alias("d")).join(total).select("term", F.log((F.col("n") + 1) / (F.col("d") + 1)).alias("rarity"))
-    scored = held.join(d, "term").join(asked, "term").groupBy("prompt_id", "id").agg(F.round(F.sum("rarity"), 6).alias("score"))
-    best = Window.partitionBy("prompt_id").orderBy(F.desc("score"), F.desc("id"))
-    return scored.withColumn("rank", F.row_number().over(best)).where("rank <= 20").select("prompt_id", "rank", "id", "score")
-
-
 def r24_all_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each prompt, over all records: the summed rarity of all its words of three characters or more that a record holds anywhere in its folded text.
 
@@ -218,6 +197,10 @@ def r24_all_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(best)).where("rank <= 20").select("prompt_id", "rank", "id", "score")
 
 
+def r24_every_word(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return r24_all_words(spark, sf_dir)
+
+
 def r18_best_passage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each prompt's best result: the window of 200 characters from the start or a line start with most distinct prompt terms, the first such."""
     docs, asked = records(spark, sf_dir), prompts(spark, sf_dir)
@@ -239,6 +222,17 @@ QUERIES = {
 
 _COSTS = "costs AS (SELECT b.*, CAST(ceil(length(body) / 3.0) AS BIGINT) AS t FROM best b JOIN docs USING (id))"
 
+_EVERY = _sql(
+    """SELECT prompt_id, CAST(rank AS INTEGER) AS rank, id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY prompt_id ORDER BY score DESC, id DESC) AS rank FROM (
+    SELECT prompt_id, id, round(sum(round(ln((n + 1) / (d + 1)), 6)), 6) AS score FROM held JOIN (SELECT term, count(*) AS d FROM held GROUP BY term) USING (term) JOIN every USING (term), whole GROUP BY 1, 2))
+WHERE rank <= 20""",
+    f""",
+every AS (SELECT DISTINCT prompt_id, term FROM raw_terms WHERE length(term) >= 3),
+folded AS MATERIALIZED (SELECT id, {duck.fold('body')} AS body FROM docs),
+held AS MATERIALIZED (SELECT id, term FROM folded JOIN (SELECT DISTINCT term FROM every) ON contains(body, term))""",
+)
+
 ORACLES = {
     "r5_bm25_topk": _sql("SELECT prompt_id, rank, id, score, matched FROM best"),
     "r4_term_selection": _sql("SELECT prompt_id, term, df, idf, CAST(rn AS INTEGER) AS rn FROM chosen"),
@@ -267,15 +261,8 @@ walk AS (
   SELECT c.prompt_id, c.rank, c.id, c.t, CASE WHEN w.used + c.t <= 700 THEN w.used + c.t ELSE w.used END, w.used + c.t <= 700
   FROM walk w JOIN costs c ON c.prompt_id = w.prompt_id AND c.rank = w.rank + 1)""",
     ).replace("WITH ", "WITH RECURSIVE ", 1),
-    "r24_every_word": _sql(
-        """SELECT prompt_id, CAST(rank AS INTEGER) AS rank, id, score FROM (
-  SELECT *, row_number() OVER (PARTITION BY prompt_id ORDER BY score DESC, id DESC) AS rank FROM (
-    SELECT prompt_id, id, round(sum(ln((n + 1) / (d + 1))), 6) AS score FROM held JOIN (SELECT term, count(*) AS d FROM held GROUP BY term) USING (term) JOIN four USING (term), whole GROUP BY 1, 2))
-WHERE rank <= 20""",
-        f""",
-four AS (SELECT prompt_id, term FROM (SELECT *, row_number() OVER (PARTITION BY prompt_id ORDER BY octet_length(encode(term)) DESC, term) AS k FROM terms) WHERE k <= 4),
-held AS (SELECT id, term FROM docs JOIN (SELECT DISTINCT term FROM four) ON contains({duck.fold('body')}, term))""",
-    ),
+    "r24_every_word": _EVERY,
+    "r24_all_words": _EVERY,
     "r18_best_passage": _sql(
         """SELECT prompt_id, id, start, held FROM (
   SELECT *, row_number() OVER (PARTITION BY prompt_id ORDER BY held DESC, start) AS k FROM (

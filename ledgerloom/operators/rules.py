@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 LIST_ITEM = r"^\s*([-*+]|[0-9]+[.)])\s+"
 IMPERATIVE = r"(?i)\b(never|always|must|should|do not|don't|avoid|use|run|prefer|only|ask|keep|no)\b"
 NEGATED = r"(?i)\b(never|do not|don't|must not|mustn't|should not|shouldn't|avoid|no)\b"
+#: Where a sentence, or what a negation reaches within it, ends.
+TURN = r"(?<=[\w`)'\"])[.;!?](\s|$)|\b(but|instead|always|then)\b"
+WINDOW = 160
 SOFT = r"(?i)\b(unless|except|without (asking|approval|permission)|prefer not|if possible|where possible|usually)\b"
 PROTECTED = r"(main|master|production|release)"
 
@@ -65,11 +68,18 @@ def candidates(lines: DataFrame) -> DataFrame:
 CONTROL = "struct<class:string,pattern:string,tool:string,stops:string,branch:string,strength:string>"
 
 
+def negated_windows(text: Column) -> Column:
+    """What a text's negations reach: from each sentence's negation on, up to WINDOW characters, as far as the sentence's end or a turn to what shall be done."""
+    reached = F.transform(F.split(text, TURN), lambda s: F.regexp_extract(s, rf"{NEGATED}.{{0,{WINDOW}}}", 0))
+    return F.filter(reached, lambda w: w != "")
+
+
 def classified(text: Column) -> Column:
-    """The control that a rule's text compiles to: the first family that fits; interpretive if none does."""
+    """The control that a rule's text compiles to: the first family that fits; interpretive if none does. A family of what is not to be done must fit what a negation reaches."""
+    windows = negated_windows(text)
     out = F.struct(F.lit("interpretive"), F.lit("none"), *(F.lit(None).cast("string"),) * 4).cast(CONTROL)
     for _, name, negated, trigger, tool, stops, branch, strength in reversed(FAMILIES):
-        fits = text.rlike(trigger) & (text.rlike(NEGATED) if negated else F.lit(True))
+        fits = F.exists(windows, lambda w, trigger=trigger: w.rlike(trigger)) if negated else text.rlike(trigger)
         level = F.when(text.rlike(SOFT), "ask").otherwise(strength)
         control = F.struct(F.lit("enforceable"), F.lit(name), F.lit(tool), F.lit(stops), F.lit(branch).cast("string"), level).cast(CONTROL)
         out = F.when(fits, control).otherwise(out)

@@ -112,8 +112,9 @@ def wn8_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def src3_resume_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last user line of each conversation before the watermark (its fourth line)."""
-    lines = table(spark, sf_dir, "conversations").where("turn < 4 AND role = 'user'")
+    """The last user line of each conversation before the watermark, its last answer."""
+    order = Window.partitionBy("conv_id")
+    lines = table(spark, sf_dir, "conversations").withColumn("mark", F.max(F.when(F.col("role") == "assistant", F.col("turn"))).over(order)).where("role = 'user' and turn < mark")
     return lines.groupBy("conv_id").agg(F.max("turn").alias("turn"), F.sha2(F.max_by("text", "turn").cast("binary"), 256).alias("text_sha"))
 
 
@@ -292,7 +293,7 @@ SELECT *, CASE WHEN tp + fp > 0 THEN round(tp / (tp + fp), 4) END AS precision,
     "wn6_last_mentions": f"WITH {_S} SELECT store, max(id) AS pos FROM s GROUP BY store ORDER BY pos DESC LIMIT 64",
     "wn8_turns": """WITH l AS (SELECT *, sum(CAST(role = 'user' AS INTEGER)) OVER (PARTITION BY conv_id ORDER BY turn) AS turn_no FROM conversations)
 SELECT conv_id, CAST(turn_no AS BIGINT) AS turn_no, min(turn) AS first_line, count(*) AS lines, bool_or(role = 'assistant') AS answered, length(min_by(text, turn) FILTER (role = 'assistant')) AS reply_chars FROM l WHERE turn_no > 0 GROUP BY conv_id, turn_no""",
-    "src3_resume_state": "SELECT conv_id, max(turn) AS turn, sha256(max_by(text, turn)) AS text_sha FROM conversations WHERE turn < 4 AND role = 'user' GROUP BY 1",
+    "src3_resume_state": "SELECT conv_id, max(turn) AS turn, sha256(max_by(text, turn)) AS text_sha FROM conversations c WHERE role = 'user' AND turn < (SELECT max(turn) FROM conversations a WHERE a.conv_id = c.conv_id AND a.role = 'assistant') GROUP BY 1",
     "src11_tail": "SELECT conv_id, turn, bytes FROM (SELECT conv_id, turn, CAST(sum(octet_length(encode(text)) + 1) OVER (PARTITION BY conv_id ORDER BY turn DESC) AS BIGINT) AS bytes FROM conversations) WHERE bytes <= 1000",
     "snk3_index": f"""WITH {_S} SELECT relation, rn, id FROM (SELECT relation, id, CAST(row_number() OVER (PARTITION BY relation ORDER BY created DESC, id DESC) AS INTEGER) AS rn FROM s)
 WHERE rn <= CASE WHEN relation IN ('error', 'purchase') THEN 60 WHEN relation = 'signup' THEN 40 WHEN relation = 'view' THEN 30 ELSE 10 END ORDER BY relation, rn LIMIT 200""",

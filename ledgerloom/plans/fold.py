@@ -4,7 +4,7 @@ Most ledger operators are set operations (operators.ledger). Those whose outcome
 depends on the store as it stood need order: supersession by words and by
 quantity, restatement and its undo, and conflict marks for what arrives late.
 Spark groups statements by store, and a small state machine folds each store; its
-state is a list of standing statements, bounded by the store's cap, and the same
+state holds CAP standing statements and the CAP that were retired last, and the same
 machine runs per batch (``fold``) and over a stream (``streaming.ledger``).
 
 Rules, in order, for a new statement that a person made: one with the same key and
@@ -68,9 +68,26 @@ class Store:
 
     entries: dict[int, Entry] = field(default_factory=dict)
     said: dict[tuple[str, str, str], int] = field(default_factory=dict)
+    live: dict[int, Entry] = field(default_factory=dict)
+    retired: dict[int, None] = field(default_factory=dict)
+    seq: int = 0
 
     def standing(self) -> list[Entry]:
-        return [e for e in self.entries.values() if e.by is None and e.via is None]
+        return list(self.live.values())
+
+    def _retire(self, e: Entry, by: int | None, via: str) -> None:
+        e.by, e.via = by, via
+        self.live.pop(e.id, None)
+        self.retired[e.id] = None
+        if len(self.retired) > CAP:  # the one that was retired first is forgotten
+            old = self.entries.pop(next(iter(self.retired)))
+            del self.retired[old.id]
+            self.said.pop((old.kind, old.key, old.body), None)
+
+    def _revive(self, e: Entry) -> None:
+        e.by = e.via = None
+        self.retired.pop(e.id, None)
+        self.live[e.id] = e
 
     def step(self, id: int, op: str, kind: str, key: str, body: str, created: int, target: int | None = None) -> Iterator[tuple[int, str, int | None, str]]:
         """(id, what, other, cause): what is stored, retired, revived, undone or in conflict."""
@@ -88,13 +105,13 @@ class Store:
             if old.created > e.created:
                 yield e.id, "conflict", old.id, via
             else:
-                old.by, old.via = e.id, via
+                self._retire(old, e.id, via)
                 yield old.id, "retired", e.id, via
-        self.entries[id] = e
-        if len(self.entries) > CAP:
+        self.entries[id] = self.live[id] = e
+        if len(self.live) > CAP:
             oldest = min((x for x in self.standing() if x.kind == "episode"), key=lambda x: (x.created, x.id), default=None)
             if oldest:
-                oldest.via = "cap"
+                self._retire(oldest, None, "cap")
                 yield oldest.id, "retired", None, "cap"
 
     def _replaced(self, e: Entry) -> Iterator[tuple[Entry, str]]:
@@ -129,22 +146,23 @@ class Store:
             e.created = max(e.created, created)
             yield first, "moved", id, "restated"
         elif cause is None or cause.created <= created:
-            e.by = e.via = None
+            self._revive(e)
             e.created = created
             yield first, "revived", id, "restated"
             if cause is not None and cause.by is None and cause.via is None:
-                cause.by, cause.via = first, "restated"
+                self._retire(cause, first, "restated")
                 yield cause.id, "retired", first, "restated"
 
     def _undo(self, id: int, target: int | None) -> Iterator[tuple[int, str, int | None, str]]:
         e = self.entries.get(target) if target is not None else None
         if e is None or e.via is not None:
             return
-        e.by, e.via = None, "revoked"
+        self._retire(e, None, "revoked")
         yield e.id, "revoked", id, "undo"
-        for o in self.entries.values():
-            if o.by == e.id:
-                o.by = o.via = None
+        for o in [x for x in self.entries.values() if x.by == e.id]:
+            # not where something that stands now has taken its key meanwhile
+            if not any(o.key and x.key == o.key and x.kind == o.kind and x.body != o.body for x in self.live.values()):
+                self._revive(o)
                 yield o.id, "revived", e.id, "undo"
 
 
@@ -157,7 +175,9 @@ def run(store: int, rows: pd.DataFrame, state: Store | None = None) -> pd.DataFr
     out = []
     for r in rows.sort_values("id").itertuples():
         target = None if pd.isna(r.target) else int(r.target)
-        out += [(store, len(out), *e) for e in state.step(int(r.id), r.op, r.kind, r.key or "", r.body or "", int(r.created), target)]
+        for e in state.step(int(r.id), r.op, r.kind, r.key or "", r.body or "", int(r.created), target):
+            out.append((store, state.seq, *e))
+            state.seq += 1
     got = pd.DataFrame(out, columns=["store", "seq", "id", "what", "other", "cause"])
     return got.astype({"other": "Int64"})
 

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerloom.operators import ledger, retrieval, telemetry
+from ledgerloom.operators import ledger, recall, retrieval, telemetry
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = [retrieval, ledger, telemetry]
+MODULES = [retrieval, ledger, telemetry, recall]
 
 
 def queries() -> dict[str, Query]:

@@ -48,3 +48,30 @@ def test_unrelated_stores_in_any_order_and_twice():
 
 def test_empty():
     assert fold.run(1, pd.DataFrame([], columns=["id", "op", "kind", "key", "body", "created", "target"])).empty
+
+
+def test_the_cap_counts_what_stands_and_state_is_bounded(monkeypatch):
+    from ledgerloom.plans import fold as f
+
+    monkeypatch.setattr(f, "CAP", 3)
+    store = f.Store()
+    out = []
+    for i in range(6):
+        out += store.step(i, "say", "rule", "k", f"value {i}", i)
+    out += store.step(9, "say", "episode", "", "something happened", 9)
+    assert not any(e[3] == "cap" for e in out) and len(store.live) == 2
+    for i in range(20, 40):
+        out += store.step(i, "say", "episode", "", f"event {i}", i)
+    assert len(store.live) == 3 and len(store.entries) <= 6 and len(store.said) <= 6
+
+
+def test_an_undo_leaves_later_changes(monkeypatch):
+    from ledgerloom.plans import fold as f
+
+    store = f.Store()
+    for i, body in enumerate(["a", "b"]):
+        list(store.step(i, "say", "rule", "k", body, i))
+    list(store.step(2, "say", "rule", "k", "c", 2))
+    assert [e[1] for e in store.step(3, "undo", "", "", "", 3, 2)] == ["revoked", "revived"]
+    list(store.step(4, "say", "rule", "k", "d", 4))
+    assert store.entries[1].by == 4 and [e.id for e in store.standing()] == [4]

@@ -1,3 +1,4 @@
+from pyspark.sql import functions as F
 import pytest
 
 from ledgerloom.operators import rules
@@ -52,3 +53,15 @@ def test_verdicts(spark, found):
 def test_audit(spark):
     s = spark.createDataFrame([("a.json", '{"mcpServers": {"x": {"command": "npx", "args": ["tool"]}, "y": {"command": "npx", "args": ["tool@1.2.0"]}}, "permissions": {"allow": ["Bash(*)", "Bash(sh:*)", "Read"]}}'), ("b.json", "{}"), ("c.json", "not json")], "file string, value string")
     assert {tuple(r) for r in rules.audit(s).collect()} == {("a.json", "unpinned", "x"), ("a.json", "too broad", "Bash(*)"), ("a.json", "shell", "Bash(sh:*)")}
+
+
+def test_a_negation_reaches_its_own_sentence_only(spark):
+    texts = [
+        ("Always rebase before you push; never skip the tests.", "interpretive"),
+        ("Never mind the style. Rebase when you like.", "interpretive"),
+        ("Do not worry but rebase often.", "interpretive"),
+        ("Never rebase a branch that others use.", "enforceable"),
+        ("Commit often. You must not run git add . in this repository.", "enforceable"),
+    ]
+    df = spark.createDataFrame(texts, "text string, want string")
+    assert df.select(rules.classified(F.col("text"))["class"].alias("got"), "want").where("got <> want").count() == 0
