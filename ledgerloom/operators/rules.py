@@ -74,12 +74,16 @@ def negated_windows(text: Column) -> Column:
     return F.filter(reached, lambda w: w != "")
 
 
+def _fits(pattern: str):
+    return lambda w: w.rlike(pattern)
+
+
 def classified(text: Column) -> Column:
     """The control that a rule's text compiles to: the first family that fits; interpretive if none does. A family of what is not to be done must fit what a negation reaches."""
     windows = negated_windows(text)
     out = F.struct(F.lit("interpretive"), F.lit("none"), *(F.lit(None).cast("string"),) * 4).cast(CONTROL)
     for _, name, negated, trigger, tool, stops, branch, strength in reversed(FAMILIES):
-        fits = F.exists(windows, lambda w, trigger=trigger: w.rlike(trigger)) if negated else text.rlike(trigger)
+        fits = F.exists(windows, _fits(trigger)) if negated else text.rlike(trigger)
         level = F.when(text.rlike(SOFT), "ask").otherwise(strength)
         control = F.struct(F.lit("enforceable"), F.lit(name), F.lit(tool), F.lit(stops), F.lit(branch).cast("string"), level).cast(CONTROL)
         out = F.when(fits, control).otherwise(out)
