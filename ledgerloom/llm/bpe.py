@@ -10,10 +10,10 @@ windows stay one piece (a run of thousands of letters has no boundary inside).
 The pieces between the cuts are encoded in parallel, and their ids concatenate
 to those of the whole text. Decoding concatenates the tokens' raw bytes.
 
-Pre-tokens are merged by rank, lowest first and leftmost among equals, with a
-heap, so a long run costs n log n. Spaces that follow no white space begin a
-pre-token, so what lies between two of them is coded by itself, and a bounded
-cache of two generations holds the frequent ones.
+Pre-tokens are merged by rank, lowest first and leftmost among equals: the distinct
+ones that a slice of texts brings anew all at once, in arrays, and long runs with a
+heap, so that one costs n log n. A bounded cache of two generations holds the
+frequent ones.
 
 Defined cases: null counts as the empty text, which has no tokens (the digest is
 of the empty string); repeated rows stay repeated, and rows that share an id keep
@@ -28,8 +28,6 @@ import base64
 import hashlib
 import heapq
 import itertools
-import operator
-import re
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -43,15 +41,14 @@ from pyspark.sql import functions as F
 from ledgerloom.llm.common import bounded_batches, by_bytes, table
 
 CHUNK_CHARS, OVERLAP_CHARS = 1 << 15, 1 << 10
-#: Segments that each of a task's two generations of cached ones keeps.
+#: Pre-tokens that each of a task's two generations of cached ones keeps, about.
 CACHE = 1 << 18
-#: Segments up to this many characters are cached.
+#: Pre-tokens up to this many characters are cached.
 CACHED_CHARS = 48
 
 
-BLANK_BEFORE_SPACE = re.compile(r"\s ")
-#: Pre-tokens up to this many bytes are merged by a scan for the lowest rank, longer ones by a heap.
-SHORT, NONE = 40, 1 << 30
+#: Pre-tokens up to this many bytes are merged many at once, TOGETHER at most, longer ones by a heap.
+SHORT, TOGETHER, NONE = 40, 8192, 1 << 30
 
 
 def numbers(ids: str) -> list[int]:
@@ -63,37 +60,24 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
 
 
-class _Segments(dict):
-    """What lies between single spaces, with the space before it, by the text behind that space: the ids, as text; ``raw`` has their bytes."""
-
-    def __init__(self, coder: Coder, space: str):
-        self.coder, self.space, self.raw, self.older = coder, space, {}, ({}, {})
-
-    def __missing__(self, part: str) -> str:
-        if len(self.raw) >= CACHE:
-            self.older = (dict(self), self.raw)
-            self.clear()
-            self.raw = {}
-        if (ids := self.older[0].get(part)) is not None:
-            raw = self.older[1][part]
-        else:
-            found = self.coder.pieced(self.space + part)
-            ids, raw = ",".join([self.coder.names[i] for i in found]), self.coder.decode(found)
-        self[part], self.raw[part] = ids, raw
-        return ids
-
-
 class Coder:
     """Encodes and decodes with one rank file; made once in each Python worker."""
 
     _made: dict[tuple[str, str], Coder] = {}
 
     def __init__(self, path: str, pattern: str):
-        self.ranks = read_ranks(path)
-        self.bytes_of = {rank: token for token, rank in self.ranks.items()}
+        self.ranks = ranks = read_ranks(path)
+        self.bytes_of = {rank: token for token, rank in ranks.items()}
         self.names = {rank: str(rank) for rank in self.bytes_of}
         self.pieces = regex.compile(pattern)
-        self.first, self.spaced = _Segments(self, ""), _Segments(self, " ")
+        self.ids: dict[str, str] = {}
+        self.raw: dict[str, bytes] = {}
+        self.older: tuple[dict[str, str], dict[str, bytes]] = ({}, {})
+        # which token any two make together
+        pairs = {left << 20 | right: rank for token, rank in ranks.items() for i in range(1, len(token)) if (left := ranks.get(token[:i])) is not None and (right := ranks.get(token[i:])) is not None}
+        self.pairs = np.sort(np.fromiter(pairs, np.int64, len(pairs)))
+        self.made = np.fromiter((pairs[k] for k in self.pairs.tolist()), np.int64, len(pairs))
+        self.single = np.array([ranks[bytes([i])] for i in range(256)], np.int64)
 
     @classmethod
     def get(cls, path: str, pattern: str) -> Coder:
@@ -101,26 +85,53 @@ class Coder:
             cls._made[path, pattern] = cls(path, pattern)
         return cls._made[path, pattern]
 
-    def merge(self, data: bytes) -> list[int]:
-        """Ids of one pre-token: the adjacent pair of the lowest rank merges until none has a rank."""
-        ranks, n = self.ranks, len(data)
-        if (whole := ranks.get(data)) is not None:
-            return [whole]
-        if n > SHORT:
-            return self._merge_long(data)
-        get, cuts = ranks.get, list(range(n + 1))
-        pairs = [get(data[i : i + 2], NONE) for i in range(n - 1)]
-        while pairs and (least := min(pairs)) != NONE:
-            i = pairs.index(least)
-            del pairs[i], cuts[i + 1]
-            if i < len(pairs):
-                pairs[i] = get(data[cuts[i] : cuts[i + 2]], NONE)
-            if i:
-                pairs[i - 1] = get(data[cuts[i - 1] : cuts[i + 1]], NONE)
-        return [ranks[data[i:j]] for i, j in zip(cuts, cuts[1:])]
+    def together(self, pairs: np.ndarray) -> np.ndarray:
+        """The rank of what each two tokens make together, or NONE."""
+        at = np.minimum(np.searchsorted(self.pairs, pairs), len(self.pairs) - 1)
+        return np.where(self.pairs[at] == pairs, self.made[at], NONE)
+
+    def merge(self, words: list[bytes]) -> list[list[int]]:
+        """Ids of some pre-tokens: in each, the adjacent pair of the lowest rank merges, the leftmost among equals, until none has a rank."""
+        out: list[list[int]] = [None if (r := self.ranks.get(w)) is None else [r] for w in words]
+        for i, w in enumerate(words):
+            if out[i] is None and len(w) > SHORT:
+                out[i] = self._merge_long(w)
+        rest = sorted((i for i, ids in enumerate(out) if ids is None), key=lambda i: len(words[i]))
+        for at in range(0, len(rest), TOGETHER):
+            some = rest[at : at + TOGETHER]
+            for i, ids in zip(some, self._merge_short([words[i] for i in some])):
+                out[i] = ids
+        return out
+
+    def _merge_short(self, words: list[bytes]) -> list[list[int]]:
+        """Words of much the same length, all at once: a row for each, of its tokens and of the ranks of its neighbours."""
+        n = np.fromiter(map(len, words), np.int64, len(words))
+        columns = np.arange(int(n.max()))
+        tokens = np.zeros((len(words), len(columns)), np.int64)
+        tokens[columns < n[:, None]] = self.single[np.frombuffer(b"".join(words), np.uint8)]
+        ranks = np.full(tokens.shape, NONE)
+        ranks[:, :-1] = np.where(columns[:-1] < n[:, None] - 1, self.together(tokens[:, :-1] << 20 | tokens[:, 1:]), NONE)
+        rows = np.arange(len(words))
+        while True:
+            at = ranks[rows].argmin(1)
+            least = ranks[rows, at]
+            rows, at, least = (x[least < NONE] for x in (rows, at, least))
+            if not len(rows):
+                break
+            after = np.minimum(columns + (columns > at[:, None]), len(columns) - 1)
+            tokens[rows] = np.take_along_axis(tokens[rows], after, 1)
+            ranks[rows] = np.take_along_axis(ranks[rows], after, 1)
+            tokens[rows, at] = least
+            n[rows] -= 1
+            for left in (at - 1, at):
+                right = np.minimum(left + 1, len(columns) - 1)
+                there = (left >= 0) & (left + 1 < n[rows])
+                ranks[rows, np.maximum(left, 0)] = np.where(there, self.together(tokens[rows, np.maximum(left, 0)] << 20 | tokens[rows, right]), np.where(left >= 0, NONE, ranks[rows, 0]))
+            ranks[rows, n[rows] - 1] = NONE
+        return [ids[:k] for ids, k in zip(tokens.tolist(), n.tolist())]
 
     def _merge_long(self, data: bytes) -> list[int]:
-        """The same by a heap."""
+        """The same of one long pre-token, by a heap."""
         ranks = self.ranks
         n = len(data)
         ends, before = list(range(1, n + 1)), list(range(-1, n - 1))
@@ -145,47 +156,30 @@ class Coder:
             i = ends[i]
         return out
 
-    def pieced(self, text: str) -> list[int]:
-        """Ids of a text, pre-token by pre-token."""
-        return [i for piece in self.pieces.findall(text) for i in self.merge(piece.encode())]
-
-    def coded(self, text: str) -> tuple[str, bytes]:
-        """(ids as text, their bytes). A pre-token begins at each space that follows no white space: none has a space inside after anything else."""
-        parts = text.split(" ")
-        if BLANK_BEFORE_SPACE.search(text):  # spaces after white space belong to what is before them
-            joined = parts[:1]
-            for part in parts[1:]:
-                if not joined[-1] or joined[-1][-1].isspace():
-                    joined[-1] += " " + part
-                else:
-                    joined.append(part)
-            parts = joined
-        ids, raw = [], []
-        for held, some in ((self.first, parts[:1]), (self.spaced, parts[1:])):
-            for at in range(0, len(some), CACHE // 2):  # so that what is looked up is still held when its bytes are
-                batch = [p if len(p) <= CACHED_CHARS else None for p in some[at : at + CACHE // 2]]
-                if None in batch:
-                    for p in some[at : at + CACHE // 2]:
-                        if len(p) <= CACHED_CHARS:
-                            ids.append(held[p])
-                            raw.append(held.raw[p])
-                        else:
-                            found = self.pieced(held.space + p)
-                            ids.append(",".join([self.names[i] for i in found]))
-                            raw.append(self.decode(found))
-                else:
-                    ids += map(held.__getitem__, batch)
-                    raw += self._raw(held, batch)
-        return ",".join(filter(None, ids)), b"".join(raw)
-
-    @staticmethod
-    def _raw(held: _Segments, parts: list[str]) -> list[bytes]:
-        """The bytes of parts that have just been looked up: a few of them may have gone to the older generation meanwhile."""
-        out = list(map(held.raw.get, parts))
-        return out if None not in out else [held.older[1][p] if x is None else x for p, x in zip(parts, out)]
+    def coded(self, texts: list[str]) -> list[tuple[str, bytes]]:
+        """(ids as text, their bytes) of each text; what the texts' pre-tokens have in common is coded once, and the frequent ones are kept."""
+        if len(self.ids) > CACHE:
+            self.older, self.ids, self.raw = (self.ids, self.raw), {}, {}
+        pieces = [self.pieces.findall(t) for t in texts]
+        ids, raw, (older_ids, older_raw), names, bytes_of = self.ids, self.raw, self.older, self.names, self.bytes_of
+        lacking = set(itertools.chain.from_iterable(pieces)).difference(ids)
+        again = lacking.intersection(older_ids)
+        for p in again:
+            ids[p], raw[p] = older_ids[p], older_raw[p]
+        new = list(lacking - again)
+        for p, found in zip(new, self.merge([p.encode() for p in new])):
+            if len(found) == 1:
+                ids[p], raw[p] = names[found[0]], bytes_of[found[0]]
+            else:
+                ids[p], raw[p] = ",".join([names[i] for i in found]), b"".join([bytes_of[i] for i in found])
+        out = [(",".join(map(ids.__getitem__, found)), b"".join(map(raw.__getitem__, found))) for found in pieces]
+        for p in new:
+            if len(p) > CACHED_CHARS:
+                del ids[p], raw[p]
+        return out
 
     def encode(self, text: str) -> list[int]:
-        return numbers(self.coded(text)[0])
+        return numbers(self.coded([text])[0][0])
 
     def decode(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
@@ -257,8 +251,7 @@ def _short(docs: DataFrame, path: str, pattern: str, kinds: str) -> DataFrame:
         coder = Coder.get(path, pattern)
         for b in by_bytes(batches):
             rows = []
-            for text in b.column("text").to_pylist():
-                ids, raw = coder.coded(text)
+            for ids, raw in coder.coded(b.column("text").to_pylist()):
                 n = ids.count(",") + 1 if ids else 0
                 rows.append((n, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(raw).hexdigest()) if kinds == DIGESTS else (n, numbers(ids), raw))
             yield _batch(b.column("doc_id").to_pylist(), rows, kinds)
@@ -272,8 +265,8 @@ def _long(pieces: DataFrame, path: str, pattern: str, kinds: str) -> DataFrame:
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = Coder.get(path, pattern)
         for b in by_bytes(batches, "piece"):
-            ids = [coder.encode(x) for x in b.column("piece").to_pylist()]
-            raw = [coder.decode(x) for x in ids]
+            found = coder.coded(b.column("piece").to_pylist())
+            ids, raw = [numbers(x) for x, _ in found], [x for _, x in found]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("doc_id", "row", "piece_no")), pa.array(ids, pa.list_(pa.int32())), pa.array(raw, pa.binary())], ["doc_id", "row", "piece_no", "ids", "decoded"])
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
