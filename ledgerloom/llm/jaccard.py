@@ -14,6 +14,11 @@ such chunks are left out, which loses no pair as long as one of its
 sets has no more than ``spare`` of them; sets with more bring theirs along. Linked
 classes therefore share a (band, chunk, bits) bucket for sure.
 
+A band of large sets is cut into parts of up to ``PART`` elements by hash, a power of
+two of them. Of sets that differ in d elements, some part differs in d / parts at
+most, so that the chunks, the spare ones and a sketch of ``LOCAL`` longs are those of
+a part, and a pair's sketches tell as much for large sets as for small ones.
+
 A bucket without a member of its own band is of no use and is dropped, as are
 chunks that hold fewer than two elements: one shingle that many texts share says
 little, and ``spare`` covers those chunks like empty ones. Buckets that a sample
@@ -24,7 +29,7 @@ class meets one of its buckets' heads, the one it shares most buckets with (a
 bucket's head is the member that meets others in most buckets); then groups meet
 the heads of other groups by one member each; at last all members of different
 groups that still share a bucket meet once, in the first bucket that they share, if
-their sketches' Hamming distance allows a link. Every pair that shares a bucket is
+the Hamming distance of the part's sketches, then of the whole ones, allows a link. Every pair that shares a bucket is
 so compared, or connected already. Verification brings the texts of a pair together
 (large stars are split) and compares the sets. Components come from rounds of
 smallest-neighbour exchange and jumps.
@@ -60,8 +65,10 @@ STAR = 64
 SAMPLED, LARGE, LARGE_BUCKETS, SALTS = 64, 32, 1 << 14, 64
 #: Buckets of a class up to which a pair is told by the first bucket that it shares; pairs of classes with more may be told by each.
 LISTED = 200
-#: Longs of the small sketches that the last pairs are first told by.
-FOLDED = (2, 8)
+#: Elements of a part, parts of a set at most (larger parts lose no pair, but tell less), and longs of a part's sketch; the sketch is also looked at folded to FOLDED longs.
+PART, PARTS, LOCAL, FOLDED = 512, 1 << 10, 8, 2
+#: Bits of a key that name its part: as a heap's index, the number of parts plus the part.
+PART_BITS = (PARTS << 1) - 1
 #: Rows of (document, comparison) that are broadcast to the scan of the texts; more are joined by doc_id.
 BROADCAST_ROWS = 300_000
 #: Words whose hashes a task keeps, and fingerprints it knows it has passed on.
@@ -137,36 +144,68 @@ class Sets:
         packed = np.packbits(bits.astype(np.uint8), bitorder="little").view(np.int64)
         return [packed[b : b + k] for b, k in zip(begin.tolist(), longs.tolist())]
 
+    def local(self) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """(codes, sketches) of each set's parts, for its own band and, where that has other parts, the next."""
+        own = np.searchsorted(edges_for(self.need), self.n, "right") - 1
+        place = mixed(self.flat ^ U(0x5851F42D4C957F2D)) & U(LOCAL * 64 - 1)
+        many = np.zeros((2, len(self.n)), np.int64)
+        for i in np.flatnonzero(self.n):
+            many[:, i] = [parts_of(int(own[i]) + step, self.need) for step in (0, 1)]
+        many[1, many[1] == many[0]] = 0
+        codes, sketches = [[] for _ in self.n], [[] for _ in self.n]
+        for parts in many:
+            used = np.repeat(parts > 0, self.n)
+            who = np.repeat(np.arange(len(self.n)), self.n)[used]
+            begin = np.cumsum(parts) - parts
+            part = begin[who] + (((self.flat[used] >> U(32)) * parts[who].astype(U)) >> U(32)).astype(np.int64)
+            bits = np.bincount(part * (LOCAL * 64) + place[used].astype(np.int64), minlength=int(parts.sum()) * LOCAL * 64) & 1
+            packed = np.packbits(bits.astype(np.uint8), bitorder="little").view(np.int64)
+            for i in np.flatnonzero(parts):
+                codes[i].append(np.arange(parts[i], 2 * parts[i]))
+                sketches[i].append(packed[begin[i] * LOCAL : (begin[i] + parts[i]) * LOCAL])
+        none = np.zeros(0, np.int64)
+        return [np.concatenate([none, *c]) for c in codes], [np.concatenate([none, *s]) for s in sketches]
+
     def bucket_keys(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(keys, the text of each, whether it is of the set's own band): the buckets of each set, for its own band and, where it can have larger partners there, the next."""
         own = np.searchsorted(edges_for(self.need), self.n, "right") - 1
         keys, owners, owns = [], [], []
         bits = mixed((self.flat & U((1 << CHUNK_BITS) - 1)) + U(1))
         for step in (0, 1):
-            chunks = np.zeros(len(self.n), np.int64)
+            chunks = np.zeros(len(self.n), np.int64)  # of each part
             spare = np.zeros(len(self.n), np.int64)
+            parts = np.zeros(len(self.n), np.int64)
             for i in np.flatnonzero(self.n):
-                chunks[i], spare[i] = chunks_for(int(self.n[i]), int(own[i]), step, self.need)
+                chunks[i], spare[i], parts[i] = chunks_for(int(self.n[i]), int(own[i]), step, self.need)
             used = np.repeat(chunks > 0, self.n)
             if not used.any():
                 continue
             found, bit = self.flat[used], bits[used]
             who = np.repeat(np.arange(len(self.n)), self.n)[used]
-            chunk = ((found >> U(32)) * chunks[who].astype(U)) >> U(32)  # ascending within a set, as its hashes are
-            begin = np.cumsum(chunks) - chunks
+            whole = chunks * parts
+            chunk = ((found >> U(32)) * whole[who].astype(U)) >> U(32)  # ascending within a set, as its hashes are
+            begin = np.cumsum(whole) - whole
             place = begin[who] + chunk.astype(np.int64)
             first = np.flatnonzero(np.append(True, place[1:] != place[:-1]))
             many = np.diff(np.append(first, len(place))) > 1
             parity = np.bitwise_xor.reduceat(bit, first)
-            # sets with too many chunks of fewer than two elements bring all of those along
-            poor = chunks - np.bincount(who[first][many], minlength=len(self.n))
-            all_of = np.flatnonzero(poor > spare)
-            held = many | np.isin(who[first], all_of)
-            who, chunk, parity = who[first][held], chunk[first][held], parity[held]
-            for i in all_of:
-                rest = np.setdiff1d(np.arange(chunks[i], dtype=U), chunk[who == i], assume_unique=True)
-                who, chunk, parity = np.append(who, np.full(len(rest), i)), np.append(chunk, rest), np.append(parity, np.zeros(len(rest), U))
-            keys.append((mixed(parity ^ mixed(chunk * U(1 << 20) + (own[who] + step + 1).astype(U))) & EVEN).view(np.int64))
+            who, chunk = who[first], chunk[first].astype(np.int64)
+            # parts with too many chunks of fewer than two elements bring all of those along
+            unit = np.cumsum(parts) - parts
+            of = np.repeat(np.arange(len(self.n)), parts)
+            at = unit[who] + chunk // chunks[who]
+            poor = chunks[of] - np.bincount(at[many], minlength=len(of))
+            all_of = np.flatnonzero(poor > spare[of])
+            held = many | np.isin(at, all_of)
+            who, chunk, parity, at = who[held], chunk[held], parity[held], at[held]
+            for u in all_of:
+                i = of[u]
+                low = (u - unit[i]) * chunks[i]
+                rest = np.setdiff1d(np.arange(low, low + chunks[i]), chunk[at == u], assume_unique=True)
+                who, chunk, parity, at = np.append(who, np.full(len(rest), i)), np.append(chunk, rest), np.append(parity, np.zeros(len(rest), U)), np.append(at, np.full(len(rest), -1))
+            code = (parts[who] + chunk // chunks[who]).astype(U)
+            named = mixed(parity ^ mixed(chunk.astype(U) * U(1 << 20) + (own[who] + step + 1).astype(U)))
+            keys.append(((named & ~U(2 * PART_BITS + 1)) | code << U(1)).view(np.int64))
             owners.append(who)
             owns.append(np.full(len(who), step == 0))
         none = np.zeros(0, np.int64)
@@ -199,38 +238,47 @@ def edges_for(need: int) -> np.ndarray:
 EDGES = edges_for(NEED)
 
 
-def chunks_of(band: int, need: int = NEED) -> tuple[int, int]:
-    """(chunks, spare ones among them) of the sketches that meet in a band."""
-    largest = int(edges_for(need)[band + 1]) - 1
-    most = differing(largest, largest, need)
+@functools.cache
+def parts_of(band: int, need: int = NEED) -> int:
+    """Into how many parts the sets that meet in a band are cut."""
+    largest, parts = int(edges_for(need)[band + 1]) - 1, 1
+    while largest > PART * parts and parts < PARTS:
+        parts *= 2
+    return parts
+
+
+def chunks_of(band: int, need: int = NEED) -> tuple[int, int, int]:
+    """(chunks of a part, spare ones among them, parts) of the sets that meet in a band."""
+    largest, parts = int(edges_for(need)[band + 1]) - 1, parts_of(band, need)
+    most = differing(largest, largest, need) // parts
     # about how many chunks hold fewer than two elements, if a chunk holds a tenth less than in the band's largest sets
     mean = 0.9 * (100 + need) / (2 * (100 - need))
     poor = most * np.exp(-mean) * (1 + mean)
     spare = 1 if most < 8 else 1 + int(np.ceil(poor + 1.5 * np.sqrt(poor)))
-    return most + 1 + spare, spare
+    return most + 1 + spare, spare, parts
 
 
 @functools.lru_cache(1 << 16)
-def chunks_for(n: int, own: int, step: int, need: int = NEED) -> tuple[int, int]:
-    """(chunks, spare) of a set of n in its own band or the next (step 1); no chunks where it can't link with another set."""
+def chunks_for(n: int, own: int, step: int, need: int = NEED) -> tuple[int, int, int]:
+    """(chunks, spare, parts) of a set of n in its own band or the next (step 1); none where it can't link with another set."""
     band = own + step
     edges = edges_for(need)
     largest = int(edges[band + 1]) - 1
     if step and 100 * n < need * int(edges[band]) or not differing(min(largest, 100 * n // need), n if step else largest, need):
-        return 0, 0
+        return 0, 0, 0
     return chunks_of(band, need)
 
 
 def sets(docs: DataFrame, width: int = WIDTH, need: int = NEED) -> DataFrame:
-    """(row, doc_id, n, fp, sketch): size, fingerprint and sketch of each row's set."""
+    """(row, doc_id, n, fp, sketch, codes, local): size, fingerprint, sketch and parts' sketches, end to end, of each row's set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in by_bytes(batches):
             found = Sets(b.column("text").to_pylist(), width, need)
-            cols = [b.column("row"), b.column("doc_id"), pa.array(found.n), pa.array(found.fingerprints()), pa.array(found.sketches(), pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(cols, ["row", "doc_id", "n", "fp", "sketch"])
+            longs = [pa.array(x, pa.list_(pa.int64())) for x in (found.sketches(), *found.local())]
+            yield pa.RecordBatch.from_arrays([b.column("row"), b.column("doc_id"), pa.array(found.n), pa.array(found.fingerprints()), *longs], ["row", "doc_id", "n", "fp", "sketch", "codes", "local"])
 
-    return docs.select("row", F.col("doc_id").cast("bigint"), "text").mapInArrow(run, "row bigint, doc_id bigint, n bigint, fp bigint, sketch array<bigint>")
+    return docs.select("row", F.col("doc_id").cast("bigint"), "text").mapInArrow(run, "row bigint, doc_id bigint, n bigint, fp bigint, sketch array<bigint>, codes array<bigint>, local array<bigint>")
 
 
 def bucket_rows(docs: DataFrame, width: int, need: int, large: np.ndarray) -> DataFrame:
@@ -279,22 +327,22 @@ def may_link(a: str, b: str, need: int = NEED):
     return (small * 100 >= large * need) & (apart * (100 + need) <= (small + large) * (100 - need))
 
 
-def small_sketch(sketch: str) -> list:
-    """A sketch folded to FOLDED[0] longs, and to FOLDED[1] where it has so many; null where not."""
-    def one(longs: int, i: int):
-        places = F.filter(F.col(sketch), lambda _, k: k % longs == i)
-        return F.when(F.size(sketch) >= longs, F.aggregate(places, F.lit(0).cast("bigint"), lambda a, v: a.bitwiseXOR(v)))
-
-    return [one(longs, i) for longs in FOLDED for i in range(longs)]
+def local_sketches(classes: DataFrame) -> DataFrame:
+    """(fp, n, code, parts, m0, m1, ...): of each part of each class its sketch, then the same folded to FOLDED longs, as whole-number columns."""
+    rows = classes.select("fp", "n", "local", F.posexplode("codes").alias("k", "code"))
+    longs = [F.get("local", F.col("k") * LOCAL + i) for i in range(LOCAL)]
+    folded = [functools.reduce(lambda a, b: a.bitwiseXOR(b), longs[i::FOLDED]) for i in range(FOLDED)]
+    parts = F.expr("shiftleft(1L, length(bin(code)) - 1)")
+    return rows.select("fp", "n", "code", parts.alias("parts"), *(x.alias(f"m{i}") for i, x in enumerate(longs + folded)))
 
 
-def small_may_link(a: str, b: str, need: int = NEED):
-    """Whether sizes and small sketches of the rows a and b leave a link possible: whole-number columns, as most pairs end here."""
+def local_may_link(a: str, b: str, need: int = NEED):
+    """Whether a and b may be linked with no part alike more than the one in which they meet, by sizes and that part's sketches: whole-number columns, as most pairs end here."""
     small, large = F.least(f"{a}.n", f"{b}.n"), F.greatest(f"{a}.n", f"{b}.n")
-    out, at = small * 100 >= large * need, 0
-    for longs in FOLDED:
-        apart = sum((F.coalesce(F.bit_count(F.col(f"{a}.m{i}").bitwiseXOR(F.col(f"{b}.m{i}"))), F.lit(0)) for i in range(at, at + longs)), F.lit(0))
-        out, at = out & (apart * (100 + need) <= (small + large) * (100 - need)), at + longs
+    out = small * 100 >= large * need
+    for at in (range(LOCAL, LOCAL + FOLDED), range(LOCAL)):
+        apart = sum((F.bit_count(F.col(f"{a}.m{i}").bitwiseXOR(F.col(f"{b}.m{i}"))) for i in at), F.lit(0))
+        out = out & (apart * F.col(f"{a}.parts") * (100 + need) <= (small + large) * (100 - need))
     return out
 
 
@@ -352,7 +400,7 @@ def linked_rows(spark: SparkSession, docs: DataFrame, width: int = WIDTH, need:
     """(row, doc_id, n, group, component_id) of each row of docs (row, doc_id, text); group is null for empty sets."""
     bounded_batches(spark)
     members = saved(spark, sets(docs, width, need), "sets")
-    classes = saved(spark, members.where("n > 0").groupBy("fp", "n", "sketch").agg(F.min("doc_id").alias("doc_id")), "classes")
+    classes = saved(spark, members.where("n > 0").groupBy("fp", "n", "sketch", "codes", "local").agg(F.min("doc_id").alias("doc_id")), "classes")
     reps, shape = classes.select("fp", "doc_id"), classes.select("fp", "n", "sketch")
 
     is_large, fp = F.col("key").bitwiseAND(1) == 1, F.col("fp").bitwiseAND(-2)
@@ -402,14 +450,16 @@ def linked_rows(spark: SparkSession, docs: DataFrame, width: int = WIDTH, need:
 
     # the rest, whole: members of different groups that share a bucket and whose sizes and sketches allow a link, once each
     left = several(left.select("key", "fp", "own", "weight"))
-    lists = left.groupBy("fp").agg(F.collect_list(F.when(F.col("own"), F.col("key"))).alias("ours"), F.collect_list(F.when(~F.col("own"), F.col("key"))).alias("theirs"))
+    # a pair of sets of one part is told by the first bucket that it shares; one of more parts by each, as only some part's sketches need to be alike
+    left = left.withColumn("code", F.shiftright("key", 1).bitwiseAND(PART_BITS))
+    single = lambda own: F.collect_list(F.when((F.col("code") == 1) & (F.col("own") == own), F.col("key")))
+    lists = left.groupBy("fp").agg(single(True).alias("ours"), single(False).alias("theirs"))
     lists = lists.select("fp", *(F.when(F.size("ours") + F.size("theirs") <= LISTED, F.col(c)).alias(c) for c in ("ours", "theirs")))
-    small = shape.select("fp", "n", *(x.alias(f"m{i}") for i, x in enumerate(small_sketch("sketch"))))
-    left = saved(spark, left.join(small, "fp").join(lists, "fp").drop("weight"), "listed")
+    left = saved(spark, left.join(local_sketches(classes), ["fp", "code"]).join(lists, "fp").drop("weight"), "listed")
     x, y = left.alias("x"), left.alias("y")
     common = lambda i, j: F.array_min(F.array_intersect(i, j))
     first = F.least(common("x.ours", "y.ours"), common("x.ours", "y.theirs"), common("x.theirs", "y.ours"))
-    rest = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.group") < F.col("y.group")) & (F.col("x.own") | F.col("y.own")) & small_may_link("x", "y", need) & (first.isNull() | (first == F.col("x.key"))))
+    rest = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.group") < F.col("y.group")) & (F.col("x.own") | F.col("y.own")) & local_may_link("x", "y", need) & ((F.col("x.code") > 1) | first.isNull() | (first == F.col("x.key"))))
     rest = saved(spark, rest.select(F.least("x.fp", "y.fp").alias("a"), F.greatest("x.fp", "y.fp").alias("b")).distinct(), "rest")
     rest = saved(spark, possible(rest), "rest")
     if not rest.isEmpty():

@@ -92,6 +92,48 @@ def test_linked_sets_share_a_bucket():
     assert linked > 500
 
 
+@pytest.mark.parametrize("need", [80, 85])
+def test_parts_of_large_sets(need):
+    """Linked sets of many parts share a bucket in a part whose sketches differ in no more bits than the bound of a part."""
+    r = np.random.default_rng(need)
+    linked = several = 0
+    for _ in range(400):
+        n = int(r.integers(400, 9000))
+        a = np.unique(r.integers(0, 1 << 63, n).astype(np.uint64) * np.uint64(2))
+        drop, add = r.integers(0, n * (100 - need) // 130, 2)
+        b = np.unique(np.concatenate([r.permutation(a)[: n - drop], r.integers(0, 1 << 63, add).astype(np.uint64)]))
+        common = np.intersect1d(a, b).size
+        if 100 * common < need * (len(a) + len(b) - common):
+            continue
+        linked += 1
+        x, y = held(a), held(b)
+        x.need = y.need = need
+        local = [dict(zip(s.local()[0][0].tolist(), s.local()[1][0].reshape(-1, jc.LOCAL).view(np.uint64))) for s in (x, y)]
+        codes = set((np.intersect1d(x.bucket_keys()[0], y.bucket_keys()[0]) >> 1 & jc.PART_BITS).tolist())
+        several += max(codes) > 1
+        apart = {c: sum(int(v).bit_count() for v in local[0][c] ^ local[1][c]) for c in codes}
+        assert any(d << (c.bit_length() - 1) <= jc.differing(len(a), len(b), need) for c, d in apart.items())
+    assert linked > 150 and several > 100
+
+
+def test_large_texts_against_brute_force(spark):
+    """Texts of several parts that share passages: all links are found, by both ways of asking."""
+    r = random.Random(11)
+    passage = [f"p{i}" for i in range(60)]
+    rows = []
+    for _ in range(40):
+        w = [f"v{r.randrange(50_000)}" for _ in range(r.choice([500, 900, 1500, 2600]))] + passage
+        rows.append(w)
+        for share in r.sample([0.01, 0.02, 0.03, 0.036, 0.05], 2):
+            v = list(w)
+            for k in r.sample(range(len(v)), int(len(v) * share)):
+                v[k] = f"x{r.randrange(50_000)}"
+            rows.append(v)
+    rows = [(i, " ".join(w)) for i, w in enumerate(rows)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert sorted((x.doc_id, x.n_shingles, x.component_id) for x in jc.join(spark, docs).collect()) == brute(rows)
+
+
 def test_large_buckets_are_dealt_out(spark, monkeypatch):
     """Buckets that the sample shows to be large go by parts, with the same result."""
     for name, value in (("SAMPLED", 1), ("LARGE", 3), ("LISTED", 10), ("STAR", 2)):
