@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerloom.llm import bpe, collocate, ctw, htmltext, jaccard, langid, media, mixing, repair, topk, toxicity, urlfilter
+from ledgerloom.llm import bpe, chat, collocate, ctw, htmltext, jaccard, langid, media, mixing, repair, topk, toxicity, urlfilter
 
-MODULES = [toxicity, urlfilter, media, langid, mixing, bpe, htmltext, ctw, topk, jaccard, collocate, repair]
+MODULES = [toxicity, urlfilter, media, langid, mixing, bpe, htmltext, ctw, topk, jaccard, chat, collocate, repair]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
