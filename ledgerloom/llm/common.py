@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.session import forget, saved
 
-__all__ = ["bounded_batches", "by_bytes", "forget", "frequent", "id_remainder", "level", "saved", "table"]
+__all__ = ["bounded_batches", "by_bytes", "forget", "frequent", "id_remainder", "level", "picked", "saved", "table"]
 
 #: Bytes of one Arrow batch that Spark sends to a Python worker, about, and of texts that a function works on at a time.
 ARROW_BYTES, TEXT_BYTES = 8 << 20, 1 << 20
@@ -41,6 +41,12 @@ def by_bytes(batches: Iterator[pa.RecordBatch], column: str = "text", most: int
             at = end
 
 
+def picked(h: Column, most: int, total: int) -> Column:
+    """Whether a 64-bit hash is in a share of most in total, by 63 of its bits: the share doesn't reach 0, nor does the sample outgrow most, at any total."""
+    bound = (1 << 63) * most // max(total, 1)
+    return F.lit(True) if bound >> 63 else h.bitwiseAND((1 << 63) - 1) < F.lit(bound).cast("bigint")
+
+
 def id_remainder(column: str, modulus: int):
     """crc32 of the id as text, modulo modulus; a null id counts as the empty text."""
     return F.pmod(F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")), F.lit(modulus))

@@ -11,7 +11,8 @@ two hold stays out of the model. The score is the logistic function of the sum o
 features of the whole text; the text's length enters nowhere else.
 
 Learning reads a bounded, documented sample of labelled rows: about
-``MAX_TRAIN`` of them, chosen by a hash of doc_id, each class in its own share.
+``MAX_TRAIN`` of them, chosen by a hash of doc_id, each class in its own share: half
+of them, and more where the other class has fewer.
 Features are hashed by all executors; the sequential passes run in one task over
 the sample's hashes. Documents that share an id each take that id's labels; an id
 with several labels is toxic if any of them says so.
@@ -35,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerloom.llm.common import bounded_batches, by_bytes, id_remainder, table
+from ledgerloom.llm.common import bounded_batches, by_bytes, id_remainder, picked, table
 
 BITS = 20
 #: Rows that training reads, about.
@@ -99,14 +100,19 @@ class Ftrl:
 MODEL = "feature int, weight double"
 
 
+def most_of(label: int, counts: dict[int, int], max_train: int) -> int:
+    """How many rows of a class are learnt from: half of max_train, and what the other class leaves of its own."""
+    return max_train - min(counts.get(1 - label, 0), max_train // 2)
+
+
 def train(spark: SparkSession, labelled: DataFrame, epochs: int = EPOCHS, max_train: int = MAX_TRAIN) -> dict[int, float]:
     """Weights by feature number, and the bias at -1, from the columns doc_id, text and label (0 or 1)."""
     bounded_batches(spark)
-    total = labelled.count()
-    if not total:
+    counts = {r.label: r["count"] for r in labelled.groupBy("label").count().collect()}
+    if not counts:
         return {-1: 0.0}
     h = F.xxhash64("doc_id", F.lit("ftrl"))
-    sample = labelled if total <= max_train else labelled.where(F.pmod(h, F.lit(1 << 20)) < int((1 << 20) * max_train / total))
+    sample = labelled.where(F.when(F.col("label") == 1, picked(h, most_of(1, counts, max_train), counts.get(1, 0))).otherwise(picked(h, most_of(0, counts, max_train), counts.get(0, 0))))
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in by_bytes(batches):
