@@ -12,13 +12,14 @@ smoothed share of label 1 among labelled URLs with the same host suffix (the las
 label, and the last two, each hashed to ``SUFFIX_BUCKETS`` places, so that these
 statistics are bounded). They count all labelled URLs, each leaving out itself
 while training; the trees are fitted on a bounded, documented sample of about
-``MAX_TRAIN`` of them, chosen by a hash of the URL.
+``MAX_TRAIN`` of them, chosen by a hash of the URL, in one task.
 
 ``pages`` carries no labels, so ``op2_url_filter`` labels the hosts that hold one
 of ``UNWANTED_WORDS`` as a whole word, weak labels from which the trees learn.
 
 Defined cases: a null URL, or one without ``://``, has an empty host and path, no
-rule, and is allowed; without labelled URLs, or with one class only, the trees
+rule, and is allowed; very long URLs are read whole by the JVM; columns that are kept may
+have any names; without labelled URLs, or with one class only, the trees
 are a constant; repeated rows stay repeated; ties in tree splits go to the first
 feature and the lower cut.
 """
@@ -33,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import table
+from ledgerloom.llm.common import picked, table
 
 #: (host, path, verdict); a list given by hand, at most a few hundred.
 RULES = [
@@ -206,11 +207,18 @@ def train(labelled: DataFrame, max_train: int = MAX_TRAIN) -> Model:
     if not total.n:
         model.trees.base = -np.inf
         return model
-    share = int((1 << 20) * min(1.0, max_train / total.n))
-    sample = rows.where(F.pmod(F.xxhash64("url", F.lit("trees")), F.lit(1 << 20)) < share).collect()  # about max_train short rows
-    sample.sort(key=lambda r: (r.url, r.label))
-    y = np.array([r.label for r in sample], np.float64)
-    model.trees = fit(model.rows([r.features for r in sample], [r.suffix1 for r in sample], [r.suffix2 for r in sample], y), y)
+    h = F.xxhash64("url", F.lit("trees"))
+    sample = rows.where(picked(h, max_train, total.n)).select(h.alias("h"), F.col("label").cast("int").alias("label"), "suffix1", "suffix2", "features")
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = sorted((tuple(r.values()) for b in batches for r in b.to_pylist()), key=lambda r: (r[0], r[1]))
+        y = np.array([r[1] for r in seen], np.float64)
+        t = fit(model.rows([r[4] for r in seen], [r[2] for r in seen], [r[3] for r in seen], y), y)
+        yield pa.RecordBatch.from_arrays([pa.array([t.base]), *(pa.array([np.asarray(a, kind).tobytes()], pa.binary()) for a, kind in ((t.feature, "<i8"), (t.cut, "<f8"), (t.leaf, "<f8")))], ["base", "feature", "cut", "leaf"])
+
+    fitted = sample.repartition(1).mapInArrow(learn, "base double, feature binary, cut binary, leaf binary").first()
+    if fitted is not None:
+        model.trees = Trees(fitted.base, np.frombuffer(fitted.feature, "<i8").reshape(-1, 2**DEPTH - 1), np.frombuffer(fitted.cut, "<f8").reshape(-1, 2**DEPTH - 1), np.frombuffer(fitted.leaf, "<f8").reshape(-1, 2**DEPTH))
     return model
 
 
