@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import bounded_batches, saved, table
+from ledgerloom.llm.common import bounded_batches, picked, saved, table
 
 BLOCK, QUERY_BLOCK, SAMPLE, LARGEST = 4096, 1024, 4096, 2.0**62
 #: Shares of the coordinates after which the bound is tested.
@@ -86,12 +86,11 @@ def _packed(rows: DataFrame, size: int) -> DataFrame:
 
 def _rotations(vectors: DataFrame, sample: int) -> dict[int, np.ndarray]:
     """For each dimension of a bounded sample, the orthogonal matrix of its right singular vectors, largest first."""
-    picked: dict[int, list] = {}
+    seen: dict[int, list] = {}
     total = max(1, vectors.count())
-    share = 1 << 20 if total <= sample else max(1, (1 << 20) * sample // total)
-    for r in vectors.where(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 20)) < share).select("dim", "v").collect():  # about sample rows
-        picked.setdefault(r.dim, []).append(np.frombuffer(r.v, "<i8"))
-    return {d: np.linalg.svd(np.stack(v).astype(np.float64), full_matrices=True)[2].T if d else np.zeros((0, 0)) for d, v in picked.items()}
+    for r in vectors.where(picked(F.xxhash64("vec_id"), sample, total)).select("dim", "v").collect():  # about sample rows
+        seen.setdefault(r.dim, []).append(np.frombuffer(r.v, "<i8"))
+    return {d: np.linalg.svd(np.stack(v).astype(np.float64), full_matrices=True)[2].T if d else np.zeros((0, 0)) for d, v in seen.items()}
 
 
 class Side:
