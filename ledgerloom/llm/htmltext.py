@@ -18,7 +18,11 @@ are learnt from. The model is ``2**BITS`` weights for each label, broadcast.
 Defined cases: null, empty or text-free pages give an empty text; unclosed,
 crossed or unknown tags are tolerated (a paragraph ends where the next block
 begins, and a head where an element opens that can't stand in one); a page without any tags is one block, judged like others; the text of
-scripts, styles, templates, form controls and the head is never a block; ``br``
+scripts, styles, templates, form controls and the head is never a block; one of these
+elements that nothing closes ends where the next block opens (but a script, a style or a
+template, which end with the page or their ancestor); a comment ends as HTML says, also
+``<!-->`` and ``--!>``, or with the page; very long pages are read whole, a few at a time;
+columns that are kept may have any names; ``br``
 is white space; repeated rows stay repeated. Without a page to learn from, the
 layouts are made from built-in words.
 """
@@ -38,12 +42,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import bounded_batches, by_bytes, table
+from ledgerloom.llm.common import bounded_batches, by_bytes, picked, table
 
 BITS, MAX_TRAIN, EPOCHS, RATE, L2 = 14, 300, 6, 0.5, 1e-4
 
 TAG = re.compile(
-    r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|</([a-zA-Z][^\s/>]*)[^>]*>|<([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<([a-zA-Z][^\s/>]*)([^>]*)>""", re.S
+    r"""<!--(?:-?>|.*?(?:--!?>|\Z))|<[!?][^>]*>|</([a-zA-Z][^\s/>]*)[^>]*>|<([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<([a-zA-Z][^\s/>]*)([^>]*)>""", re.S
 )
 NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
@@ -54,6 +58,9 @@ VOID = set("area base br col embed hr img input link meta param source track wbr
 RAW = set("script style".split())
 #: Elements whose text is never shown as running text.
 HIDDEN = set("head title template select option optgroup textarea button iframe datalist".split())
+#: Of these, those that end where a block opens, if nothing closes them.
+LOOSE = HIDDEN - {"head", "template"}
+LISTS = {"select", "datalist", "optgroup"}
 #: Elements that can stand in a head; any other ends it.
 IN_HEAD = set("base link meta noscript script style template title".split())
 #: Elements that an opening block ends.
@@ -88,6 +95,7 @@ def blocks(page: str | None) -> list[Block]:
     out: list[Block] = []
     stack: list[tuple[str, str]] = []
     now, hidden, links = _Open(), 0, 0
+    loose: list[int] = []  # places in the stack
 
     def flush() -> None:
         nonlocal now
@@ -103,6 +111,13 @@ def blocks(page: str | None) -> list[Block]:
             hidden -= tag in HIDDEN
             links -= tag == "a"
         del stack[at:]
+        while loose and loose[-1] >= at:
+            loose.pop()
+
+    def closed(tag: str, at: int) -> bool:
+        """Whether an end tag comes before the next such element begins."""
+        found = re.compile(rf"<(/?){tag}\b", re.I).search(page, at)
+        return found is not None and bool(found[1])
 
     page, pos = page or "", 0
     while pos <= len(page):
@@ -138,6 +153,9 @@ def blocks(page: str | None) -> list[Block]:
                 close(at)
             if tag not in INLINE:
                 flush()
+                over = [k for k in loose if tag not in ("option", "optgroup") or stack[k][0] not in LISTS]
+                if over:
+                    close(over[0])
                 if tag == "body":
                     close(0)
                 ends = ENDS.get(tag, {"p"})
@@ -149,6 +167,8 @@ def blocks(page: str | None) -> list[Block]:
                     elif at < len(stack) and stack[at][0] in SCOPES:
                         break
             if tag not in VOID and not attributes.rstrip().endswith("/"):
+                if tag in LOOSE and not closed(tag, pos):
+                    loose.append(len(stack))
                 stack.append((tag, _named(tag, attributes)))
                 hidden += tag in HIDDEN
                 links += tag == "a"
@@ -352,7 +372,7 @@ def train(pages: DataFrame, max_train: int = MAX_TRAIN) -> Crf:
     """From the columns page_id and html: about max_train pages, by a threshold on a hash of the id, and the fit in one task over them."""
     rows = pages.where("html is not null").select("page_id", "html", F.xxhash64("page_id").alias("h"))
     total = max(1, rows.count())
-    sample = rows if total <= max_train else rows.where(F.pmod("h", F.lit(1 << 20)) < max(1, (1 << 20) * max_train // total))
+    sample = rows if total <= max_train else rows.where(picked(F.col("h"), max_train, total))
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         picked = sorted((h, i, x) for b in batches for h, i, x in zip(*(b.column(c).to_pylist() for c in ("h", "page_id", "html"))))

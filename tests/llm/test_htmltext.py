@@ -72,3 +72,23 @@ def test_sample_is_fitted_in_a_task(spark):
     got = {r.page_id: r.text for r in h.extract(spark, pages, h.train(pages, 20), ["page_id"]).collect()}
     assert all(got[i] == ("the water of the river " * 4 + f"{i}.") for i in range(60))
     assert h.train(pages.limit(0)).emission.shape == (1 << h.BITS, 2)
+
+
+@pytest.mark.parametrize(
+    "page,want",
+    [
+        ("<p>A<!--> B</p><p>C</p>", ["A B", "C"]),
+        ("<p>A<!---> B</p><p>C</p>", ["A B", "C"]),
+        ("<p>A<!-- x --!> B</p>", ["A B"]),
+        ("<p>A<!-- x > y --> B<!-- open", ["A B"]),
+        ("<article><button>ok<p>a</p><p>b</p></article>", ["a", "b"]),
+        ("<article><button><div>ok</div></button><p>a</p></article>", ["a"]),
+        ("<article><select><option>x<option>y<p>a</p></article>", ["a"]),
+        ("<article><select><option>x<option>y</select> t<p>a</p></article>", ["t", "a"]),
+        ("<article><button>1<button>2</button><p>a</p><iframe>i<p>b</p></article>", ["a", "b"]),
+        ("<body><title>t<p>a</p>", ["a"]),
+        ("<article><template><p>x</p></article><p>a</p>", ["a"]),
+    ],
+)
+def test_unclosed_elements_and_comments(page, want):
+    assert [b.text for b in h.blocks(page)] == want
