@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerloom.operators import ledger, recall, retrieval, telemetry, turns
+from ledgerloom.operators import authorship, ledger, recall, retrieval, telemetry, turns
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = [retrieval, ledger, telemetry, recall, turns]
+MODULES = [retrieval, ledger, telemetry, recall, turns, authorship]
 
 
 def queries() -> dict[str, Query]:
