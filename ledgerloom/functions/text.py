@@ -95,3 +95,19 @@ def entropy(text: Column) -> Column:
     chars = F.filter(F.split(text, ""), lambda c: c != "")
     share = lambda c: (F.size(chars) - F.size(F.array_remove(chars, c))) / F.size(chars)
     return F.aggregate(F.array_distinct(chars), F.lit(0.0), lambda a, c: a - share(c) * F.log2(share(c)))
+
+
+#: Words after which a plain word names what is used.
+NAMING = ["use", "using", "with", "to", "adopt", "try", "usar", "usa", "con", "a"]
+
+
+def name_tokens(text: Column) -> Column:
+    """The sorted distinct words, in small letters, that are spelt like names: with a capital, a digit among letters, a dot, dash or underscore within, or after a word of NAMING."""
+    trimmed = F.transform(F.split(F.coalesce(text, F.lit("")), r"[\s,;()\"`!?]+"), lambda w: F.regexp_replace(w, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", ""))
+    tokens = F.filter(trimmed, lambda w: w != "")
+    before = F.concat(F.array(F.lit("")), F.transform(F.slice(tokens, 1, F.greatest(F.size(tokens) - 1, F.lit(0))), F.lower))
+    stop = F.array(*map(F.lit, STOP_WORDS))
+    plain = lambda w: ~F.array_contains(stop, F.lower(w))
+    spelt = lambda w: w.rlike(r"^.+\p{Lu}") | (w.rlike("[0-9]") & w.rlike(r"\p{L}")) | w.rlike("[._-]") | (w.rlike(r"^\p{Lu}") & plain(w))
+    named = lambda w, p: (F.length(w) >= 2) & (spelt(w) | (p.isin(NAMING) & w.rlike("^[A-Za-z0-9_]+$") & plain(w)))
+    return F.array_sort(F.array_distinct(F.filter(F.zip_with(tokens, F.slice(before, 1, F.greatest(F.size(tokens), F.lit(0))), lambda w, p: F.when(named(w, p), F.lower(w))), lambda w: w.isNotNull())))
