@@ -40,15 +40,50 @@ def prompt_terms(asked: DataFrame) -> DataFrame:
     return out.where((F.octet_length("term") >= 3) & ~F.col("term").isin(text.STOP_WORDS)).distinct()
 
 
+def token_rows(docs: DataFrame) -> DataFrame:
+    """(id, dl, pos, term, w): each record's index tokens, with the weight of their field; fields lie a place apart. Position 0 holds the empty term, so that every record has a row."""
+    split = {c: F.split(text.fold(F.coalesce(c, F.lit(""))), r"[^\p{L}\p{N}]+") for c in WEIGHTS}
+    sized = docs.select("id", *(x.alias(c) for c, x in split.items()))
+    # only the first and the last of the parts can be empty
+    size = lambda c: F.size(c) - (F.element_at(c, 1) == "").cast("int") - ((F.size(c) > 1) & (F.element_at(c, -1) == "")).cast("int")
+    places, edges, upto = [F.array(F.lit(""))], [], F.lit(1)
+    for c in WEIGHTS:
+        places += [F.col(c), F.array(F.lit(""))]
+        upto = upto + F.size(c) + 1
+        edges.append(upto)
+    dl = sum((size(c) for c in WEIGHTS), F.lit(0)).cast("bigint")
+    rows = sized.select("id", dl.alias("dl"), *(e.alias(f"e{i}") for i, e in enumerate(edges)), F.posexplode(F.concat(*places)).alias("pos", "term"))
+    w = F.when(F.col("term") == "", 0.0)
+    for i, weight in enumerate(WEIGHTS.values()):
+        w = w.when(F.col("pos") < F.col(f"e{i}"), weight)
+    return rows.select("id", "dl", "pos", "term", w.alias("w"))
+
+
+def held_tokens(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """token_rows of the tokens in wanted (term), told in the task that reads the record."""
+    rows = token_rows(docs)
+    return rows.join(F.broadcast(wanted), "term", "left_semi") if wanted.count() <= BROADCAST_TERMS else rows.join(wanted, "term", "left_semi")
+
+
 def index(spark: SparkSession, docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(id, dl, term, f), saved: the record's length and the weighted frequency of each wanted term in it; each record has a row for the empty term as well."""
-    weighted = lambda w: lambda t: F.struct(t.alias("term"), F.lit(w).alias("w"))
-    parts = [F.transform(text.index_tokens(F.col(c)), weighted(w)) for c, w in WEIGHTS.items()]
-    tokens = docs.select("id", F.concat(F.array(F.struct(F.lit("").alias("term"), F.lit(0.0).alias("w"))), *parts).alias("tokens"))
-    out = tokens.select("id", (F.size("tokens") - 1).cast("bigint").alias("dl"), F.explode("tokens").alias("p")).select("id", "dl", "p.term", "p.w")
-    wanted = wanted.select("term").union(spark.createDataFrame([("",)], "term string")).distinct()
-    out = out.join(F.broadcast(wanted), "term", "left_semi") if wanted.count() <= BROADCAST_TERMS else out.join(wanted, "term", "left_semi")
-    return saved(spark, out.groupBy("id", "dl", "term").agg(F.sum("w").alias("f")), "postings")
+    """(id, dl, term, f), saved: the record's length and the weighted frequency of each wanted term in it; each record has a row for the empty term as well.
+
+    A term that the index cuts into several tokens (one with an underscore) occurs where
+    these stand side by side in a field. Their positions alone are kept for it: an
+    occurrence is a start at which every part has been found.
+    """
+    parts = wanted.select("term").distinct().withColumn("parts", text.index_tokens(F.col("term")))
+    parts = saved(spark, parts, "parts")
+    one, several = parts.where("size(parts) = 1 and parts[0] = term"), parts.where("size(parts) > 1 or size(parts) = 1 and parts[0] != term")
+    empty = spark.createDataFrame([("",)], "term string")
+    out = held_tokens(docs, one.select("term").union(empty)).groupBy("id", "dl", "term").agg(F.sum("w").alias("f"))
+    if not several.isEmpty():
+        at = several.select(F.col("term").alias("phrase"), F.size("parts").alias("n"), F.posexplode("parts").alias("i", "term"))
+        found = held_tokens(docs, at.select("term").distinct())
+        found = found.join(F.broadcast(at) if at.count() <= BROADCAST_TERMS else at, "term")
+        starts = found.groupBy("id", "dl", "phrase", "n", (F.col("pos") - F.col("i")).alias("start")).agg(F.count("*").alias("held"), F.min("w").alias("w")).where("held = n")
+        out = out.unionByName(starts.groupBy("id", "dl", F.col("phrase").alias("term")).agg(F.sum("w").alias("f")))
+    return saved(spark, out, "postings")
 
 
 def selected_terms(terms: DataFrame, df: DataFrame, n: int | Column, most: int = TERMS) -> DataFrame:
@@ -62,7 +97,7 @@ def selected_terms(terms: DataFrame, df: DataFrame, n: int | Column, most: int =
 
 def search(spark: SparkSession, docs: DataFrame, asked: DataFrame, most: int = TERMS) -> tuple[DataFrame, DataFrame]:
     """(prompt_id, id, score, matched): weighted BM25 of the records that hold a selected term; and the selected terms."""
-    terms = prompt_terms(asked)
+    terms = saved(spark, prompt_terms(asked), "terms")
     rows = index(spark, docs, terms)
     total = F.broadcast(rows.where("term = ''").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")))  # one row
     found = rows.where("term <> ''")
@@ -197,8 +232,12 @@ def r24_all_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(best)).where("rank <= 20").select("prompt_id", "rank", "id", "score")
 
 
-def r24_every_word(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return r24_all_words(spark, sf_dir)
+def r3_adjacent_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """BM25 for prompts whose words are joined by underscores, two by two: what holds them side by side."""
+    w = text.words(F.col("prompt"))
+    two = lambda i: F.concat_ws("_", F.get(w, F.lit(i)), F.get(w, F.lit(i + 1)))
+    asked = prompts(spark, sf_dir).select("prompt_id", F.concat_ws(" ", *(two(i) for i in range(0, 12, 2)), F.get(w, F.lit(12))).alias("prompt"))
+    return top(bm25(spark, records(spark, sf_dir), asked)).select("prompt_id", "rank", "id", "score", "matched")
 
 
 def r18_best_passage(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -217,7 +256,7 @@ def r18_best_passage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (r5_bm25_topk, r4_term_selection, r9_relative_floor, r10_absolute_floor, r14_rank_fusion, r19_prefix_budget, r16_greedy_budget, r24_every_word, r24_all_words, r18_best_passage)
+    for f in (r5_bm25_topk, r4_term_selection, r9_relative_floor, r10_absolute_floor, r14_rank_fusion, r19_prefix_budget, r16_greedy_budget, r24_all_words, r3_adjacent_terms, r18_best_passage)
 }
 
 _COSTS = "costs AS (SELECT b.*, CAST(ceil(length(body) / 3.0) AS BIGINT) AS t FROM best b JOIN docs USING (id))"
@@ -233,7 +272,17 @@ folded AS MATERIALIZED (SELECT id, {duck.fold('body')} AS body FROM docs),
 held AS MATERIALIZED (SELECT id, term FROM folded JOIN (SELECT DISTINCT term FROM every) ON contains(body, term))""",
 )
 
+# terms of several tokens: their occurrences are added to the postings, so that all that follows is as for one token
+_ADJACENT = ("SELECT item_id AS prompt_id, array_to_string(list_filter(list_transform(range(6), lambda i: array_to_string(w[2 * i + 1:2 * i + 2], '_')) || [w[13]], lambda x: x IS NOT NULL), ' ') AS text "
+             "FROM (SELECT item_id, list_filter(string_split_regex(text, '\\s+'), lambda w: w <> '') AS w FROM benchmark)")
+_FIELDS = "UNION ALL ".join(f"SELECT id, {duck.index_tokens(c)} AS t, {w}::DOUBLE AS w FROM docs " for c, w in WEIGHTS.items())
+_SEVERAL = f"""several AS (SELECT DISTINCT term, {duck.index_tokens('term')} AS parts FROM raw_terms WHERE contains(term, '_')),
+fields AS (SELECT id, t, w, unnest(range(1, len(t) + 1)) AS i FROM ({_FIELDS})),
+posts AS (SELECT id, term, sum(w) AS f FROM toks GROUP BY ALL
+  UNION ALL SELECT id, term, sum(w) FROM fields JOIN several ON t[i] = parts[1] AND t[i:i + len(parts) - 1] = parts GROUP BY ALL),"""
+
 ORACLES = {
+    "r3_adjacent_terms": "",
     "r5_bm25_topk": _sql("SELECT prompt_id, rank, id, score, matched FROM best"),
     "r4_term_selection": _sql("SELECT prompt_id, term, df, idf, CAST(rn AS INTEGER) AS rn FROM chosen"),
     "r9_relative_floor": _sql(
@@ -261,7 +310,6 @@ walk AS (
   SELECT c.prompt_id, c.rank, c.id, c.t, CASE WHEN w.used + c.t <= 700 THEN w.used + c.t ELSE w.used END, w.used + c.t <= 700
   FROM walk w JOIN costs c ON c.prompt_id = w.prompt_id AND c.rank = w.rank + 1)""",
     ).replace("WITH ", "WITH RECURSIVE ", 1),
-    "r24_every_word": _EVERY,
     "r24_all_words": _EVERY,
     "r18_best_passage": _sql(
         """SELECT prompt_id, id, start, held FROM (
@@ -272,3 +320,8 @@ bests AS (SELECT b.prompt_id, b.id, body, t.terms FROM best b JOIN docs USING (i
 starts AS (SELECT prompt_id, id, body, terms, CAST(unnest(list_transform(range(1, len(string_split(body, chr(10))) + 1), lambda i: length(array_to_string(string_split(body, chr(10))[1:i - 1], chr(10))) + CASE WHEN i > 1 THEN 2 ELSE 1 END)) AS BIGINT) AS start FROM bests)""",
     ),
 }
+
+_PLAIN_POSTS = "posts AS (SELECT id, term, sum(w) AS f FROM toks GROUP BY ALL),"
+_RAW = _BASE[_BASE.index("raw_terms AS") : _BASE.index("terms AS (SELECT DISTINCT")]
+_R3 = _BASE.replace(_RAW, "").replace(_PLAIN_POSTS, _RAW + _SEVERAL).replace("PROMPTS", _ADJACENT)
+ORACLES["r3_adjacent_terms"] = f"WITH {_R3}\nSELECT prompt_id, rank, id, score, matched FROM best"
