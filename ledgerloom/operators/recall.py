@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 from ledgerloom.functions import duck, text
 from ledgerloom.operators import retrieval as rt
 from ledgerloom.operators.ledger import _H, _S, heirs, statements
-from ledgerloom.session import table
+from ledgerloom.session import saved, table
 
-RRF, SHOWN, SLOTS = 60.0, 64, 120
+RRF, SHOWN, SLOTS, LIMIT = 60.0, 64, 120, 10
 
 
 def kind_of(i: Column) -> Column:
@@ -53,41 +53,73 @@ def r7_stale_twins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rt.top(found(spark, sf_dir).join(standing(s).join(stale, ["turn", "kind"], "left_anti"), "id")).select("prompt_id", "rank", "id", "kind")
 
 
-def r8_exclusion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Five rows that were not delivered yet; the best score and the newest id are those of all rows read, the sixth such row included."""
+def twin_free(s: DataFrame) -> DataFrame:
+    """What stands, without episodes whose turn has a retired decision, invariant or correction."""
+    stale = s.where("heir is not null and kind in ('decision', 'invariant', 'correction')").select("turn", F.lit("episode").alias("kind")).distinct()
+    return standing(s).join(stale, ["turn", "kind"], "left_anti")
+
+
+def read(hits: DataFrame, served: DataFrame, given: Column, limit: int = LIMIT) -> DataFrame:
+    """The rows of a search (prompt_id, id, score, matched) that recall reads, in order, with best and newest: limit rows that were not given before and, with all rows read, the next such row."""
     order = Window.partitionBy("prompt_id").orderBy("score", F.desc("id"))
-    fresh = (F.col("id") % 4 != 0).cast("int")
-    read = found(spark, sf_dir).withColumn("fresh", fresh).withColumn("upto", F.sum("fresh").over(order.rowsBetween(Window.unboundedPreceding, 0))).where("upto - fresh <= 5")
+    fresh = (~given).cast("int")
+    rows = hits.join(served, "id").withColumn("fresh", fresh).withColumn("upto", F.sum("fresh").over(order.rowsBetween(Window.unboundedPreceding, 0))).where(F.col("upto") - F.col("fresh") <= limit)
     every = Window.partitionBy("prompt_id")
-    return read.withColumn("best", F.min("score").over(every)).withColumn("newest", F.max("id").over(every)).where("fresh = 1 and upto <= 5").select("prompt_id", "id", "score", "best", "newest")
+    return rows.withColumn("best", F.min("score").over(every)).withColumn("newest", F.max("id").over(every)).where((F.col("fresh") == 1) & (F.col("upto") <= limit))
+
+
+def floors(rows: DataFrame, need: DataFrame) -> DataFrame:
+    """rows of read with half, enough and side: whether each is over the floor of the best match, over the floor of words (need: prompt_id, need), and has a place beside the rules.
+
+    ``kept`` is the newest row, where it is strictly newer than the best of these rows: no floor cuts it.
+    """
+    every, order = Window.partitionBy("prompt_id"), Window.partitionBy("prompt_id").orderBy("score", F.desc("id"))
+    lead = F.first("id").over(order)
+    rows = rows.join(need, "prompt_id").withColumn("kept", (F.col("id") == F.col("newest")) & (F.col("id") > lead))
+    rows = rows.withColumn("half", (F.col("score") <= F.col("best") * 0.5) | (F.col("trust") >= 3) | F.col("kept"))
+    words = F.col("half") & ((F.col("need") <= 1) | (F.col("matched") >= F.col("need")) | F.col("kept"))
+    rule = F.col("kind").isin("invariant", "correction")
+    weakest = F.max(F.when(words, F.col("score"))).over(every)
+    rows = rows.withColumn("enough", words | (F.col("half") & rule & F.coalesce(F.col("score") <= weakest, F.lit(False))))
+    other = F.col("enough") & ~rule & ~F.col("kept")
+    rows = rows.withColumn("place", F.row_number().over(order)).withColumn("other", other)
+    seen = F.min(F.when(F.col("other"), F.col("place"))).over(Window.partitionBy("prompt_id", "turn"))
+    rows = rows.withColumn("seen", F.when(F.col("other"), seen))
+    nth = F.dense_rank().over(every.orderBy(F.col("seen").asc_nulls_last()))
+    return rows.withColumn("side", F.col("enough") & (~F.col("other") | (nth <= 2)))
+
+
+def floored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every fourth record was given before."""
+    hits, chosen = rt.search(spark, rt.records(spark, sf_dir), rt.prompts(spark, sf_dir))
+    need = chosen.groupBy("prompt_id").agg(F.greatest(F.lit(1), F.ceil(F.count("*") / 3)).cast("bigint").alias("need"))
+    return floors(read(hits, twin_free(states(spark, sf_dir)), F.col("id") % 4 == 0), need)
+
+
+def recalled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(prompt_id, id, kind, subject, turn, rank): recall as a whole, from what stands to the places beside the rules."""
+    order = Window.partitionBy("prompt_id").orderBy("place")
+    return floored(spark, sf_dir).where("side").select("prompt_id", "id", "kind", "subject", "turn", F.row_number().over(order).alias("rank"))
+
+
+def r8_exclusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten rows that were not delivered yet; the best score and the newest id are those of all rows read, the eleventh such row included."""
+    return read(found(spark, sf_dir), twin_free(states(spark, sf_dir)), F.col("id") % 4 == 0).select("prompt_id", "id", "score", "best", "newest")
 
 
 def r9_floor_with_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Half as strong as the best, trusted (3 and more), or the newest where newer than the best."""
-    hits = rt.top(found(spark, sf_dir)).join(states(spark, sf_dir).select("id", "trust"), "id")
-    every = Window.partitionBy("prompt_id")
-    lead = F.max(F.when(F.col("rank") == 1, F.col("id"))).over(every)
-    marked = hits.select("*", F.min("score").over(every).alias("best"), ((F.col("id") == F.max("id").over(every)) & (F.col("id") > lead)).alias("is_newest"))
-    return marked.where("score <= best * 0.5 or trust >= 3 or is_newest").select("prompt_id", "rank", "id", "trust")
+    """Half as strong as the best, trusted (3 and more), or the newest where newer than the best row."""
+    return floored(spark, sf_dir).where("half").select("prompt_id", "id", "trust", "kept")
 
 
 def r10_floor_with_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A third of the prompt's terms matched; invariants and corrections also where as strong as the weakest that did."""
-    hits, chosen = rt.search(spark, rt.records(spark, sf_dir), rt.prompts(spark, sf_dir))
-    need = chosen.groupBy("prompt_id").agg(F.greatest(F.lit(1), F.ceil(F.count("*") / 3)).cast("bigint").alias("need"))
-    met = rt.top(hits).join(need, "prompt_id").join(states(spark, sf_dir).select("id", "kind"), "id").withColumn("ok", F.col("matched") >= F.col("need"))
-    weakest = F.max(F.when(F.col("ok"), F.col("score"))).over(Window.partitionBy("prompt_id"))
-    return met.withColumn("weakest", weakest).where("ok or (kind in ('invariant', 'correction') and score <= weakest)").select("prompt_id", "id", "kind", "ok")
+    """Of these, what matches a third of the prompt's terms, or is the newest; invariants and corrections also where as strong as the weakest of them."""
+    return floored(spark, sf_dir).where("enough").select("prompt_id", "id", "kind", "matched", "need")
 
 
 def r11_side_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Invariants, corrections and the newest stay; of the rest, what belongs to the first two turns that appear."""
-    hits = rt.top(found(spark, sf_dir)).join(states(spark, sf_dir).select("id", "kind", "turn"), "id")
-    every = Window.partitionBy("prompt_id")
-    hits = hits.withColumn("stays", F.col("kind").isin("invariant", "correction") | (F.col("id") == F.max("id").over(every)))
-    side = hits.where("not stays").withColumn("seen", F.min("rank").over(Window.partitionBy("prompt_id", "turn")))
-    side = side.withColumn("nth", F.dense_rank().over(every.orderBy("seen"))).where("nth <= 2")
-    return hits.where("stays").select("prompt_id", "rank", "id", "stays").unionByName(side.select("prompt_id", "rank", "id", "stays"))
+    """Of these, invariants, corrections and the newest stay; of the rest, what belongs to the first two turns that appear."""
+    return floored(spark, sf_dir).where("side").select("prompt_id", "id", "kind", "kept", F.row_number().over(Window.partitionBy("prompt_id").orderBy("place")).alias("rank"))
 
 
 def r13_cue_derivation(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -113,33 +145,40 @@ def r12_cue_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fired.groupBy("record").agg(F.count("*").alias("groups"), F.sum("cues").alias("cues"))
 
 
-def r14_cue_and_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Reciprocal ranks of two different lists: the lexical one, and the newest standing records of the sources it names."""
-    hits = rt.top(found(spark, sf_dir))
-    named = hits.join(states(spark, sf_dir).select("id", "subject"), "id").select("prompt_id", "subject").distinct()
+def fused(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(prompt_id, id, fused, lists): reciprocal ranks of what is recalled, and of the newest standing records of the sources that it names (three each)."""
+    hits = saved(spark, recalled(spark, sf_dir), "recalled")
+    named = hits.select("prompt_id", "subject").distinct()
     newest = Window.partitionBy("subject").orderBy(F.desc("id"))
-    recent = states(spark, sf_dir).where("heir is null").select("id", "subject").withColumn("rn", F.row_number().over(newest)).where("rn <= 3")
+    recent = standing(states(spark, sf_dir)).select("id", "subject").withColumn("rn", F.row_number().over(newest)).where("rn <= 3")
     cue = named.join(recent, "subject").select("prompt_id", "id", F.row_number().over(Window.partitionBy("prompt_id").orderBy(F.desc("id"))).alias("rank"))
     lists = hits.select("prompt_id", "id", "rank").unionByName(cue)
-    return lists.groupBy("prompt_id", "id").agg(F.round(F.sum(1 / (RRF + F.col("rank") + 1)), 9).alias("fused"), F.count("*").alias("lists"))
+    return lists.groupBy("prompt_id", "id").agg(F.round(F.sum(1 / (RRF + F.col("rank"))), 9).alias("fused"), F.count("*").alias("lists"))
 
 
-def r15_merge_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rules first, then each kind's first, each kind's second and so on, by kind, score and id."""
-    hits = rt.top(found(spark, sf_dir)).join(states(spark, sf_dir).select("id", "kind"), "id")
+def merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """fused with place: rules and corrections first, then by score, the newest first among equals. That is the order of a prompt; events take turns by kind (wn2)."""
+    rows = fused(spark, sf_dir).join(states(spark, sf_dir).select("id", "kind", "turn"), "id")
     rule = F.when(F.col("kind").isin("invariant", "correction"), 0).otherwise(1)
-    priority = F.when(F.col("kind") == "invariant", 0).when(F.col("kind") == "correction", 1).when(F.col("kind") == "decision", 2).otherwise(3)
-    slot = F.row_number().over(Window.partitionBy("prompt_id", "kind").orderBy("score", F.desc("id")))
-    marked = hits.select("*", rule.alias("rule"), priority.alias("priority"), slot.alias("slot"))
-    return marked.withColumn("place", F.row_number().over(Window.partitionBy("prompt_id").orderBy("rule", "slot", "priority", "score", F.desc("id")))).select("prompt_id", "place", "id", "slot")
+    return rows.withColumn("place", F.row_number().over(Window.partitionBy("prompt_id").orderBy(rule, F.desc("fused"), F.desc("id"))))
+
+
+def r14_cue_and_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fused(spark, sf_dir)
+
+
+def r15_merge_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merged(spark, sf_dir).select("prompt_id", "place", "id", "kind")
 
 
 def r16_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One block for each turn; what says the same as a better one counts as delivered but is not shown."""
-    docs = rt.records(spark, sf_dir).select("id", F.floor(F.col("id") / 3).alias("turn"), F.md5(F.col("body").cast("binary")).alias("said"))
-    hits = rt.top(found(spark, sf_dir)).join(docs, "id")
-    first = lambda by: F.row_number().over(Window.partitionBy("prompt_id", by).orderBy("rank"))
-    return hits.withColumn("n", first("turn")).where("n = 1").withColumn("n", first("said")).select("prompt_id", "rank", "id", (F.col("n") == 1).alias("shown"))
+    """One block for each turn, and one for what says the same; those that fit into 700 tokens in order, each counted as 200 at most, skipping those that don't."""
+    body = F.col("body")
+    docs = rt.records(spark, sf_dir).select("id", F.md5(body.cast("binary")).alias("said"), F.least(text.tokens_estimate(body), F.lit(200)).cast("bigint").alias("cost"))
+    rows = merged(spark, sf_dir).join(docs, "id")
+    first = lambda by: F.row_number().over(Window.partitionBy("prompt_id", by).orderBy("place"))
+    once = rows.withColumn("n", first("turn")).where("n = 1").withColumn("n", first("said")).where("n = 1")
+    return rt.greedy_pack(once, "prompt_id", "place", "cost", "id", 700)
 
 
 def r17_block_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -360,6 +399,29 @@ _RANKED = "SELECT {cols} FROM (SELECT *, CAST(row_number() OVER (PARTITION BY pr
 _PRIORITY = "CASE kind WHEN 'invariant' THEN 0 WHEN 'correction' THEN 1 WHEN 'decision' THEN 2 ELSE 3 END"
 
 
+_CHAIN = f""",
+served AS (SELECT * FROM stand WHERE NOT (kind = 'episode' AND turn IN (SELECT turn FROM stale))),
+f AS (SELECT scored.*, kind, trust, turn, subject, CAST(id % 4 <> 0 AS INTEGER) AS fresh FROM scored JOIN served USING (id)),
+r AS (SELECT *, sum(fresh) OVER (PARTITION BY prompt_id ORDER BY score, id DESC ROWS UNBOUNDED PRECEDING) AS upto FROM f),
+h AS (SELECT * FROM (SELECT *, min(score) OVER w AS best, max(id) OVER w AS newest FROM r WHERE upto - fresh <= {LIMIT} WINDOW w AS (PARTITION BY prompt_id)) WHERE fresh = 1 AND upto <= {LIMIT}),
+needs AS (SELECT prompt_id, CAST(greatest(1, ceil(count(*) / 3.0)) AS BIGINT) AS need FROM chosen GROUP BY 1),
+k0 AS (SELECT h.*, need, id = newest AND id > first_value(id) OVER (PARTITION BY prompt_id ORDER BY score, id DESC) AS kept FROM h JOIN needs USING (prompt_id)),
+k1 AS (SELECT *, score <= best * 0.5 OR trust >= 3 OR kept AS half FROM k0),
+k2 AS (SELECT *, half AND (need <= 1 OR matched >= need OR kept) AS words FROM k1),
+k3 AS (SELECT *, words OR (half AND kind IN ('invariant', 'correction') AND coalesce(score <= max(CASE WHEN words THEN score END) OVER (PARTITION BY prompt_id), false)) AS enough FROM k2),
+k4 AS (SELECT *, kind NOT IN ('invariant', 'correction') AND NOT kept AS other, row_number() OVER (PARTITION BY prompt_id ORDER BY score, id DESC) AS p FROM k3 WHERE enough),
+turns AS (SELECT prompt_id, turn FROM (SELECT *, row_number() OVER (PARTITION BY prompt_id ORDER BY p) AS nth FROM (SELECT prompt_id, turn, min(p) AS p FROM k4 WHERE other GROUP BY 1, 2)) WHERE nth <= 2),
+recalled AS (SELECT k4.*, CAST(row_number() OVER (PARTITION BY prompt_id ORDER BY p) AS INTEGER) AS rank FROM k4 WHERE NOT other OR (prompt_id, turn) IN (SELECT (prompt_id, turn) FROM turns)),
+recent AS (SELECT id, subject FROM (SELECT id, subject, row_number() OVER (PARTITION BY subject ORDER BY id DESC) AS rn FROM stand) WHERE rn <= 3),
+cue AS (SELECT prompt_id, id, row_number() OVER (PARTITION BY prompt_id ORDER BY id DESC) AS rank FROM (SELECT DISTINCT prompt_id, subject FROM recalled) JOIN recent USING (subject)),
+fused AS (SELECT prompt_id, id, round(sum(1 / (60.0::DOUBLE + rank)), 9) AS fused, count(*) AS lists FROM (SELECT prompt_id, id, rank FROM recalled UNION ALL SELECT prompt_id, id, rank FROM cue) GROUP BY 1, 2),
+merged AS (SELECT fused.*, kind, turn, CAST(row_number() OVER (PARTITION BY prompt_id ORDER BY CASE WHEN kind IN ('invariant', 'correction') THEN 0 ELSE 1 END, fused DESC, id DESC) AS INTEGER) AS place FROM fused JOIN told USING (id))"""
+
+
+def _chain(select: str, more: str = "") -> str:
+    return _told(select, _CHAIN + more)
+
+
 def _told(select: str, more: str = "", **kw: str) -> str:
     return rt._sql(select, _TOLD + more, **kw)
 
@@ -367,28 +429,23 @@ def _told(select: str, more: str = "", **kw: str) -> str:
 ORACLES = {
     "jn1_served_recall": _told(_RANKED.format(cols="prompt_id, rank, id, score", which="stand")),
     "r7_stale_twins": _told(_RANKED.format(cols="prompt_id, rank, id, kind", which="(SELECT * FROM stand WHERE NOT (kind = 'episode' AND turn IN (SELECT turn FROM stale)))")),
-    "r8_exclusion": _told("""SELECT prompt_id, id, score, best, newest FROM (SELECT *, min(score) OVER w AS best, max(id) OVER w AS newest FROM r WHERE upto - fresh <= 5 WINDOW w AS (PARTITION BY prompt_id)) WHERE fresh = 1 AND upto <= 5""",
-        ", f AS (SELECT *, CAST(id % 4 <> 0 AS INTEGER) AS fresh FROM scored), r AS (SELECT *, sum(fresh) OVER (PARTITION BY prompt_id ORDER BY score, id DESC ROWS UNBOUNDED PRECEDING) AS upto FROM f)"),
-    "r9_floor_with_trust": _told("""SELECT prompt_id, rank, id, trust FROM (SELECT b.*, trust, min(score) OVER w AS top_score, id = max(id) OVER w AND id > max(CASE WHEN rank = 1 THEN id END) OVER w AS is_newest
-FROM best b JOIN told USING (id) WINDOW w AS (PARTITION BY prompt_id)) WHERE score <= top_score * 0.5 OR trust >= 3 OR is_newest"""),
-    "r10_floor_with_kinds": _told("""SELECT prompt_id, id, kind, ok FROM (SELECT *, max(CASE WHEN ok THEN score END) OVER (PARTITION BY prompt_id) AS weakest FROM (
-  SELECT prompt_id, id, kind, score, matched >= need AS ok FROM best JOIN (SELECT prompt_id, CAST(greatest(1, ceil(count(*) / 3.0)) AS BIGINT) AS need FROM chosen GROUP BY 1) USING (prompt_id) JOIN told USING (id)))
-WHERE ok OR (kind IN ('invariant', 'correction') AND score <= weakest)"""),
-    "r11_side_matches": _told("""SELECT prompt_id, rank, id, stays FROM k WHERE stays UNION ALL SELECT prompt_id, rank, id, stays FROM (
-  SELECT *, dense_rank() OVER (PARTITION BY prompt_id ORDER BY seen) AS nth FROM (SELECT *, min(rank) OVER (PARTITION BY prompt_id, turn) AS seen FROM k WHERE NOT stays)) WHERE nth <= 2""",
-        ", k AS (SELECT b.prompt_id, b.rank, b.id, turn, kind IN ('invariant', 'correction') OR id = max(id) OVER (PARTITION BY prompt_id) AS stays FROM best b JOIN told USING (id))"),
+    "r8_exclusion": _chain("SELECT prompt_id, id, score, best, newest FROM h"),
+    "r9_floor_with_trust": _chain("SELECT prompt_id, id, trust, kept FROM k1 WHERE half"),
+    "r10_floor_with_kinds": _chain("SELECT prompt_id, id, kind, matched, need FROM k3 WHERE enough"),
+    "r11_side_matches": _chain("SELECT prompt_id, id, kind, kept, rank FROM recalled"),
     "r13_cue_derivation": _RECORDS + " SELECT id, unnest(CASE kind WHEN 'invariant' THEN ['session_start', 'post_compact'] ELSE ['session_start'] END) AS event FROM stand WHERE kind IN ('invariant', 'correction')",
     "jn3_event_cues": _RECORDS + f" SELECT id, greatest((SELECT count(*) FROM stand WHERE kind = 'invariant') - {SHOWN}, 0) AS dropped FROM stand WHERE kind = 'invariant' ORDER BY id DESC LIMIT {SHOWN}",
     "r12_cue_evaluation": f"""WITH {_S}, c AS (SELECT store AS record, id % 50 AS grp, CASE WHEN id % 40 = 3 THEN false WHEN id % 3 = 0 THEN CAST(object AS INTEGER) % 5 < 4 WHEN id % 3 = 1 THEN created <= 1705000000000 ELSE relation IN ('error', 'view', 'click') END AS holds FROM s)
 SELECT record, count(*) AS groups, CAST(sum(n) AS BIGINT) AS cues FROM (SELECT record, grp, count(*) AS n FROM c GROUP BY ALL HAVING bool_and(holds)) GROUP BY 1""",
-    "r14_cue_and_lexical": _told("SELECT prompt_id, id, round(sum(1 / (60.0::DOUBLE + rank + 1)), 9) AS fused, count(*) AS lists FROM (SELECT prompt_id, id, rank FROM best UNION ALL SELECT prompt_id, id, rank FROM cue) GROUP BY 1, 2",
-        """, named AS (SELECT DISTINCT prompt_id, subject FROM best JOIN told USING (id)),
-recent AS (SELECT id, subject FROM (SELECT id, subject, row_number() OVER (PARTITION BY subject ORDER BY id DESC) AS rn FROM told WHERE heir IS NULL) WHERE rn <= 3),
-cue AS (SELECT prompt_id, id, row_number() OVER (PARTITION BY prompt_id ORDER BY id DESC) AS rank FROM named JOIN recent USING (subject))"""),
-    "r15_merge_order": _told(f"""SELECT prompt_id, CAST(row_number() OVER (PARTITION BY prompt_id ORDER BY CASE WHEN kind IN ('invariant', 'correction') THEN 0 ELSE 1 END, slot, {_PRIORITY}, score, id DESC) AS INTEGER) AS place, id, slot FROM (
-  SELECT b.*, kind, CAST(row_number() OVER (PARTITION BY prompt_id, kind ORDER BY score, id DESC) AS INTEGER) AS slot FROM best b JOIN told USING (id))"""),
-    "r16_blocks": _told("""SELECT prompt_id, rank, id, row_number() OVER (PARTITION BY prompt_id, body ORDER BY rank) = 1 AS shown FROM (
-  SELECT b.prompt_id, b.rank, b.id, body, row_number() OVER (PARTITION BY prompt_id, turn ORDER BY rank) AS n FROM best b JOIN told USING (id)) WHERE n = 1"""),
+    "r14_cue_and_lexical": _chain("SELECT prompt_id, id, fused, lists FROM fused"),
+    "r15_merge_order": _chain("SELECT prompt_id, place, id, kind FROM merged"),
+    "r16_blocks": _chain("SELECT prompt_id, place, id, cost FROM walk WHERE taken", """, o AS (
+  SELECT *, row_number() OVER (PARTITION BY prompt_id ORDER BY place) AS step FROM (
+    SELECT *, row_number() OVER (PARTITION BY prompt_id, body ORDER BY place) AS b FROM (
+      SELECT m.*, body, CAST(least(ceil(length(body) / 3.0), 200) AS BIGINT) AS cost, row_number() OVER (PARTITION BY prompt_id, m.turn ORDER BY place) AS n FROM merged m JOIN docs USING (id)) WHERE n = 1) WHERE b = 1),
+walk AS (
+  SELECT prompt_id, place, id, cost, step, CASE WHEN cost <= 700 THEN cost ELSE 0 END AS used, cost <= 700 AS taken FROM o WHERE step = 1
+  UNION ALL SELECT o.prompt_id, o.place, o.id, o.cost, o.step, CASE WHEN w.used + o.cost <= 700 THEN w.used + o.cost ELSE w.used END, w.used + o.cost <= 700 FROM walk w JOIN o ON o.prompt_id = w.prompt_id AND o.step = w.step + 1)""").replace("WITH ", "WITH RECURSIVE ", 1),
     "r17_block_validation": r"""SELECT conv_id, turn, NOT regexp_matches(k, '(?m)^(system|assistant|user): ') AND NOT contains(lower(k), 'ignore previous') AS ok FROM (
   SELECT conv_id, turn, regexp_replace(CASE WHEN turn % 3 = 0 THEN role || ': ' ELSE '' END || text, '^assistant: ', '') AS k FROM conversations)""",
     "r20_show_by_ids": _RECORDS + f""", a AS (SELECT DISTINCT CASE WHEN doc_id % 9 = 0 THEN doc_id + 10000000 ELSE doc_id END AS id FROM labels),
