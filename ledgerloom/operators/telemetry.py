@@ -145,16 +145,32 @@ def x15_topic_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").where("role = 'user'").select("conv_id", "turn", F.size(words).cast("bigint").alias("n"), F.array_join(words, " ").alias("words"))
 
 
-def jn10_shared_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of user lines of one conversation that share two topic words or more, and half of the smaller set.
+def shared_words(lines: DataFrame) -> DataFrame:
+    """(store, id, other, shared) of lines (store, id, words): pairs of a store that share two words or more, and half of the smaller set.
 
-    Words are exploded and joined by equality, so that only lines that share a word ever meet; a conversation is a bounded store.
+    Prefix filter: a pair that shares half of the smaller set shares one of each set's
+    first words in any one order; taken is the order of rarity in the store, so that
+    lines meet by rare words alone and not by those that most lines hold.
     """
-    lines = table(spark, sf_dir, "conversations").where("role = 'user'").select("conv_id", "turn", text.topic_words(F.col("text"), 4000).alias("words"))
-    one = lines.select("conv_id", "turn", F.size("words").alias("n"), F.explode("words").alias("word"))
-    other = one.select("conv_id", F.col("turn").alias("other"), F.col("n").alias("m"), "word")
-    met = one.join(other, ["conv_id", "word"]).where("turn < other").groupBy("conv_id", "turn", "other", "n", "m").agg(F.count("*").alias("shared"))
-    return met.where("shared >= 2 AND shared >= 0.5 * least(n, m)").select("conv_id", "turn", "other", "shared")
+    word = lines.select("store", "id", F.size("words").alias("n"), F.explode("words").alias("word"))
+    held = word.groupBy("store", "word").agg(F.count("*").alias("df"))
+    listed = word.join(held, ["store", "word"]).groupBy("store", "id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "word"))).alias("by_df"))
+    # sharing k of n words leaves n - k that may differ: one of the first n - k + 1 is shared
+    needed = F.greatest(F.lit(2), F.ceil(F.lit(0.5) * F.col("n"))).cast("int")
+    first = listed.where("n >= 2").select("store", "id", "n", F.explode(F.slice("by_df", F.lit(1), F.col("n") - needed + 1)).alias("w")).select("store", "id", "n", "w.word")
+    # of a pair, the smaller set needs half of its own words; the larger may hold them anywhere
+    whole = word.where("n >= 2").select("store", F.col("id").alias("with"), F.col("n").alias("m"), "word")
+    pairs = first.join(whole, ["store", "word"]).where("id != with and (n < m or n = m and id < with)").select("store", "id", "with").distinct()
+    sets = lines.select("store", "id", "words")
+    met = pairs.join(sets, ["store", "id"]).join(sets.select("store", F.col("id").alias("with"), F.col("words").alias("others")), ["store", "with"])
+    shared = F.size(F.array_intersect("words", "others"))
+    met = met.withColumn("shared", shared.cast("bigint")).where((F.col("shared") >= 2) & (F.col("shared") >= 0.5 * F.size("words")))
+    return met.select("store", F.least("id", "with").alias("id"), F.greatest("id", "with").alias("other"), "shared")
+
+
+def jn10_shared_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of a source that share topic words, edited copies of one another for the most part."""
+    return shared_words(table(spark, sf_dir, "documents").select(F.col("source").alias("store"), F.col("doc_id").alias("id"), text.topic_words(F.col("text"), 400).alias("words")))
 
 
 def x1_redaction(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -255,8 +271,8 @@ g1 AS (SELECT id, CASE WHEN v > 1735776000000 THEN v // 1000 ELSE v END AS v FRO
 SELECT id, CASE WHEN v BETWEEN 946684800000 AND 1735776000000 THEN v END AS at FROM g3""",
     "flt8_intent_gate": "SELECT conv_id, turn, len(" + _WORDS.format(r"regexp_replace(text, '^\s*/[a-z]+\s*', '')") + ") >= 4 AS retrieves FROM conversations WHERE role = 'user'",
     "x15_topic_words": f"SELECT conv_id, turn, CAST(len(w) AS BIGINT) AS n, array_to_string(w, ' ') AS words FROM (SELECT conv_id, turn, {duck.topic_words('text')} AS w FROM conversations WHERE role = 'user')",
-    "jn10_shared_words": f"""WITH l AS (SELECT conv_id, turn, {duck.topic_words('text', 4000)} AS w FROM conversations WHERE role = 'user')
-SELECT * FROM (SELECT a.conv_id, a.turn, b.turn AS other, CAST(len(list_intersect(a.w, b.w)) AS BIGINT) AS shared, least(len(a.w), len(b.w)) AS small FROM l a JOIN l b ON a.conv_id = b.conv_id AND a.turn < b.turn) WHERE shared >= 2 AND shared >= 0.5 * small""".replace("SELECT * FROM (SELECT a", "SELECT conv_id, turn, other, shared FROM (SELECT a"),
+    "jn10_shared_words": f"""WITH l AS (SELECT source AS store, doc_id AS id, {duck.topic_words('text', 400)} AS w FROM documents)
+SELECT store, id, other, shared FROM (SELECT a.store, a.id, b.id AS other, CAST(len(list_intersect(a.w, b.w)) AS BIGINT) AS shared, least(len(a.w), len(b.w)) AS small FROM l a JOIN l b ON a.store = b.store AND a.id < b.id) WHERE shared >= 2 AND shared >= 0.5 * small""",
     "x1_all_shapes": f"SELECT doc_id, sha256(clean) AS sha FROM (SELECT doc_id, text, {_mask_sql(redaction.redact_sql('text'))} AS clean FROM documents) WHERE text <> clean",
     "x1_redaction": f"SELECT doc_id, sha256(clean) AS sha FROM (SELECT doc_id, text, {_mask_sql()} AS clean FROM documents) WHERE text <> clean",
     "e4_stratified_sample": "SELECT doc_id, lang, source, rn FROM (SELECT doc_id, lang, source, CAST(row_number() OVER (PARTITION BY lang, source ORDER BY md5('s1:' || doc_id), doc_id) AS INTEGER) AS rn FROM documents) WHERE rn <= 5",
