@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.functions import duck, text
+from ledgerloom.functions import duck, stems, text
 from ledgerloom.session import saved, table
 
 K1, B = 1.2, 0.75
@@ -95,10 +95,29 @@ def selected_terms(terms: DataFrame, df: DataFrame, n: int | Column, most: int =
     return scored.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= most)
 
 
-def search(spark: SparkSession, docs: DataFrame, asked: DataFrame, most: int = TERMS) -> tuple[DataFrame, DataFrame]:
-    """(prompt_id, id, score, matched): weighted BM25 of the records that hold a selected term; and the selected terms."""
+def stem_index(spark: SparkSession, docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """As index, of stems: each distinct word of the corpus is stemmed once, and words with a wanted stem count as that stem."""
+    words = token_rows(docs).select("term").where("term <> ''")
+    forms = stems.stemmed(words).join(wanted.select(F.col("term").alias("stem")).distinct(), "stem", "left_semi")
+    forms = saved(spark, forms.union(spark.createDataFrame([("", "")], "term string, stem string")), "forms")
+    met = token_rows(docs).join(F.broadcast(forms) if forms.count() <= BROADCAST_TERMS else forms, "term")
+    return saved(spark, met.groupBy("id", "dl", F.col("stem").alias("term")).agg(F.sum("w").alias("f")), "postings")
+
+
+def expanded(terms: DataFrame, vocabulary: DataFrame, most: int = stems.FORMS) -> DataFrame:
+    """(prompt_id, term, form): for each term that the vocabulary (term) doesn't hold, the first words in order that have its Spanish stem."""
+    missing = terms.join(vocabulary, "term", "left_anti").withColumn("stem", stems.spanish_stem(F.col("term"))).where("stem is not null")
+    forms = vocabulary.select(F.col("term").alias("form"), stems.spanish_stem(F.col("term")).alias("stem")).join(missing.select("stem").distinct(), "stem", "left_semi")
+    first = F.row_number().over(Window.partitionBy("stem").orderBy("form"))
+    return missing.join(forms.withColumn("n", first).where(F.col("n") <= most), "stem").select("prompt_id", "term", "form")
+
+
+def search(spark: SparkSession, docs: DataFrame, asked: DataFrame, most: int = TERMS, stem: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(prompt_id, id, score, matched): weighted BM25 of the records that hold a selected term, or, with stem, a form of it; and the selected terms."""
     terms = saved(spark, prompt_terms(asked), "terms")
-    rows = index(spark, docs, terms)
+    if stem:
+        terms = saved(spark, terms.join(stems.stemmed(terms), "term").select("prompt_id", F.col("stem").alias("term")).distinct(), "stems")
+    rows = stem_index(spark, docs, terms) if stem else index(spark, docs, terms)
     total = F.broadcast(rows.where("term = ''").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")))  # one row
     found = rows.where("term <> ''")
     df = found.groupBy("term").agg(F.count("*").alias("df"))
@@ -240,6 +259,18 @@ def r3_adjacent_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top(bm25(spark, records(spark, sf_dir), asked)).select("prompt_id", "rank", "id", "score", "matched")
 
 
+def r2_stemmed_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As r5, by stems."""
+    return top(search(spark, records(spark, sf_dir), prompts(spark, sf_dir), stem=True)[0]).select("prompt_id", "rank", "id", "score", "matched")
+
+
+def r26_spanish_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each prompt's words in another number, which the corpus doesn't hold for the most part, and the forms that it does hold."""
+    asked = prompt_terms(prompts(spark, sf_dir)).select("prompt_id", F.concat("term", F.lit("as")).alias("term"))
+    vocabulary = saved(spark, token_rows(records(spark, sf_dir)).select("term").where("term <> ''").distinct(), "vocabulary")
+    return expanded(asked, vocabulary)
+
+
 def r18_best_passage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each prompt's best result: the window of 200 characters from the start or a line start with most distinct prompt terms, the first such."""
     docs, asked = records(spark, sf_dir), prompts(spark, sf_dir)
@@ -256,7 +287,7 @@ def r18_best_passage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (r5_bm25_topk, r4_term_selection, r9_relative_floor, r10_absolute_floor, r14_rank_fusion, r19_prefix_budget, r16_greedy_budget, r24_all_words, r3_adjacent_terms, r18_best_passage)
+    for f in (r5_bm25_topk, r4_term_selection, r9_relative_floor, r10_absolute_floor, r14_rank_fusion, r19_prefix_budget, r16_greedy_budget, r24_all_words, r3_adjacent_terms, r2_stemmed_topk, r26_spanish_forms, r18_best_passage)
 }
 
 _COSTS = "costs AS (SELECT b.*, CAST(ceil(length(body) / 3.0) AS BIGINT) AS t FROM best b JOIN docs USING (id))"
@@ -325,3 +356,11 @@ _PLAIN_POSTS = "posts AS (SELECT id, term, sum(w) AS f FROM toks GROUP BY ALL),"
 _RAW = _BASE[_BASE.index("raw_terms AS") : _BASE.index("terms AS (SELECT DISTINCT")]
 _R3 = _BASE.replace(_RAW, "").replace(_PLAIN_POSTS, _RAW + _SEVERAL).replace("PROMPTS", _ADJACENT)
 ORACLES["r3_adjacent_terms"] = f"WITH {_R3}\nSELECT prompt_id, rank, id, score, matched FROM best"
+ORACLES["r26_spanish_forms"] = _sql(
+    "SELECT prompt_id, term, form FROM missing JOIN forms USING (stem) WHERE n <= 6",
+    f""",
+vocabulary AS (SELECT DISTINCT term FROM posts),
+more AS (SELECT prompt_id, term || 'as' AS term FROM terms),
+missing AS (SELECT prompt_id, term, {stems.spanish_stem_sql('term')} AS stem FROM more WHERE term NOT IN (SELECT term FROM vocabulary)),
+forms AS (SELECT term AS form, stem, row_number() OVER (PARTITION BY stem ORDER BY term) AS n FROM (SELECT term, {stems.spanish_stem_sql('term')} AS stem FROM vocabulary) WHERE stem IS NOT NULL)""",
+)
