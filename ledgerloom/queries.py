@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerloom.operators import authorship, bootstrap, evidence, ledger, recall, retrieval, telemetry, turns
+from ledgerloom.operators import acks, authorship, bootstrap, evidence, ledger, recall, retrieval, telemetry, turns
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = [retrieval, ledger, telemetry, recall, turns, authorship, evidence, bootstrap]
+MODULES = [retrieval, ledger, telemetry, recall, turns, authorship, evidence, bootstrap, acks]
 
 
 def queries() -> dict[str, Query]:
