@@ -115,6 +115,6 @@ def m5_acknowledged(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {"m5_acknowledged": m5_acknowledged}
 ORACLES = {
     "m5_acknowledged": """WITH d AS (SELECT o_custkey AS store, o_orderkey AS id, o_orderkey % 7 AS part, (o_orderkey % 7 + 1) % 7 AS was, o_orderkey % 6 < 4 AS says, o_orderkey % 5 AS pad FROM orders),
-m AS (SELECT n.store, n.id AS by, n.was, o.id, row_number() OVER (PARTITION BY n.store, n.id ORDER BY o.pad, o.id) AS k FROM d n JOIN d o ON o.store = n.store AND o.part = n.was AND o.id < n.id WHERE n.says)
-SELECT id, min(by) AS by, 'part' || min_by(was, by) AS value FROM m WHERE k = 1 GROUP BY store, id"""
+m AS (SELECT n.store, n.id AS b, n.was, o.id, row_number() OVER (PARTITION BY n.store, n.id ORDER BY o.pad, o.id) AS k FROM d n JOIN d o ON o.store = n.store AND o.part = n.was AND o.id < n.id WHERE n.says)
+SELECT id, min(b) AS by, 'part' || min_by(was, b) AS value FROM m WHERE k = 1 GROUP BY store, id"""
 }
