@@ -109,10 +109,10 @@ def st4_stuck_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (st5_held_turns, m15_grown_turns, st4_stuck_runs)}
 
-_LINES = """l AS (SELECT user_id AS session, epoch_ms(ts) AS at, event_id AS i, event_id * 100 AS b, event_id * 100 + 100 AS e, CASE WHEN event_type IN ('view', 'signup') THEN 'user' WHEN event_type = 'error' THEN 'end' ELSE 'assistant' END AS role FROM events),
-c AS (SELECT max(at) AS now FROM l),
+_LINES = """l AS (SELECT user_id AS session, epoch_us(ts) // 1000 AS tm, event_id AS i, event_id * 100 AS b, event_id * 100 + 100 AS e, CASE WHEN event_type IN ('view', 'signup') THEN 'user' WHEN event_type = 'error' THEN 'end' ELSE 'assistant' END AS role FROM events),
+c AS (SELECT max(tm) AS now FROM l),
 s AS (SELECT l.*, sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER w AS turn, lead(role) OVER w AS following,
-  CASE WHEN role = 'end' THEN 'end' WHEN coalesce(lead(at) OVER w, now) - at >= 21600000 THEN 'idle' END AS breaks FROM l, c WINDOW w AS (PARTITION BY session ORDER BY b)),
+  CASE WHEN role = 'end' THEN 'end' WHEN coalesce(lead(tm) OVER w, now) - tm >= 21600000 THEN 'idle' END AS breaks FROM l, c WINDOW w AS (PARTITION BY session ORDER BY b)),
 r AS (SELECT *, count(breaks) OVER (PARTITION BY session, turn ORDER BY b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reading, coalesce(breaks, CASE WHEN following = 'user' THEN 'prompt' END) AS shut FROM s WHERE turn > 0),
 g AS (SELECT session, turn, reading, max(e) FILTER (role <> 'end') AS e, min(b) FILTER (role = 'user') AS b, count(*) FILTER (role = 'assistant') AS n, arg_max(coalesce(shut, 'none'), b) AS shut FROM r GROUP BY ALL),
 t AS (SELECT session, first_value(b) OVER w AS "begin", e AS "end", CAST(sum(n) OVER w AS BIGINT) AS answers, nullif(shut, 'none') AS closed, lag(e) OVER w AS replaces FROM g WHERE e IS NOT NULL WINDOW w AS (PARTITION BY session, turn ORDER BY reading)),
@@ -123,8 +123,8 @@ ORACLES = {
     "m15_grown_turns": f"""WITH {_LINES}, ep AS (SELECT session, "end" AS ref, "end" + unnest(range(CASE WHEN answers > 0 THEN 2 ELSE 1 END)) AS id FROM turns WHERE what <> 'held'),
 h AS (SELECT g.session, g.replaces AS ref, min(ep.id) AS heir FROM turns g JOIN ep ON ep.session = g.session AND ep.ref = g."end" WHERE g.what = 'grown' GROUP BY ALL)
 SELECT ep.id, ep.session, ep.ref, h.heir AS by, CASE WHEN h.heir IS NOT NULL THEN 'answered' END AS via FROM ep LEFT JOIN h ON h.session = ep.session AND h.ref = ep.ref""",
-    "st4_stuck_runs": """WITH r AS (SELECT user_id % 3 AS hook, user_id AS session, epoch_ms(ts) AS at, event_type IN ('click', 'view') AS begins FROM events),
-s AS (SELECT *, lead(at) OVER (PARTITION BY hook, session ORDER BY at) AS next_at FROM r),
-c AS (SELECT unnest(range(min(at) // 3600000, max(at) // 3600000 + 1)) * 3600000 + 3600000 AS clock FROM r)
-SELECT clock, hook, session, at AS started_at FROM s JOIN c ON clock - at BETWEEN 120000 AND 3599999 WHERE begins AND (next_at IS NULL OR next_at > clock)""",
+    "st4_stuck_runs": """WITH r AS (SELECT user_id % 3 AS hook, user_id AS session, epoch_us(ts) // 1000 AS tm, event_type IN ('click', 'view') AS begins FROM events),
+s AS (SELECT *, lead(tm) OVER (PARTITION BY hook, session ORDER BY tm) AS next_at FROM r),
+c AS (SELECT unnest(range(min(tm) // 3600000, max(tm) // 3600000 + 1)) * 3600000 + 3600000 AS clock FROM r)
+SELECT clock, hook, session, tm AS started_at FROM s JOIN c ON clock - tm BETWEEN 120000 AND 3599999 WHERE begins AND (next_at IS NULL OR next_at > clock)""",
 }
