@@ -401,6 +401,9 @@ def linked_rows(spark: SparkSession, docs: DataFrame, width: int = WIDTH, need:
     bounded_batches(spark)
     members = saved(spark, sets(docs, width, need), "sets")
     classes = saved(spark, members.where("n > 0").groupBy("fp", "n", "sketch", "codes", "local").agg(F.min("doc_id").alias("doc_id")), "classes")
+    # of the rows, sketches are of no more use
+    whole, members = members, saved(spark, members.select("row", "doc_id", "n", "fp"), "members")
+    forget(spark, whole)
     reps, shape = classes.select("fp", "doc_id"), classes.select("fp", "n", "sketch")
 
     is_large, fp = F.col("key").bitwiseAND(1) == 1, F.col("fp").bitwiseAND(-2)
