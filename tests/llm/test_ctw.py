@@ -126,3 +126,14 @@ def test_empty_and_untrained(spark, tmp_path):
 def test_depth_stays_with_more_than_a_million_grams(spark):
     grams = spark.range(1_100_000).select(F.xxhash64("id").bitwiseAND((1 << 48) - 1).alias("gram"), F.lit(1).cast("long").alias("n")).dropDuplicates(["gram"])
     assert ctw.train(spark, grams).where("log < 0").count() > 1_000_000
+
+
+@pytest.mark.parametrize("n", [0, 1, 7, 5000])
+def test_frequent_grams_are_found(n):
+    rnd = np.random.default_rng(n)
+    keys = np.unique(rnd.integers(0, 1 << 48, n, dtype=np.uint64))
+    hot = ctw.Hot(keys, np.arange(len(keys)) * 0.5)
+    asked = np.concatenate([keys, rnd.integers(0, 1 << 48, 1000, dtype=np.uint64), keys[:3]])
+    at = hot.find(asked)
+    where = {int(k): i * 0.5 for i, k in enumerate(keys)}
+    assert [None if a < 0 else hot.logs[a] for a in at] == [where.get(int(k)) for k in asked]
