@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ledgerloom.operators import acks, authorship, bootstrap, evidence, ledger, recall, retrieval, telemetry, turns
+from ledgerloom.sources import imports
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = [retrieval, ledger, telemetry, recall, turns, authorship, evidence, bootstrap, acks]
+MODULES = [retrieval, ledger, telemetry, recall, turns, authorship, evidence, bootstrap, acks, imports]
 
 
 def queries() -> dict[str, Query]:
