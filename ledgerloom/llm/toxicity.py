@@ -105,14 +105,20 @@ def most_of(label: int, counts: dict[int, int], max_train: int) -> int:
     return max_train - min(counts.get(1 - label, 0), max_train // 2)
 
 
-def train(spark: SparkSession, labelled: DataFrame, epochs: int = EPOCHS, max_train: int = MAX_TRAIN) -> dict[int, float]:
-    """Weights by feature number, and the bias at -1, from the columns doc_id, text and label (0 or 1)."""
+def train(spark: SparkSession, labelled: DataFrame, epochs: int = EPOCHS, max_train: int = MAX_TRAIN, texts: DataFrame | None = None) -> dict[int, float]:
+    """Weights by feature number, and the bias at -1, from the columns doc_id, text and label (0 or 1).
+
+    Where texts (doc_id, text) are given, text is read from them: only the sample, about
+    max_train rows of ids, is sent to them, so that no text is shuffled.
+    """
     bounded_batches(spark)
     counts = {r.label: r["count"] for r in labelled.groupBy("label").count().collect()}
     if not counts:
         return {-1: 0.0}
     h = F.xxhash64("doc_id", F.lit("ftrl"))
     sample = labelled.where(F.when(F.col("label") == 1, picked(h, most_of(1, counts, max_train), counts.get(1, 0))).otherwise(picked(h, most_of(0, counts, max_train), counts.get(0, 0))))
+    if texts is not None:
+        sample = texts.join(F.broadcast(sample.select("doc_id", "label").distinct()), "doc_id")
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in by_bytes(batches):
@@ -163,13 +169,13 @@ def learning_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
-    model = train(spark, learning_rows(docs, table(spark, sf_dir, "labels", "doc_id", "toxic")))
+    model = train(spark, learning_rows(docs, table(spark, sf_dir, "labels", "doc_id", "toxic")), texts=docs.select("doc_id", "text"))
     return score(spark, docs, model, ["doc_id"]).select("doc_id", (id_remainder("doc_id", 3) == 1).alias("held_out"), "score", "predicted")
 
 
 def keep_clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents predicted toxic go."""
-    model = train(spark, learning_rows(docs, table(spark, sf_dir, "labels", "doc_id", "toxic")))
+    model = train(spark, learning_rows(docs, table(spark, sf_dir, "labels", "doc_id", "toxic")), texts=docs.select("doc_id", "text"))
     return score(spark, docs.select(F.struct("*").alias("doc"), "text"), model, ["doc"]).where("predicted = 0").select("doc.*")
 
 
