@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.session import forget, saved
 
-__all__ = ["bounded_batches", "by_bytes", "forget", "frequent", "id_remainder", "level", "picked", "saved", "table"]
+__all__ = ["bounded_batches", "by_bytes", "forget", "frequent", "give_back", "id_remainder", "level", "picked", "saved", "table"]
 
 #: Bytes of one Arrow batch that Spark sends to a Python worker, about, and of texts that a function works on at a time.
 ARROW_BYTES, TEXT_BYTES = 8 << 20, 1 << 20
@@ -30,8 +31,14 @@ def bounded_batches(spark: SparkSession, most: int = ARROW_BYTES) -> None:
         spark.conf.set(name, str(most))
 
 
+def give_back() -> None:
+    """Freed memory that this process's allocators keep goes back to the system: workers are reused, and what they keep counts for their executor while later stages run."""
+    pa.default_memory_pool().release_unused()
+    getattr(ctypes.CDLL(None), "malloc_trim", lambda _: 0)(0)  # glibc's; other C libraries have none
+
+
 def by_bytes(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = TEXT_BYTES) -> Iterator[pa.RecordBatch]:
-    """The batches in slices whose column holds at most so many bytes, or one row."""
+    """The batches in slices whose column holds at most so many bytes, or one row; at their end, freed memory is given back."""
     for b in batches:
         upto = np.cumsum(pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
         at = 0
@@ -39,6 +46,8 @@ def by_bytes(batches: Iterator[pa.RecordBatch], column: str = "text", most: int
             end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + most, "right")))
             yield b.slice(at, end - at)
             at = end
+    b = upto = None
+    give_back()
 
 
 def picked(h: Column, most: int, total: int) -> Column:

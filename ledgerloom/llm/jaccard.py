@@ -71,6 +71,8 @@ PART, PARTS, LOCAL, FOLDED = 512, 1 << 10, 8, 2
 PART_BITS = (PARTS << 1) - 1
 #: Rows of (document, comparison) that are broadcast to the scan of the texts; more are joined by doc_id.
 BROADCAST_ROWS = 300_000
+#: Bytes of an Arrow batch, and of texts whose sets are made at a time: a set's arrays take many times its text. Results are the same with any.
+BATCH_BYTES, SETS_BYTES = 2 << 20, 1 << 18
 #: Words whose hashes a task keeps, and fingerprints it knows it has passed on.
 CACHE = 1 << 17
 U = np.uint64
@@ -273,7 +275,7 @@ def sets(docs: DataFrame, width: int = WIDTH, need: int = NEED) -> DataFrame:
     """(row, doc_id, n, fp, sketch, codes, local): size, fingerprint, sketch and parts' sketches, end to end, of each row's set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in by_bytes(batches):
+        for b in by_bytes(batches, most=SETS_BYTES):
             found = Sets(b.column("text").to_pylist(), width, need)
             longs = [pa.array(x, pa.list_(pa.int64())) for x in (found.sketches(), *found.local())]
             yield pa.RecordBatch.from_arrays([b.column("row"), b.column("doc_id"), pa.array(found.n), pa.array(found.fingerprints()), *longs], ["row", "doc_id", "n", "fp", "sketch", "codes", "local"])
@@ -286,7 +288,7 @@ def bucket_rows(docs: DataFrame, width: int, need: int, large: np.ndarray) -> Da
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         passed: set[int] = set()
-        for b in by_bytes(batches):
+        for b in by_bytes(batches, most=SETS_BYTES):
             if len(passed) > CACHE:
                 passed.clear()
             found = Sets(b.column("text").to_pylist(), width, need)
@@ -358,7 +360,7 @@ def verified(spark: SparkSession, docs: DataFrame, reps: DataFrame, pairs: DataF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = centre = None
-        for b in by_bytes(batches):
+        for b in by_bytes(batches, most=SETS_BYTES):
             left, right = [], []
             found = Sets(b.column("text").to_pylist(), width, need)
             own = found.fingerprints().tolist()
@@ -398,7 +400,7 @@ def components(spark: SparkSession, links: DataFrame) -> DataFrame:
 
 def linked_rows(spark: SparkSession, docs: DataFrame, width: int = WIDTH, need: int = NEED) -> DataFrame:
     """(row, doc_id, n, group, component_id) of each row of docs (row, doc_id, text); group is null for empty sets."""
-    bounded_batches(spark)
+    bounded_batches(spark, BATCH_BYTES)
     members = saved(spark, sets(docs, width, need), "sets")
     classes = saved(spark, members.where("n > 0").groupBy("fp", "n", "sketch", "codes", "local").agg(F.min("doc_id").alias("doc_id")), "classes")
     # of the rows, sketches are of no more use

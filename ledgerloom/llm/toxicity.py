@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerloom.llm.common import bounded_batches, by_bytes, id_remainder, picked, table
+from ledgerloom.llm.common import bounded_batches, by_bytes, give_back, id_remainder, picked, table
 
 BITS = 20
 #: Rows that training reads, about.
@@ -136,6 +136,8 @@ def train(spark: SparkSession, labelled: DataFrame, epochs: int = EPOCHS, max_tr
                 model.learn(np.frombuffer(rows[k][2], np.uint32), rows[k][1], share[rows[k][1]])
         i = np.flatnonzero(np.abs(model.z) > L1)
         yield pd.DataFrame({"feature": np.append(i, -1).astype(np.int32), "weight": np.append(model.weights(i), model.bias())})
+        del rows, model
+        give_back()
 
     shorts = sample.select(h.alias("h"), "label", "text").mapInArrow(hashed, "h bigint, label int, found binary")
     return {r.feature: r.weight for r in shorts.repartition(1).mapInPandas(fit, MODEL).collect()}
