@@ -38,11 +38,11 @@ import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import bounded_batches, by_bytes, table
+from ledgerloom.llm.common import STAGE_BYTES, bounded_batches, by_bytes, forgetful, table
 
 CHUNK_CHARS, OVERLAP_CHARS = 1 << 15, 1 << 10
 #: Pre-tokens that each of a task's two generations of cached ones keeps, about.
-CACHE = 1 << 18
+CACHE = 1 << 17
 #: Pre-tokens up to this many characters are cached.
 CACHED_CHARS = 48
 
@@ -70,9 +70,7 @@ class Coder:
         self.bytes_of = {rank: token for token, rank in ranks.items()}
         self.names = {rank: str(rank) for rank in self.bytes_of}
         self.pieces = regex.compile(pattern)
-        self.ids: dict[str, str] = {}
-        self.raw: dict[str, bytes] = {}
-        self.older: tuple[dict[str, str], dict[str, bytes]] = ({}, {})
+        self.forget()
         # which token any two make together
         pairs = {left << 20 | right: rank for token, rank in ranks.items() for i in range(1, len(token)) if (left := ranks.get(token[:i])) is not None and (right := ranks.get(token[i:])) is not None}
         self.pairs = np.sort(np.fromiter(pairs, np.int64, len(pairs)))
@@ -85,6 +83,17 @@ class Coder:
             cls._made[path, pattern] = cls(path, pattern)
         return cls._made[path, pattern]
 
+    def forget(self) -> None:
+        self.ids: dict[str, str] = {}
+        self.raw: dict[str, bytes] = {}
+        self.older: tuple[dict[str, str], dict[str, bytes]] = ({}, {})
+
+    @classmethod
+    def forget_all(cls) -> None:
+        """Empties the caches of pre-tokens, which are larger than all else here; the tables stay."""
+        for coder in cls._made.values():
+            coder.forget()
+
     def together(self, pairs: np.ndarray) -> np.ndarray:
         """The rank of what each two tokens make together, or NONE."""
         at = np.minimum(np.searchsorted(self.pairs, pairs), len(self.pairs) - 1)
@@ -203,7 +212,7 @@ def _windows(docs: DataFrame, chunk: int, overlap: int) -> DataFrame:
                     window = text[k * chunk : (k + 1) * chunk + overlap]
                     yield pa.RecordBatch.from_arrays([pa.array([doc_id], pa.int64()), pa.array([row]), pa.array([k], pa.int32()), pa.array([k == last]), pa.array([window])], ["doc_id", "row", "k", "is_last", "window"])
 
-    return docs.select("doc_id", "row", "text").mapInArrow(cut, "doc_id bigint, row bigint, k int, is_last boolean, window string")
+    return docs.select("doc_id", "row", "text").mapInArrow(forgetful(cut), "doc_id bigint, row bigint, k int, is_last boolean, window string")
 
 
 def _with_boundaries(windows: DataFrame, path: str, pattern: str, chunk: int, overlap: int) -> DataFrame:
@@ -219,7 +228,7 @@ def _with_boundaries(windows: DataFrame, path: str, pattern: str, chunk: int, ov
                 tails.append([i - chunk for i in at if chunk <= i < chunk + overlap - 1])
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(heads, pa.list_(pa.int32())), pa.array(tails, pa.list_(pa.int32()))], [*b.schema.names, "head", "tail"])
 
-    return windows.mapInArrow(mark, "doc_id bigint, row bigint, k int, is_last boolean, window string, head array<int>, tail array<int>")
+    return windows.mapInArrow(forgetful(mark), "doc_id bigint, row bigint, k int, is_last boolean, window string, head array<int>, tail array<int>")
 
 
 def _pieces(marked: DataFrame, chunk: int) -> DataFrame:
@@ -256,7 +265,7 @@ def _short(docs: DataFrame, path: str, pattern: str, kinds: str) -> DataFrame:
                 rows.append((n, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(raw).hexdigest()) if kinds == DIGESTS else (n, numbers(ids), raw))
             yield _batch(b.column("doc_id").to_pylist(), rows, kinds)
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id bigint, {kinds}")
+    return docs.select("doc_id", "text").mapInArrow(forgetful(run, Coder.forget_all), f"doc_id bigint, {kinds}")
 
 
 def _long(pieces: DataFrame, path: str, pattern: str, kinds: str) -> DataFrame:
@@ -292,9 +301,9 @@ def _long(pieces: DataFrame, path: str, pattern: str, kinds: str) -> DataFrame:
         if at is not None:
             yield out()
 
-    coded = pieces.select("doc_id", "row", "piece_no", "piece").mapInArrow(code, "doc_id bigint, row bigint, piece_no bigint, ids array<int>, decoded binary")
+    coded = pieces.select("doc_id", "row", "piece_no", "piece").mapInArrow(forgetful(code, Coder.forget_all), "doc_id bigint, row bigint, piece_no bigint, ids array<int>, decoded binary")
     dealt = coded.repartition("doc_id", "row").sortWithinPartitions("doc_id", "row", "piece_no")
-    return dealt.mapInArrow(gather, f"doc_id bigint, {kinds}")
+    return dealt.mapInArrow(forgetful(gather), f"doc_id bigint, {kinds}")
 
 
 def encode(spark: SparkSession, docs: DataFrame, path: str, pattern: str = public_tokenizers.PATTERN, chunk_chars: int = CHUNK_CHARS, overlap_chars: int = OVERLAP_CHARS, digest: bool = False) -> DataFrame:
@@ -333,6 +342,7 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def encode_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: (doc_id, n_tokens, ids) of each document."""
+    bounded_batches(spark, STAGE_BYTES)
     return encode(spark, docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken")).select("doc_id", "n_tokens", "ids")
 
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import ctypes
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -13,10 +13,12 @@ from pyspark.sql import functions as F
 
 from ledgerloom.session import forget, saved
 
-__all__ = ["bounded_batches", "by_bytes", "forget", "frequent", "give_back", "id_remainder", "level", "picked", "saved", "table"]
+__all__ = ["bounded_batches", "by_bytes", "forget", "forgetful", "frequent", "give_back", "id_remainder", "level", "picked", "saved", "table"]
 
 #: Bytes of one Arrow batch that Spark sends to a Python worker, about, and of texts that a function works on at a time.
 ARROW_BYTES, TEXT_BYTES = 8 << 20, 1 << 20
+#: Bytes of such a batch in the pipeline, whose stages share their workers and executors.
+STAGE_BYTES = 2 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -37,6 +39,20 @@ def give_back() -> None:
     getattr(ctypes.CDLL(None), "malloc_trim", lambda _: 0)(0)  # glibc's; other C libraries have none
 
 
+def forgetful(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], *clear: Callable[[], None]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, a function of a task; where it ends, also early or by an error, its caches are emptied by clear and its memory is given back, so that it doesn't count in the stages that come after in the same worker."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            for f in clear:
+                f()
+            give_back()
+
+    return task
+
+
 def by_bytes(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = TEXT_BYTES) -> Iterator[pa.RecordBatch]:
     """The batches in slices whose column holds at most so many bytes, or one row; at their end, freed memory is given back."""
     for b in batches:

@@ -54,7 +54,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import bounded_batches, by_bytes, forget, frequent, level, saved, table
+from ledgerloom.llm.common import STAGE_BYTES, bounded_batches, by_bytes, forget, forgetful, frequent, level, saved, table
 
 #: What op10 is asked for: words of a shingle, per cent of similarity; the pipeline's stage is asked for STAGE_WIDTH and STAGE_NEED.
 WIDTH, NEED = 4, 85
@@ -71,8 +71,8 @@ PART, PARTS, LOCAL, FOLDED = 512, 1 << 10, 8, 2
 PART_BITS = (PARTS << 1) - 1
 #: Rows of (document, comparison) that are broadcast to the scan of the texts; more are joined by doc_id.
 BROADCAST_ROWS = 300_000
-#: Bytes of an Arrow batch, and of texts whose sets are made at a time: a set's arrays take many times its text. Results are the same with any.
-BATCH_BYTES, SETS_BYTES = 2 << 20, 1 << 18
+#: Bytes of texts whose sets are made at a time: a set's arrays take many times its text. Results are the same with any.
+SETS_BYTES = 1 << 18
 #: Words whose hashes a task keeps, and fingerprints it knows it has passed on.
 CACHE = 1 << 17
 U = np.uint64
@@ -95,6 +95,10 @@ class _Hashes(dict):
 _hashes = _Hashes()
 
 
+def forget_hashes() -> None:
+    _hashes.clear()
+
+
 class Sets:
     """The sets of some texts, end to end: ``flat`` holds each text's sorted distinct shingle hashes, ``n`` how many."""
 
@@ -280,7 +284,7 @@ def sets(docs: DataFrame, width: int = WIDTH, need: int = NEED) -> DataFrame:
             longs = [pa.array(x, pa.list_(pa.int64())) for x in (found.sketches(), *found.local())]
             yield pa.RecordBatch.from_arrays([b.column("row"), b.column("doc_id"), pa.array(found.n), pa.array(found.fingerprints()), *longs], ["row", "doc_id", "n", "fp", "sketch", "codes", "local"])
 
-    return docs.select("row", F.col("doc_id").cast("bigint"), "text").mapInArrow(run, "row bigint, doc_id bigint, n bigint, fp bigint, sketch array<bigint>, codes array<bigint>, local array<bigint>")
+    return docs.select("row", F.col("doc_id").cast("bigint"), "text").mapInArrow(forgetful(run, forget_hashes), "row bigint, doc_id bigint, n bigint, fp bigint, sketch array<bigint>, codes array<bigint>, local array<bigint>")
 
 
 def bucket_rows(docs: DataFrame, width: int, need: int, large: np.ndarray) -> DataFrame:
@@ -303,7 +307,7 @@ def bucket_rows(docs: DataFrame, width: int, need: int, large: np.ndarray) -> Da
             keys = keys[held] | np.isin(keys[held], large)
             yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(fps[who[held]] | own[held])], ["key", "fp"])
 
-    return docs.select("text").mapInArrow(run, "key bigint, fp bigint")
+    return docs.select("text").mapInArrow(forgetful(run, forget_hashes), "key bigint, fp bigint")
 
 
 def large_buckets(spark: SparkSession, docs: DataFrame, width: int, need: int) -> np.ndarray:
@@ -377,7 +381,7 @@ def verified(spark: SparkSession, docs: DataFrame, reps: DataFrame, pairs: DataF
                         left.append(a), right.append(fp)
             yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
 
-    return rows.select("a", "part", "fp", "text").mapInArrow(run, "a bigint, b bigint").distinct()
+    return rows.select("a", "part", "fp", "text").mapInArrow(forgetful(run, forget_hashes), "a bigint, b bigint").distinct()
 
 
 def components(spark: SparkSession, links: DataFrame) -> DataFrame:
@@ -400,7 +404,7 @@ def components(spark: SparkSession, links: DataFrame) -> DataFrame:
 
 def linked_rows(spark: SparkSession, docs: DataFrame, width: int = WIDTH, need: int = NEED) -> DataFrame:
     """(row, doc_id, n, group, component_id) of each row of docs (row, doc_id, text); group is null for empty sets."""
-    bounded_batches(spark, BATCH_BYTES)
+    bounded_batches(spark, STAGE_BYTES)
     members = saved(spark, sets(docs, width, need), "sets")
     classes = saved(spark, members.where("n > 0").groupBy("fp", "n", "sketch", "codes", "local").agg(F.min("doc_id").alias("doc_id")), "classes")
     # of the rows, sketches are of no more use

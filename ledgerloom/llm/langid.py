@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerloom.llm.common import bounded_batches, by_bytes, id_remainder, table
+from ledgerloom.llm.common import STAGE_BYTES, bounded_batches, by_bytes, forgetful, id_remainder, table
 
 PASSAGES, PASSAGE_CHARS = 64, 2048
 BLOCK, LEVEL = 1024, 6
@@ -111,7 +111,7 @@ def predict(spark: SparkSession, docs: DataFrame, dicts: list[tuple[str, bytes]]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), *cols], [*keep, "lang_pred", "score", "margin", "rejected"])
 
     schema = T.StructType([*(docs.schema[c] for c in keep), *COLUMNS])
-    return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(run, schema)
+    return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(forgetful(run), schema)
 
 
 def learning_rows(docs: DataFrame) -> DataFrame:
@@ -127,6 +127,7 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents whose language can't be told go."""
+    bounded_batches(spark, STAGE_BYTES)
     rows = docs.select(F.struct("*").alias("doc"), "text")
     return predict(spark, rows, dictionaries(learning_rows(docs)), ["doc"]).where("not rejected").select("doc.*")
 

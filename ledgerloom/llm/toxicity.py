@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerloom.llm.common import bounded_batches, by_bytes, give_back, id_remainder, picked, table
+from ledgerloom.llm.common import STAGE_BYTES, bounded_batches, by_bytes, forgetful, give_back, id_remainder, picked, table
 
 BITS = 20
 #: Rows that training reads, about.
@@ -51,6 +51,10 @@ CACHE = 1 << 19
 _hashes: dict[bytes, int] = {}
 
 
+def forget_hashes() -> None:
+    _hashes.clear()
+
+
 def features(text: str | None) -> np.ndarray:
     """The sorted distinct feature numbers of a text."""
     words = WORD.findall(text.lower().encode()) if text else []
@@ -139,27 +143,28 @@ def train(spark: SparkSession, labelled: DataFrame, epochs: int = EPOCHS, max_tr
         del rows, model
         give_back()
 
-    shorts = sample.select(h.alias("h"), "label", "text").mapInArrow(hashed, "h bigint, label int, found binary")
+    shorts = sample.select(h.alias("h"), "label", "text").mapInArrow(forgetful(hashed, forget_hashes), "h bigint, label int, found binary")
     return {r.feature: r.weight for r in shorts.repartition(1).mapInPandas(fit, MODEL).collect()}
 
 
 def score(spark: SparkSession, docs: DataFrame, model: dict[int, float], keep: list[str]) -> DataFrame:
     """keep (columns of docs), with score (0 to 1) and predicted (1 from THRESHOLD on) of the column text."""
     bounded_batches(spark)
-    shared = spark.sparkContext.broadcast(model)
+    # arrays: as a dict, a worker would hold some ten times the bytes until its next task
+    places = np.array([i for i in model if i >= 0], np.int32)
+    shared = spark.sparkContext.broadcast((places, np.array([model[i] for i in places.tolist()], np.float64), model[-1]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = np.zeros(1 << BITS)
-        places = [i for i in shared.value if i >= 0]
-        weights[places] = [shared.value[i] for i in places]
-        bias = shared.value[-1]
+        at, values, bias = shared.value
+        weights[at] = values
         for b in by_bytes(batches):
             sums = np.array([bias + weights[features(t)].sum() for t in b.column("text").to_pylist()], np.float64)
             p = 1 / (1 + np.exp(-np.clip(sums, -35, 35)))
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(p), pa.array((p >= THRESHOLD).astype(np.int32))], [*keep, "score", "predicted"])
 
     schema = T.StructType([*(docs.schema[c] for c in keep), *T.StructType().add("score", "double").add("predicted", "integer")])
-    return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(run, schema)
+    return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(forgetful(run, forget_hashes), schema)
 
 
 def learning_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -177,6 +182,7 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def keep_clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents predicted toxic go."""
+    bounded_batches(spark, STAGE_BYTES)
     model = train(spark, learning_rows(docs, table(spark, sf_dir, "labels", "doc_id", "toxic")), texts=docs.select("doc_id", "text"))
     return score(spark, docs.select(F.struct("*").alias("doc"), "text"), model, ["doc"]).where("predicted = 0").select("doc.*")
 
