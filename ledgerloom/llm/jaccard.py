@@ -45,11 +45,11 @@ two shingles a hash, with a probability of about pairs / 2**63.
 from __future__ import annotations
 
 import functools
-import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -73,9 +73,12 @@ PART_BITS = (PARTS << 1) - 1
 BROADCAST_ROWS = 300_000
 #: Bytes of texts whose sets are made at a time: a set's arrays take many times its text. Results are the same with any.
 SETS_BYTES = 1 << 18
-#: Words whose hashes a task keeps, and fingerprints it knows it has passed on.
+#: Fingerprints that a task knows it has passed on.
 CACHE = 1 << 17
+#: Words of up to so many times eight bytes are hashed together, longer ones one by one.
+BLOCKS = 16
 U = np.uint64
+MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], U)
 EVEN = ~U(1)
 
 
@@ -86,44 +89,96 @@ def mixed(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> U(31))
 
 
-class _Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
-_hashes = _Hashes()
+#: The arrays in which a task hashes words, by use: the next slice of texts takes them over.
+_hashes: dict[str, np.ndarray] = {}
 
 
 def forget_hashes() -> None:
     _hashes.clear()
 
 
+def scratch(use: str, n: int) -> np.ndarray:
+    """An array of n numbers, valid until the next call for this use."""
+    held = _hashes.get(use)
+    if held is None or len(held) < n:
+        held = _hashes[use] = np.empty(n + n // 4 + 1, U)
+    return held[:n]
+
+
+def stir(x: np.ndarray) -> np.ndarray:
+    """mixed(x), in place."""
+    t = scratch("mixed", len(x))
+    for bits, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB), (31, None)):
+        np.bitwise_xor(x, np.right_shift(x, U(bits), out=t), out=x)
+        if factor:
+            np.multiply(x, U(factor), out=x)
+    return x
+
+
+def words_of(texts: list[str | None] | pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of all words, end to end, until the next call; how many words each text has). Equal words have equal hashes, in any text and slice."""
+    column = pc.fill_null(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()), "").cast(pa.large_binary())
+    if not len(column):
+        return np.zeros(0, U), np.zeros(0, np.int64)
+    _, offsets, data = column.buffers()
+    upto = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
+    n, text = int(upto[-1] - upto[0]), memoryview(data or b"")[upto[0] : upto[-1]].tobytes().lower() + bytes(8)
+    upto = upto - upto[0]
+    letters = np.frombuffer(text, np.uint8, n)
+    inside = (letters != 32) & (letters - np.uint8(9) > 4)
+    first, last = inside.copy(), inside.copy()
+    first[1:] &= ~inside[:-1]
+    last[:-1] &= ~inside[1:]
+    # where a text begins, so does its first word, whatever the text before it ends with
+    cut = upto[:-1][(upto[:-1] > 0) & (upto[:-1] < n)]
+    first[cut], last[cut - 1] = inside[cut], inside[cut - 1]
+    start = np.flatnonzero(first)
+    size = np.flatnonzero(last) + 1 - start
+    # eight bytes at a time, from any place; what lies behind a word's end is masked
+    eight = np.ndarray(n + 1, "<u8", text, strides=(1,))
+    h = scratch("words", len(start))
+    np.multiply(size.astype(U), U(0x9E3779B97F4A7C15), out=h)
+    h += eight[start] & MASKS[np.minimum(size, 8)]
+    stir(h)
+    more = np.flatnonzero((size > 8) & (size <= 8 * BLOCKS))
+    for k in range(8, 8 * BLOCKS, 8):
+        more = more[size[more] > k]
+        if not len(more):
+            break
+        h[more] = stir(h[more] * U(0x9E3779B97F4A7C15) + (eight[start[more] + k] & MASKS[np.minimum(size[more] - k, 8)]))
+    for i in np.flatnonzero(size > 8 * BLOCKS).tolist():
+        h[i] = xxhash.xxh3_64_intdigest(text[start[i] : start[i] + size[i]])
+    return h, np.diff(np.searchsorted(start, upto))
+
+
 class Sets:
     """The sets of some texts, end to end: ``flat`` holds each text's sorted distinct shingle hashes, ``n`` how many."""
 
-    def __init__(self, texts: list[str | None], width: int = WIDTH, need: int = NEED):
+    def __init__(self, texts: list[str | None] | pa.Array, width: int = WIDTH, need: int = NEED):
         self.need = need
-        if len(_hashes) > CACHE:
-            _hashes.clear()
-        words = [(t or "").encode().lower().split() for t in texts]
-        sizes = np.fromiter(map(len, words), np.int64, len(words))
-        total = int(sizes.sum())
-        h = np.fromiter(map(_hashes.__getitem__, itertools.chain.from_iterable(words)), U, total)
+        h, sizes = words_of(texts)
         # a text of fewer than width words is one shingle, as wide as it has words
         wide = np.minimum(sizes, width)
         many = np.where(sizes > 0, sizes - wide + 1, 0)
-        start = np.repeat(np.cumsum(sizes) - sizes, many) + np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
-        span = np.repeat(wide, many)
-        with np.errstate(over="ignore"):
-            out = span.astype(U)
-            for k in range(width):
-                more = span > k
-                out = np.where(more, mixed(out * U(0x9E3779B97F4A7C15) + h[np.where(more, start + k, 0)]), out) if total else out
         ends = np.cumsum(many)
-        parts = [np.unique(out[e - m : e]) for e, m in zip(ends.tolist(), many.tolist())]
-        self.n = np.fromiter(map(len, parts), np.int64, len(parts))
-        self.flat = np.concatenate(parts) if parts else np.zeros(0, U)
+        start = np.repeat(np.cumsum(sizes) - sizes - (ends - many), many) + np.arange(int(many.sum()))
+        span = np.repeat(wide, many)
+        out = span.astype(U)
+        short = np.flatnonzero(span < width)
+        for k in range(width):
+            done = short[span[short] <= k]
+            kept = out[done]
+            out *= U(0x9E3779B97F4A7C15)
+            out += h[np.minimum(start + k, len(h) - 1)]
+            stir(out)
+            out[done] = kept
+        for e, m in zip(ends.tolist(), many.tolist()):
+            out[e - m : e].sort()
+        new = np.ones(len(out), bool)
+        new[1:] = out[1:] != out[:-1]
+        new[(ends - many)[many > 0]] = True
+        self.flat = out[new]
+        self.n = np.diff(np.searchsorted(np.flatnonzero(new), np.append(0, ends)))
         self.ends = np.cumsum(self.n)
 
     def __getitem__(self, i: int) -> np.ndarray:
@@ -195,20 +250,20 @@ class Sets:
             first = np.flatnonzero(np.append(True, place[1:] != place[:-1]))
             many = np.diff(np.append(first, len(place))) > 1
             parity = np.bitwise_xor.reduceat(bit, first)
-            who, chunk = who[first], chunk[first].astype(np.int64)
+            who, chunk, place = who[first], chunk[first].astype(np.int64), place[first]
             # parts with too many chunks of fewer than two elements bring all of those along
             unit = np.cumsum(parts) - parts
             of = np.repeat(np.arange(len(self.n)), parts)
             at = unit[who] + chunk // chunks[who]
             poor = chunks[of] - np.bincount(at[many], minlength=len(of))
-            all_of = np.flatnonzero(poor > spare[of])
-            held = many | np.isin(at, all_of)
-            who, chunk, parity, at = who[held], chunk[held], parity[held], at[held]
-            for u in all_of:
-                i = of[u]
-                low = (u - unit[i]) * chunks[i]
-                rest = np.setdiff1d(np.arange(low, low + chunks[i]), chunk[at == u], assume_unique=True)
-                who, chunk, parity, at = np.append(who, np.full(len(rest), i)), np.append(chunk, rest), np.append(parity, np.zeros(len(rest), U)), np.append(at, np.full(len(rest), -1))
+            all_of = poor > spare[of]
+            held = many | all_of[at]
+            who, chunk, parity = who[held], chunk[held], parity[held]
+            absent = np.ones(int(whole.sum()), bool)
+            absent[place[held]] = False
+            empty = np.flatnonzero(absent & np.repeat(all_of, chunks[of]))
+            whose = np.searchsorted(begin + whole, empty, "right")
+            who, chunk, parity = np.append(who, whose), np.append(chunk, empty - begin[whose]), np.append(parity, np.zeros(len(empty), U))
             code = (parts[who] + chunk // chunks[who]).astype(U)
             named = mixed(parity ^ mixed(chunk.astype(U) * U(1 << 20) + (own[who] + step + 1).astype(U)))
             keys.append(((named & ~U(2 * PART_BITS + 1)) | code << U(1)).view(np.int64))
@@ -280,7 +335,7 @@ def sets(docs: DataFrame, width: int = WIDTH, need: int = NEED) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in by_bytes(batches, most=SETS_BYTES):
-            found = Sets(b.column("text").to_pylist(), width, need)
+            found = Sets(b.column("text"), width, need)
             longs = [pa.array(x, pa.list_(pa.int64())) for x in (found.sketches(), *found.local())]
             yield pa.RecordBatch.from_arrays([b.column("row"), b.column("doc_id"), pa.array(found.n), pa.array(found.fingerprints()), *longs], ["row", "doc_id", "n", "fp", "sketch", "codes", "local"])
 
@@ -295,7 +350,7 @@ def bucket_rows(docs: DataFrame, width: int, need: int, large: np.ndarray) -> Da
         for b in by_bytes(batches, most=SETS_BYTES):
             if len(passed) > CACHE:
                 passed.clear()
-            found = Sets(b.column("text").to_pylist(), width, need)
+            found = Sets(b.column("text"), width, need)
             fps = found.fingerprints()
             keys, who, own = found.bucket_keys()
             new = np.zeros(len(fps), bool)
@@ -366,7 +421,7 @@ def verified(spark: SparkSession, docs: DataFrame, reps: DataFrame, pairs: DataF
         at = centre = None
         for b in by_bytes(batches, most=SETS_BYTES):
             left, right = [], []
-            found = Sets(b.column("text").to_pylist(), width, need)
+            found = Sets(b.column("text"), width, need)
             own = found.fingerprints().tolist()
             for i, (a, part, fp) in enumerate(zip(*(b.column(c).to_pylist() for c in ("a", "part", "fp")))):
                 if own[i] != fp:  # another row with this id

@@ -1,6 +1,8 @@
 import random
+import sys
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from ledgerloom.llm import jaccard as jc
@@ -217,3 +219,40 @@ def test_linked_sets_share_a_bucket_at_other_needs():
         x.need = y.need = 80
         if 100 * common >= 80 * (len(a) + len(b) - common) and x.fingerprints()[0] != y.fingerprints()[0]:
             assert np.intersect1d(x.bucket_keys()[0], y.bucket_keys()[0]).size
+
+
+def calls(f):
+    n = [0]
+    sys.setprofile(lambda frame, event, arg: n.__setitem__(0, n[0] + (event in ("call", "c_call"))))
+    try:
+        f()
+    finally:
+        sys.setprofile(None)
+    return n[0]
+
+
+def test_words_and_chunks_cost_no_call_each():
+    """Words, seen before or not, are hashed many at a time, and sparse parts bring their chunks along together."""
+    fresh = [" ".join(f"w{i}x{k}" for k in range(400)) for i in range(50)]
+    jc.Sets(fresh).bucket_keys()
+    assert calls(lambda: jc.Sets([t.replace("x", "y") for t in fresh])) < 2000  # of 20,000 words
+    sparse = jc.Sets([" ".join(f"v{i}x{k}" for k in range(30)) for i in range(2000)])
+    assert len(sparse.bucket_keys()[0]) and calls(sparse.bucket_keys) < 2000
+
+
+def test_words_of():
+    r = random.Random(4)
+    vocab = {"".join(r.choice("abYZé中\x00.") for _ in range(n)) for n in [*range(1, 140), 300, 5000] for _ in range(4)}
+    vocab = [*vocab, *("a" + "\x00" * k for k in range(20))]
+    texts = [None, "", " \t\n", "x", "", *("".join(r.choice([" ", "\t", "\n ", "\x0b", "\x0c\r"]) + w for w in r.choices(vocab, k=r.randrange(12)))[r.randrange(2) :] + r.choice(["", " "]) for _ in range(800)), "y"]
+    words = [(t or "").encode().lower().split() for t in texts]
+    h, n = jc.words_of(texts)
+    assert n.tolist() == [len(w) for w in words]
+    known = {}
+    assert all(known.setdefault(w, x) == x for w, x in zip((w for t in words for w in t), h.tolist()))
+    assert len(set(known.values())) == len(known) > 400
+    # a slice of an array, of either kind of strings, has the same hashes
+    whole, ends = h.copy(), np.cumsum(n)
+    for kind in (pa.string(), pa.large_string()):
+        h, m = jc.words_of(pa.array(texts, kind).slice(100, 300))
+        assert (m == n[100:400]).all() and (h == whole[ends[99] : ends[399]]).all()
