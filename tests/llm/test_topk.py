@@ -48,3 +48,31 @@ def test_oracle(spark):
     con.execute(f"create view embeddings as select * from '{d}/embeddings.parquet'")
     want = sorted(con.execute(topk.ORACLE).fetchall())
     assert sorted(map(tuple, topk.op9_exact_topk(spark, d).collect())) == want
+
+
+def test_queries_travel_once_for_each_group(spark, monkeypatch):
+    """What the last task function reads is each block of candidates once and each block of queries once for each group, not both for each pair."""
+    r = np.random.default_rng(5)
+    rows = [(i, (r.choice([-1.0, 1.0], size=8)).tolist()) for i in range(1200)]  # all of one length: no pair is left out by it
+    docs = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    read = []
+    real = type(docs).mapInArrow
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda df, f, schema: read.append(df) or real(df, f, schema))
+    got = topk.search(spark, docs, topk.F.col("vec_id") % 10 == 0, 5, block=10, queries=10)
+    assert sorted(map(tuple, got.collect())) == brute(rows, by=10)
+    blocks, asked = 1200 // 10 + 4, 120 // 10 + 4
+    assert read[-1].count() <= blocks + asked * 2 * spark.sparkContext.defaultParallelism < blocks * asked / 4
+
+
+@pytest.mark.parametrize("size", [1.0, 2.0**18, 2.0**22])
+def test_crowded_blocks_keep_the_first_of_ties(spark, size):
+    """More reach a threshold in a block than are kept, equal ones among them: as doubles hold the scores, and as they don't."""
+    r = np.random.default_rng(6)
+    rows = [(i, (size * r.integers(-2, 3, size=4)).tolist()) for i in range(400)]
+    docs = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
+    v = {i: [256 * int(x) for x in e] for i, e in rows}
+    score = lambda q, i: max(-(2**63) + 1, min(2**63 - 1, sum(a * b for a, b in zip(v[q], v[i]))))
+    want = [(q, n + 1, i, -x) for q in range(0, 400, 50) for n, (x, i) in enumerate(sorted((-score(q, i), i) for i in v if i != q)[:5])]
+    for block, group in ((4096, 1 << 20), (30, 1 << 10)):
+        got = topk.search(spark, docs, topk.F.col("vec_id") % 50 == 0, 5, block=block, queries=4, group=group)
+        assert sorted(map(tuple, got.collect())) == want
